@@ -164,3 +164,100 @@ def q_domain_labels(spark, sf_dir):
                     F.when(C.TX.normalize_label("label_raw") == 1, F.lit("SPAM")).otherwise(F.lit("HAM"))
                     .alias("classification"))
     return H.domain_breakdown(rows)
+
+
+# ---------------------------------------------------------------------------
+# Rules: URLs (U1-U7), language (L1-L14), sender
+# ---------------------------------------------------------------------------
+
+from ..operators import rules as R  # noqa: E402
+
+_RULES = f"""rules AS (SELECT row_idx, subject, body, sender, {O.urls_expr('subject', 'body')} AS url_list FROM canon)"""
+_SIG = f"""sig AS (SELECT *, {O.signals('subject', 'body', 'url_list')} AS signals FROM rules)"""
+
+
+def rules_frame(spark, sf_dir):
+    return R.with_signals(canon(spark, sf_dir))
+
+
+@register("extract_urls", O.with_ctes(O.CANON, _RULES) + """
+SELECT row_idx, array_to_string(url_list, ' | ') AS urls, len(url_list) AS n_urls FROM rules""")
+def q_extract_urls(spark, sf_dir):
+    """Distinct urls per email in first-seen order."""
+    df = R.with_urls(canon(spark, sf_dir))
+    return df.select("row_idx", F.array_join("url_list", " | ").alias("urls"),
+                     F.size("url_list").cast("long").alias("n_urls"))
+
+
+@register("url_items", O.with_ctes(O.CANON, _RULES) + f"""
+SELECT row_idx, CAST(pos - 1 AS BIGINT) AS pos, url, coalesce({O.host('url')}, '') AS domain,
+  {O.is_https('url')} AS https, {O.invalid('url')} AS invalid
+FROM (SELECT row_idx, unnest(url_list) AS url, generate_subscripts(url_list, 1) AS pos FROM rules) t""")
+def q_url_items(spark, sf_dir):
+    """One row per email x url."""
+    return _bigint(R.url_items(R.with_urls(canon(spark, sf_dir))), "pos")
+
+
+@register("url_report", O.with_ctes(O.CANON, _RULES) + f"""
+SELECT row_idx,
+  CASE WHEN len(url_list) > 0 THEN CAST(len(url_list) AS VARCHAR) || {O.sql_str(O.K.REASON_URL_COUNT_SUFFIX)} END AS url_count_reason,
+  {O.first_finding('url_list')} AS first_finding,
+  len(url_list) AS urls_detected, {O.suspicious_count('url_list')} AS suspicious_urls,
+  round(CASE WHEN {O.suspicious_count('url_list')} > 0
+        THEN least(100.0, {O.suspicious_count('url_list')} / len(url_list) * 100.0) ELSE 0.0 END, 6) AS suspicious_share,
+  CAST(least(100, 25 * len(url_list)) AS BIGINT) AS url_risk
+FROM rules""")
+def q_url_report(spark, sf_dir):
+    """Count reason, first finding, suspicious count and share, url risk."""
+    return _bigint(R.url_report(R.with_urls(canon(spark, sf_dir))), "urls_detected", "suspicious_urls", "url_risk")
+
+
+_FLAGS = O.flags("subject", "body")
+
+
+@register("language_flags", O.with_ctes(O.CANON) + "SELECT row_idx, " + ", ".join(
+    f"{_FLAGS[f'L{i + 1}']} AS {name}" for i, name in enumerate(R.LANGUAGE_FLAG_NAMES)) + " FROM canon")
+def q_language_flags(spark, sf_dir):
+    """One boolean per rule."""
+    return R.with_language_flags(canon(spark, sf_dir)).select("row_idx", *R.LANGUAGE_FLAG_NAMES)
+
+
+@register("signal_reasons", O.with_ctes(O.CANON, _RULES, _SIG) + """
+SELECT row_idx, array_to_string(signals, ' | ') AS signals, len(signals) AS n_signals FROM sig""")
+def q_signal_reasons(spark, sf_dir):
+    """Ordered labels of the fired rules (including U3/U4)."""
+    df = rules_frame(spark, sf_dir)
+    return df.select("row_idx", F.array_join("signals", " | ").alias("signals"),
+                     F.col("n_signals").cast("long").alias("n_signals"))
+
+
+@register("safe_reasons", O.with_ctes(O.CANON, _RULES, _SIG) + f"""
+SELECT row_idx, array_to_string({O.safe('signals', 'url_list', 'sender')}, ' | ') AS safe_reasons FROM sig""")
+def q_safe_reasons(spark, sf_dir):
+    """L12."""
+    return rules_frame(spark, sf_dir).select("row_idx", F.array_join("safe_reasons", " | ").alias("safe_reasons"))
+
+
+@register("topic_category", O.with_ctes(O.CANON) + f"""
+SELECT row_idx, {O.topic('subject', 'body')} AS topic FROM canon""")
+def q_topic(spark, sf_dir):
+    """First matching topic, else General."""
+    return rules_frame(spark, sf_dir).select("row_idx", "topic")
+
+
+@register("signal_summary", O.with_ctes(O.CANON, _RULES, _SIG) + """
+SELECT signal, count(*) AS n FROM (SELECT unnest(signals) AS signal FROM sig) t GROUP BY signal""")
+def q_signal_summary(spark, sf_dir):
+    """Emails per signal label."""
+    return R.signal_summary(rules_frame(spark, sf_dir))
+
+
+@register("sender_report", O.with_ctes(O.CANON) + f"""
+SELECT row_idx, sender, {O.sender_domain('sender')} AS sender_domain,
+  CAST(CASE WHEN sender = '' THEN 0 ELSE {O.sender_base_score('sender')} END AS BIGINT) AS base_score,
+  array_to_string({O.sender_indicators('sender')}, ' | ') AS indicators
+FROM canon""")
+def q_sender_report(spark, sf_dir):
+    """Sender domain, rule score, ordered indicators (NULL for an empty sender)."""
+    df = R.sender_report(canon(spark, sf_dir))
+    return _bigint(df.withColumn("indicators", F.array_join("indicators", " | ")), "base_score")

@@ -23,6 +23,7 @@ def get_session(app: str = "mailrisk", master: str | None = None,
     b = (SparkSession.builder.appName(app)
          .master(master or f"local[{cpus}]")
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
