@@ -261,3 +261,74 @@ def q_sender_report(spark, sf_dir):
     """Sender domain, rule score, ordered indicators (NULL for an empty sender)."""
     df = R.sender_report(canon(spark, sf_dir))
     return _bigint(df.withColumn("indicators", F.array_join("indicators", " | ")), "base_score")
+
+
+# ---------------------------------------------------------------------------
+# Model as tables (M2-M4, M7-M9) and the full analysis
+# ---------------------------------------------------------------------------
+
+from ..operators import analyze as A  # noqa: E402
+from ..operators import text_model as M  # noqa: E402
+
+_ANALYSIS = O.analysis_ctes(FX.model_terms_sql(), FX.MODEL_INTERCEPT)
+_ANALYSIS_SQL = O.with_ctes(O.CANON, *_ANALYSIS)
+
+
+def analysis(spark, sf_dir) -> DataFrame:
+    """R6 over the whole EMAILS table with the fixed model parameter."""
+    return A.analyze_emails(FX.emails(spark, sf_dir), FX.model_terms(spark), FX.MODEL_INTERCEPT)
+
+
+@register("term_frequencies", _ANALYSIS_SQL + "SELECT row_idx, term, tf FROM tf")
+def q_term_frequencies(spark, sf_dir):
+    """M2: (email, term, tf) for unigrams and bigrams of the combined text."""
+    ruled = A.rule_table(FX.emails(spark, sf_dir))
+    return M.doc_terms(ruled.select("row_idx", "text"))
+
+
+@register("tfidf_weights", _ANALYSIS_SQL + """
+SELECT wt.row_idx, wt.term, round(wt.w / sqrt(s.ss), 9) AS w FROM wt JOIN sums s USING (row_idx)""")
+def q_tfidf(spark, sf_dir):
+    """M4: sublinear tf x idf, L2-normalised over the model terms."""
+    ruled = A.rule_table(FX.emails(spark, sf_dir))
+    terms = M.doc_terms(ruled.select("row_idx", "text"))
+    return (M.tfidf(terms, FX.model_terms(spark))
+            .select("row_idx", "term", F.round("w", 9).alias("w")))
+
+
+@register("model_scores", _ANALYSIS_SQL + """
+SELECT row_idx, round(spam_risk, 4) AS spam_risk, prediction, round(confidence, 4) AS confidence FROM pr""")
+def q_model_scores(spark, sf_dir):
+    """M7 + M8: probability x 100 for every email, prediction and confidence."""
+    ruled = A.rule_table(FX.emails(spark, sf_dir)).select("row_idx", "text")
+    scored = M.predict(M.score(ruled, FX.model_terms(spark), FX.MODEL_INTERCEPT))
+    return scored.select("row_idx", F.round("spam_risk", 4).alias("spam_risk"), "prediction",
+                         F.round("confidence", 4).alias("confidence"))
+
+
+@register("explain_terms", _ANALYSIS_SQL + """
+SELECT row_idx, prediction, array_to_string(model_terms, ', ') AS model_terms FROM pr""")
+def q_explain(spark, sf_dir):
+    """M9: top-5 model terms in the predicted direction."""
+    ruled = A.rule_table(FX.emails(spark, sf_dir)).select("row_idx", "text")
+    model = FX.model_terms(spark)
+    weighted = M._weighted(ruled, model, "text", "row_idx")
+    scored = M.predict(M.score(ruled.select("row_idx"), model, FX.MODEL_INTERCEPT, weighted=weighted))
+    out = M.explain_terms(scored, M.explanation_candidates(weighted))
+    return out.select("row_idx", "prediction", F.array_join("model_terms", ", ").alias("model_terms"))
+
+
+@register("analyze_emails", _ANALYSIS_SQL + "SELECT " + O.analysis_select() + " FROM fin")
+def q_analyze(spark, sf_dir):
+    """R6 (flagship): full RESULT per email, flattened; bad-url rows on the error path."""
+    return A.flatten(analysis(spark, sf_dir)).select("row_idx", "error", *[
+        c for c in A.flatten(analysis(spark, sf_dir)).columns if c not in ("row_idx", "error")])
+
+
+@register("risk_level_summary", _ANALYSIS_SQL + f"""
+SELECT CASE WHEN NOT url_error THEN prediction END AS prediction,
+  CASE WHEN NOT url_error THEN {O.risk_level('overall')} END AS risk_level, count(*) AS n
+FROM fin GROUP BY 1, 2""")
+def q_risk_summary(spark, sf_dir):
+    """Emails per prediction x risk level."""
+    return A.risk_level_summary(analysis(spark, sf_dir))

@@ -219,3 +219,87 @@ def history_domain(sender: str) -> str:
     s = clean(sender)
     return (f"(CASE WHEN contains({s}, '@') THEN lower(regexp_extract({s}, '([^@]*)$', 1)) "
             f"WHEN {s} <> '' THEN {s} ELSE {sql_str(K.UNKNOWN_SENDER)} END)")
+
+
+def distinct_ordered(lst: str) -> str:
+    return f"list_filter({lst}, lambda x, i: list_position({lst}, x) = i)"
+
+
+TOKEN_RE2 = r"[\p{L}\p{N}_]{2,}"
+
+
+def analysis_ctes(model_sql: str, intercept: float) -> list[str]:
+    """DuckDB chain from ``canon`` to per-email results (``fin``)."""
+    spam_terms = (f"CASE WHEN len(model_terms) > 0 THEN [{sql_str(K.SPAM_TERMS_PREFIX)} || "
+                  f"array_to_string(model_terms, ', ')] ELSE [] END")
+    ham_terms = (f"CASE WHEN len(model_terms) > 0 THEN [{sql_str(K.HAM_TERMS_PREFIX)} || "
+                 f"array_to_string(model_terms, ', ')] ELSE [] END")
+    spam_part = (f"list_concat(list_concat({distinct_ordered('signals')}, coalesce(sender_indicators, [])), "
+                 f"{spam_terms})")
+    ham_part = f"list_concat({distinct_ordered('safe_reasons')}, {ham_terms})"
+    a, b, c = K.OVERALL_WEIGHTS
+    return [
+        f"rules AS (SELECT row_idx, subject, body, sender, {urls_expr('subject', 'body')} AS url_list, "
+        f"trim('Subject: ' || subject || chr(10) || chr(10) || body, {WS_SQL}) AS text FROM canon)",
+        f"sig AS (SELECT *, {signals('subject', 'body', 'url_list')} AS signals FROM rules)",
+        f"sig2 AS (SELECT *, {safe('signals', 'url_list', 'sender')} AS safe_reasons, {topic('subject', 'body')} AS topic, "
+        f"{sender_indicators('sender')} AS sender_indicators, {sender_base_score('sender')} AS sender_base, "
+        f"coalesce(list_bool_or(list_transform(url_list, lambda u: {invalid('u')})), false) AS url_error FROM sig)",
+        f"model AS ({model_sql})",
+        f"toks AS (SELECT row_idx, regexp_extract_all(strip_accents(lower(text)), '{TOKEN_RE2}') AS t FROM rules)",
+        "terms AS (SELECT row_idx, unnest(t) AS term FROM toks UNION ALL "
+        "SELECT row_idx, unnest(list_transform(t[2:], lambda x, i: t[i] || ' ' || x)) AS term FROM toks)",
+        "tf AS (SELECT row_idx, term, count(*) AS tf FROM terms GROUP BY row_idx, term)",
+        "wt AS (SELECT tf.row_idx, tf.term, tf.tf, (1 + ln(tf.tf)) * m.idf AS w, "
+        "(1 + ln(tf.tf)) * m.idf * m.coef AS contrib FROM tf JOIN model m ON m.term = tf.term)",
+        "sums AS (SELECT row_idx, sum(w * w) AS ss, sum(contrib) AS dot FROM wt GROUP BY row_idx)",
+        f"sc AS (SELECT s.*, coalesce(CASE WHEN ss > 0 THEN dot / sqrt(ss) END, 0) + ({intercept}) AS margin "
+        "FROM sig2 s LEFT JOIN sums USING (row_idx))",
+        "sc2 AS (SELECT *, 100.0 / (1 + exp(-margin)) AS spam_risk FROM sc)",
+        f"cand AS (SELECT row_idx, contrib > 0 AS pos, term, row_number() OVER (PARTITION BY row_idx, contrib > 0 "
+        f"ORDER BY abs(contrib) DESC, term) AS rk FROM wt WHERE length(term) >= {K.EXPLAIN_MIN_TERM_LEN} AND contrib <> 0)",
+        f"cands AS (SELECT row_idx, list(term ORDER BY rk) FILTER (WHERE pos AND rk <= {K.EXPLAIN_TOP_K}) AS spam_terms, "
+        f"list(term ORDER BY rk) FILTER (WHERE NOT pos AND rk <= {K.EXPLAIN_TOP_K}) AS ham_terms FROM cand GROUP BY row_idx)",
+        f"pr AS (SELECT sc2.*, CASE WHEN spam_risk >= {K.SPAM_THRESHOLD} THEN 'SPAM' ELSE 'HAM' END AS prediction, "
+        "greatest(spam_risk, 100 - spam_risk) AS confidence, "
+        f"coalesce(CASE WHEN spam_risk >= {K.SPAM_THRESHOLD} THEN spam_terms ELSE ham_terms END, []) AS model_terms "
+        "FROM sc2 LEFT JOIN cands USING (row_idx))",
+        f"rk AS (SELECT *, least(100, {K.CONTEXT_RISK_PER_SIGNAL} * len(signals)) AS ctx, "
+        f"least(100, {K.URL_RISK_PER_URL} * len(url_list)) AS url_risk, "
+        f"CASE WHEN prediction = 'SPAM' THEN {spam_part} ELSE {ham_part} END AS chosen FROM pr)",
+        f"fin AS (SELECT *, least(100.0, greatest(0.0, round({a} * spam_risk + {b} * url_risk + {c} * ctx, 1))) AS overall, "
+        f"{distinct_ordered(f'CASE WHEN len(chosen) = 0 THEN CASE WHEN prediction = {sql_str(K.SPAM)} THEN [{sql_str(K.SPAM_FALLBACK)}] ELSE [{sql_str(K.HAM_FALLBACK)}] END ELSE chosen END')} AS reasons, "
+        f"CASE WHEN sender = '' THEN 0.0 ELSE round(least(100, sender_base + CASE WHEN prediction = 'SPAM' AND len(signals) > 0 "
+        f"THEN least({K.SENDER_CONTEXT_MAX}, {K.SENDER_CONTEXT_PER_SIGNAL} * len(signals)) ELSE 0 END), 1) END AS sender_score "
+        "FROM rk)",
+    ]
+
+
+def analysis_select() -> str:
+    """Flattened RESULT columns from ``fin`` (error rows: NULL result)."""
+    ok = "NOT url_error"
+    items = ("array_to_string(list_transform(url_list, lambda u: u || ',' || coalesce(" + host("u") +
+             ", '') || ',' || CASE WHEN " + is_https("u") + " THEN 'true' ELSE 'false' END), ' | ')")
+    cols = {
+        "prediction": "prediction",
+        "spam_risk": "round(spam_risk, 1)",
+        "confidence": "round(confidence, 1)",
+        "overall_risk": "overall",
+        "risk_level": risk_level("overall"),
+        "domain_category": f"CASE WHEN prediction = 'HAM' THEN topic END",
+        "reasons": "array_to_string(reasons, ' | ')",
+        "urls_detected": "CAST(len(url_list) AS BIGINT)",
+        "suspicious_urls": f"CAST({suspicious_count('url_list')} AS BIGINT)",
+        "url_items": items,
+        "context_score": "CAST(ctx AS DOUBLE)",
+        "context_level": risk_level("ctx"),
+        "context_indicators": "array_to_string(signals, ' | ')",
+        "sender": "sender",
+        "sender_domain": f"CASE WHEN sender = '' THEN '' ELSE {sender_domain('sender')} END",
+        "sender_score": "CAST(sender_score AS DOUBLE)",
+        "sender_verification": (f"CASE WHEN sender = '' THEN {sql_str(K.SENDER_VERIFICATION_EMPTY)} "
+                                f"ELSE {sql_str(K.SENDER_VERIFICATION)} END"),
+        "sender_indicators": "array_to_string(sender_indicators, ' | ')",
+    }
+    body = ", ".join(f"CASE WHEN {ok} THEN {v} END AS {k}" for k, v in cols.items())
+    return f"row_idx, CASE WHEN url_error THEN 'Invalid IPv6 URL' END AS error, {body}"
