@@ -332,3 +332,102 @@ FROM fin GROUP BY 1, 2""")
 def q_risk_summary(spark, sf_dir):
     """Emails per prediction x risk level."""
     return A.risk_level_summary(analysis(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Training (M1, M3, M5, M6, M10-M12)
+# ---------------------------------------------------------------------------
+
+from ..operators import training as T  # noqa: E402
+from . import retrain as RT  # noqa: E402
+
+_SPLIT = f"""split AS (SELECT label, count(*) AS n_c, CAST(round({O.K.TEST_SHARE} * count(*)) AS BIGINT) AS t_c
+ FROM training GROUP BY label)"""
+
+
+def training_docs(spark, sf_dir):
+    return RT.prepare_training(canon(spark, sf_dir))
+
+
+@register("stratified_split_counts", O.with_ctes(O.CANON, O.TRAINING, _SPLIT) + """
+SELECT CAST(label AS BIGINT) AS label, true AS is_test, t_c AS n FROM split
+UNION ALL SELECT CAST(label AS BIGINT), false, n_c - t_c FROM split""")
+def q_split(spark, sf_dir):
+    """M1: exact per-class test share."""
+    split = T.stratified_split(training_docs(spark, sf_dir))
+    return _bigint(T.split_counts(split), "label")
+
+
+@register("class_weights", O.with_ctes(O.CANON, O.TRAINING, _SPLIT) + """
+SELECT CAST(label AS BIGINT) AS label, n_c - t_c AS n,
+  round(sum(n_c - t_c) OVER () / (2.0 * (n_c - t_c)), 9) AS weight FROM split""")
+def q_class_weights(spark, sf_dir):
+    """M5: balanced weights on the training side of the split."""
+    split = T.stratified_split(training_docs(spark, sf_dir))
+    w = T.class_weights(split.filter(~F.col("is_test")))
+    return _bigint(w.withColumn("weight", F.round("weight", 9)), "label")
+
+
+_VOCAB_SQL = O.with_ctes(
+    O.CANON, O.TRAINING,
+    f"tdocs AS (SELECT row_idx, trim('Subject: ' || subject || chr(10) || chr(10) || body, {O.WS_SQL}) AS text FROM training)",
+    f"toks AS (SELECT row_idx, regexp_extract_all(strip_accents(lower(text)), '{O.TOKEN_RE2}') AS t FROM tdocs)",
+    "terms AS (SELECT row_idx, unnest(t) AS term FROM toks UNION ALL "
+    "SELECT row_idx, unnest(list_transform(t[2:], lambda x, i: t[i] || ' ' || x)) AS term FROM toks)",
+    "tf AS (SELECT row_idx, term, count(*) AS tf FROM terms GROUP BY row_idx, term)",
+    f"st AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term HAVING count(*) >= {O.K.MIN_DF} "
+    f"AND count(*) <= {O.K.MAX_DF} * (SELECT count(*) FROM training))") + f"""
+SELECT term, df, CAST(cf AS BIGINT) AS cf, idx FROM (
+  SELECT *, row_number() OVER (ORDER BY cf DESC, term) - 1 AS idx FROM st) t WHERE idx < {O.K.MAX_FEATURES}"""
+
+
+@register("vocabulary", _VOCAB_SQL)
+def q_vocabulary(spark, sf_dir):
+    """M3: min_df / max_df filter, then the top terms by corpus count."""
+    docs = training_docs(spark, sf_dir)
+    terms = M.doc_terms(docs.select("doc", "text"), "text", "doc")
+    return M.vocabulary(terms, docs.count(), id_col="doc").select("term", "df", "cf", "idx")
+
+
+@register("classification_metrics", _ANALYSIS_SQL.replace("WITH emails AS", "WITH emails AS", 1).rstrip()
+          + ",\n" + O.TRAINING + """,
+cm AS (SELECT count(*) FILTER (WHERE t.label = 1 AND p.prediction = 'SPAM') AS tp,
+  count(*) FILTER (WHERE t.label = 0 AND p.prediction = 'SPAM') AS fp,
+  count(*) FILTER (WHERE t.label = 1 AND p.prediction = 'HAM') AS fn,
+  count(*) FILTER (WHERE t.label = 0 AND p.prediction = 'HAM') AS tn
+  FROM training t JOIN pr p USING (row_idx))
+SELECT round(CASE WHEN tp + fp + fn + tn > 0 THEN (tp + tn) / (tp + fp + fn + tn) ELSE 0 END, 4) AS accuracy,
+  round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 4) AS precision,
+  round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 4) AS recall,
+  round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END, 4) AS f1 FROM cm""")
+def q_metrics(spark, sf_dir):
+    """Metrics of the fixed model's predictions against the cleaned labels."""
+    docs = C.training_table(canon(spark, sf_dir))
+    ruled = A.rule_table(docs.select("row_idx", "subject", "body", "sender", "recipient", "label"))
+    scored = M.score(ruled.select("row_idx", "label", "text"), FX.model_terms(spark), FX.MODEL_INTERCEPT)
+    pred = scored.withColumn("pred", (F.col("spam_risk") >= 50).cast("int"))
+    return T.classification_metrics(pred, "label", "pred")
+
+
+def _retrain_dir(spark):
+    from ..session import shared_dir
+    return shared_dir(spark, "retrain")
+
+
+@register("fit_spam_model", None)
+def q_fit(spark, sf_dir):
+    """M6 (+M3-M5): fit on the training side; the model as a term table."""
+    split = T.stratified_split(training_docs(spark, sf_dir))
+    terms, intercept, _ = T.fit_spam_model(split.filter(~F.col("is_test")), id_col="doc", max_iter=50)
+    return terms.withColumn("intercept", F.lit(intercept))
+
+
+@register("retrain_report", None)
+def q_retrain(spark, sf_dir):
+    """M12 + M11: the whole retraining job over the email corpus merged with
+    the conversations table; returns the run report."""
+    conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    conv = C.dense_index(conv, order=["conv_id", "turn"], out="_row_order", block_col="conv_id")
+    frames = [canon(spark, sf_dir), C.canonicalize(conv, source="conversations")]
+    report, _, _ = RT.retrain(frames, _retrain_dir(spark), max_iter=50)
+    return report
