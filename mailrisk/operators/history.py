@@ -26,27 +26,12 @@ def history_page(history: DataFrame, page_size: int) -> DataFrame:
 
 
 def history_list(history: DataFrame) -> DataFrame:
-    """H1 for the whole table: newest first with a 1-based number.
-
-    A range-partitioned sort orders the rows; the number is the partition's
-    offset (running sum over one count per partition, a tiny table) plus the
-    row's place inside its partition.  The sorted frame is checkpointed to the
-    shared checkpoint folder so both uses see the same partitioning and a lost
-    executor does not force a re-sort with different boundaries.
-    """
-    from ..session import ensure_checkpoint_dir
-    spark = history.sparkSession
-    ensure_checkpoint_dir(spark)
-    ordered = (history.orderBy(*newest_first())
-               .withColumn("_pid", F.spark_partition_id())
-               .withColumn("_mono", F.monotonically_increasing_id())
-               .checkpoint(eager=True))
-    sizes = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
-    running = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = sizes.withColumn("_off", F.sum("_n").over(running) - F.col("_n"))
-    return (ordered.join(offsets, "_pid")
-            .withColumn("number", F.col("_off") + (F.col("_mono") - F.col("_first")) + 1)
-            .drop("_pid", "_mono", "_n", "_first", "_off"))
+    """H1 for the whole table: newest first with a 1-based ``number``.
+
+    The number comes from a distributed sort plus per-partition offsets
+    (``global_position``), not from a window over the whole table."""
+    from .positions import global_position
+    return global_position(history, newest_first(), out="number", base=1)
 
 
 def history_by_class(history: DataFrame, classification: str) -> DataFrame:

@@ -431,3 +431,112 @@ def q_retrain(spark, sf_dir):
     frames = [canon(spark, sf_dir), C.canonicalize(conv, source="conversations")]
     report, _, _ = RT.retrain(frames, _retrain_dir(spark), max_iter=50)
     return report
+
+
+# ---------------------------------------------------------------------------
+# History and dashboard
+# ---------------------------------------------------------------------------
+
+from ..sources import history_io as HIO  # noqa: E402
+
+RAW = ("sender", "recipient", "subject", "body")
+_HIST = f"""hist AS (SELECT md5(CAST(f.row_idx AS VARCHAR)) AS id, e.sender, e.recipient, e.subject, e.body,
+  f.prediction AS classification, round(f.spam_risk, 1) AS spam_risk, round(f.confidence, 1) AS confidence,
+  f.overall AS overall_risk, f.reasons, e.created_at, {O.risk_level('f.overall')} AS risk_level,
+  f.row_idx AS src_row
+ FROM fin f JOIN emails e USING (row_idx) WHERE NOT f.url_error)"""
+_HIST_SQL = O.with_ctes(O.CANON, *_ANALYSIS, _HIST)
+
+
+def history(spark, sf_dir) -> DataFrame:
+    """HISTORY rows for every analysed email: raw request fields, results,
+    ``id = md5(row_idx)`` and ``created_at`` from the fixture."""
+    e = FX.emails(spark, sf_dir)
+    e = e.select("row_idx", "created_at", *RAW, *[F.col(c).alias(f"raw_{c}") for c in RAW])
+    res = A.analyze_emails(e, FX.model_terms(spark), FX.MODEL_INTERCEPT,
+                           keep=("created_at", *[f"raw_{c}" for c in RAW]))
+    return HIO.history_records(res, id_col=F.md5(F.col("row_idx").cast("string")), created_at=F.col("created_at"))
+
+
+@register("history_roundtrip", _HIST_SQL + """
+SELECT id, classification, spam_risk, overall_risk, array_to_string(reasons, ' | ') AS reasons, risk_level FROM hist""")
+def q_history_roundtrip(spark, sf_dir):
+    """S6 + S7: write the history in its JSON exchange form, read it back, parse."""
+    from ..session import shared_dir
+    path = shared_dir(spark, "history-wire")
+    HIO.to_wire(history(spark, sf_dir)).write.mode("overwrite").parquet(path)
+    back = HIO.from_wire(spark.read.parquet(path))
+    return back.select("id", "classification", "spam_risk", "overall_risk",
+                       F.array_join("reasons", " | ").alias("reasons"), F.col("features.risk_level").alias("risk_level"))
+
+
+@register("history_list", _HIST_SQL + """
+SELECT id, row_number() OVER (ORDER BY created_at DESC, id) AS number, classification FROM hist""")
+def q_history_list(spark, sf_dir):
+    """H1: newest first with a 1-based number, whole table."""
+    return H.history_list(history(spark, sf_dir)).select("id", F.col("number").cast("long"), "classification")
+
+
+@register("history_page", _HIST_SQL + """
+SELECT id, row_number() OVER (ORDER BY created_at DESC, id) AS number, subject FROM hist
+ORDER BY created_at DESC, id LIMIT 25""")
+def q_history_page(spark, sf_dir):
+    """H1 for one page: the 25 newest detections (the top-k is the feature)."""
+    return H.history_page(history(spark, sf_dir), 25).select("id", F.col("number").cast("long"), "subject")
+
+
+@register("history_by_class", _HIST_SQL + "SELECT id, spam_risk FROM hist WHERE classification = 'SPAM'")
+def q_history_by_class(spark, sf_dir):
+    """H2."""
+    return H.history_by_class(history(spark, sf_dir), "SPAM").select("id", "spam_risk")
+
+
+@register("history_search", _HIST_SQL + """
+SELECT id FROM hist WHERE contains(lower(coalesce(sender, '') || ' ' || coalesce(subject, '') || ' ' || coalesce(body, '')), 'account')""")
+def q_history_search(spark, sf_dir):
+    """H3: case-insensitive substring search for 'Account'."""
+    return H.history_search(history(spark, sf_dir), "Account").select("id")
+
+
+@register("history_detail", _HIST_SQL + "SELECT id, sender, subject, overall_risk FROM hist WHERE id = md5('2')")
+def q_history_detail(spark, sf_dir):
+    """H4: one record by id."""
+    import hashlib
+    rid = hashlib.md5(b"2").hexdigest()
+    return H.history_detail(history(spark, sf_dir), rid).select("id", "sender", "subject", "overall_risk")
+
+
+@register("history_delete", _HIST_SQL + """
+SELECT id FROM hist WHERE id NOT IN (SELECT md5(CAST(doc_id AS VARCHAR)) FROM labels)""")
+def q_history_delete(spark, sf_dir):
+    """H5: delete the records of every labelled document (unknown ids are no-ops)."""
+    ids = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.md5(F.col("doc_id").cast("string")).alias("id"))
+    return H.history_delete(history(spark, sf_dir), ids).select("id")
+
+
+@register("dashboard_totals", _HIST_SQL + """
+SELECT count(*) AS total, count(*) FILTER (WHERE classification = 'SPAM') AS spam,
+  count(*) FILTER (WHERE classification IS DISTINCT FROM 'SPAM') AS not_spam FROM hist""")
+def q_totals(spark, sf_dir):
+    """H6."""
+    return H.dashboard_totals(history(spark, sf_dir))
+
+
+_BREAKDOWN = f"""bd AS (SELECT {O.history_domain('sender')} AS domain,
+  count(*) FILTER (WHERE classification = 'SPAM') AS spam,
+  count(*) FILTER (WHERE classification IS DISTINCT FROM 'SPAM') AS ham FROM hist GROUP BY 1)"""
+
+
+@register("domain_breakdown", _HIST_SQL + "," + _BREAKDOWN + " SELECT domain, spam, ham FROM bd")
+def q_breakdown(spark, sf_dir):
+    """H7: spam/ham per sender domain key."""
+    return H.domain_breakdown(history(spark, sf_dir))
+
+
+@register("domain_percentages", _HIST_SQL + "," + _BREAKDOWN + """
+SELECT domain, spam, ham,
+  CASE WHEN spam + ham > 0 THEN round(spam / (spam + ham) * 100.0, 2) ELSE 0.0 END AS spam_pct,
+  CASE WHEN spam + ham > 0 THEN round(ham / (spam + ham) * 100.0, 2) ELSE 0.0 END AS ham_pct FROM bd""")
+def q_percentages(spark, sf_dir):
+    """H8."""
+    return H.domain_percentages(H.domain_breakdown(history(spark, sf_dir)))
