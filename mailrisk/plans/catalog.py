@@ -540,3 +540,44 @@ SELECT domain, spam, ham,
 def q_percentages(spark, sf_dir):
     """H8."""
     return H.domain_percentages(H.domain_breakdown(history(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# Streaming
+# ---------------------------------------------------------------------------
+
+from ..streaming import dashboard_stream as DS  # noqa: E402
+from ..streaming import score_stream as SS  # noqa: E402
+
+
+def stream_history(spark, sf_dir, n_files: int = 4) -> str:
+    """Run T1 over the EMAILS rows landed as ``n_files`` Parquet files;
+    returns the history folder."""
+    from ..session import shared_dir
+    inbox, hist, ckpt = shared_dir(spark, "inbox"), shared_dir(spark, "history"), shared_dir(spark, "ckpt-score")
+    e = FX.emails(spark, sf_dir).select(*[f.name for f in SS.EMAIL_STREAM_SCHEMA.fields])
+    e.repartition(n_files).write.mode("overwrite").parquet(inbox)
+    q = SS.start_score_stream(spark, inbox, hist, ckpt, FX.model_terms(spark), FX.MODEL_INTERCEPT,
+                              id_col=F.md5(F.col("row_idx").cast("string")), created_at=F.col("created_at"),
+                              max_files_per_trigger=1)
+    q.awaitTermination()
+    return hist
+
+
+@register("stream_score", _HIST_SQL + """
+SELECT id, classification, spam_risk, overall_risk, array_to_string(reasons, ' | ') AS reasons FROM hist""")
+def q_stream_score(spark, sf_dir):
+    """File stream -> analysis per micro-batch -> history (equals batch R6 + S6)."""
+    h = HIO.read_history(spark, stream_history(spark, sf_dir))
+    return h.select("id", "classification", "spam_risk", "overall_risk",
+                    F.array_join("reasons", " | ").alias("reasons"))
+
+
+@register("stream_dashboard", _HIST_SQL + "," + _BREAKDOWN + " SELECT domain, spam, ham FROM bd")
+def q_stream_dashboard(spark, sf_dir):
+    """Running per-domain counts over the history stream written by T1."""
+    from ..session import shared_dir
+    hist = stream_history(spark, sf_dir)
+    out, ckpt = shared_dir(spark, "dashboard"), shared_dir(spark, "ckpt-dash")
+    DS.start_dashboard_stream(spark, hist, out, ckpt).awaitTermination()
+    return spark.read.parquet(out)
