@@ -581,3 +581,65 @@ def q_stream_dashboard(spark, sf_dir):
     out, ckpt = shared_dir(spark, "dashboard"), shared_dir(spark, "ckpt-dash")
     DS.start_dashboard_stream(spark, hist, out, ckpt).awaitTermination()
     return spark.read.parquet(out)
+
+
+# ---------------------------------------------------------------------------
+# Sources and sinks
+# ---------------------------------------------------------------------------
+
+from ..sources import corpus_io as CIO  # noqa: E402
+from ..sources import model_store as MS  # noqa: E402
+
+_RAW_LAYOUT = ["sender", "recipient", "subject", "body", "label_raw", "created_at"]
+
+
+def _landed(spark, sf_dir, kind: str) -> str:
+    """Write the raw EMAILS layout (no position column) in input order."""
+    from ..session import shared_dir
+    e = FX.emails(spark, sf_dir).orderBy("row_idx").select(*_RAW_LAYOUT)
+    if kind == "csv":
+        path = shared_dir(spark, "emails") + ".csv.gz"
+        CIO.write_csv(e, path)
+    else:
+        path = shared_dir(spark, "emails") + ".parquet.gzip"
+        e.write.mode("overwrite").option("compression", "gzip").parquet(path)
+    return path
+
+
+_CORPUS_SQL = O.with_ctes(O.CANON, O.CORPUS) + """
+SELECT row_idx, subject, body, sender, recipient, CAST(label AS BIGINT) AS label FROM corpus"""
+
+
+@register("corpus_csv_roundtrip", _CORPUS_SQL)
+def q_csv_roundtrip(spark, sf_dir):
+    """S4 + S1: gzip CSV written and read back (multi-line bodies, file order), then C7."""
+    table = C.corpus_table(CIO.load_corpus(spark, _landed(spark, sf_dir, "csv")))
+    return _bigint(table.select("row_idx", "subject", "body", "sender", "recipient", "label"), "label")
+
+
+@register("corpus_parquet_roundtrip", _CORPUS_SQL)
+def q_parquet_roundtrip(spark, sf_dir):
+    """A '.parquet.gzip' name is tried as Parquet (row order from the file), then C7."""
+    table = C.corpus_table(CIO.load_corpus(spark, _landed(spark, sf_dir, "parquet")))
+    return _bigint(table.select("row_idx", "subject", "body", "sender", "recipient", "label"), "label")
+
+
+@register("replace_corpus", O.with_ctes(O.CANON, O.CORPUS) + "SELECT count(*) AS n FROM corpus")
+def q_replace(spark, sf_dir):
+    """Load a corpus file in place of the old table; its row count."""
+    from ..session import shared_dir
+    n = CIO.replace_corpus(spark, _landed(spark, sf_dir, "csv"), shared_dir(spark, "corpus"))
+    return spark.createDataFrame([(n,)], "n long")
+
+
+@register("model_roundtrip", _ANALYSIS_SQL + """
+SELECT row_idx, round(spam_risk, 4) AS spam_risk, prediction FROM pr""")
+def q_model_roundtrip(spark, sf_dir):
+    """Save the term table + intercept, load them, score every email."""
+    from ..session import shared_dir
+    path = shared_dir(spark, "model")
+    MS.save_model(FX.model_terms(spark), FX.MODEL_INTERCEPT, 0, path)
+    terms, intercept = MS.load_model(spark, path)
+    ruled = A.rule_table(FX.emails(spark, sf_dir)).select("row_idx", "text")
+    scored = M.predict(M.score(ruled, terms, intercept))
+    return scored.select("row_idx", F.round("spam_risk", 4).alias("spam_risk"), "prediction")

@@ -74,11 +74,18 @@ def write_corpus(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Persist a cleaned corpus (Parquet, or gzip CSV like the reference)."""
     out = df.select(*[c for c in C.CORPUS_COLUMNS if c in df.columns])
     if fmt == "csv":
-        out.write.mode("overwrite").option("header", True).option("compression", "gzip").option("escape", '"').csv(path)
+        write_csv(out, path)
     else:
         out.write.mode("overwrite").parquet(path)
 
 
+def write_csv(df: DataFrame, path: str, compression: str = "gzip") -> None:
+    """gzip CSV with a header, RFC 4180 quoting, whitespace kept as is."""
+    (df.write.mode("overwrite").option("header", True).option("compression", compression)
+     .option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(path))
+
+
 def replace_corpus(spark: SparkSession, src: str, dest: str) -> int:
     """Load a corpus file (S1 -> S2 -> C7), write it in place of the old
     one, return its row count (read back from the written table)."""
