@@ -17,6 +17,8 @@ pattern is generated here for each dialect from the keyword lists in
 
 from __future__ import annotations
 
+import re
+
 from .. import constants as K
 
 WORD = r"\p{L}\p{N}_"
@@ -68,6 +70,18 @@ URL_SUSPICIOUS_WORDS = K.URL_SENSITIVE_SUBSTRINGS
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
+def required_literal(fragment: str) -> str:
+    """A substring every match of a keyword fragment contains: drop optional
+    characters (``x?``), then keep the longest run free of regex syntax."""
+    plain = re.sub(r".[?*]", "", fragment)
+    pieces = re.split(r"\[[^\]]*\]|\\[a-zA-Z](?:\{[^}]*\})?[+*?]?|[().|+^$]", plain)
+    return max(pieces, key=len)
+
+
+def required_literals(words) -> list[str]:
+    return sorted({required_literal(w) for w in words})
+
+
 def sql_str(s: str) -> str:
     """Quote a string as a SQL literal (standard SQL: no backslash escapes)."""
     return "'" + s.replace("'", "''") + "'"

@@ -6,22 +6,39 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .regex import PUNCT_RUNS, java_verification, java_words
+from .regex import PUNCT_RUNS, java_verification, java_words, required_literals
 from .text import _c, joined
 from . import urls as U
 
-# Rule table: (reason label, Java pattern) in reporting order L1..L7.
+# Rule table: (reason label, Java pattern, literals) in reporting order L1..L7.
+# Every match contains one of the literals, so a cheap ``contains`` test
+# decides whether the regex needs to run at all (most mail hits no rule).
 LANGUAGE_RULES = [
-    (K.REASON_URGENT, java_words(K.URGENT_WORDS)),
-    (K.REASON_CREDENTIALS, java_words(K.CREDENTIAL_WORDS)),
-    (K.REASON_VERIFICATION, java_verification()),
-    (K.REASON_FINANCIAL, java_words(K.FINANCIAL_WORDS)),
-    (K.REASON_PRIZE, java_words(K.PRIZE_WORDS)),
-    (K.REASON_PROMO, java_words(K.PROMO_WORDS)),
-    (K.REASON_CTA, java_words(K.CTA_WORDS)),
+    (K.REASON_URGENT, java_words(K.URGENT_WORDS), required_literals(K.URGENT_WORDS)),
+    (K.REASON_CREDENTIALS, java_words(K.CREDENTIAL_WORDS), required_literals(K.CREDENTIAL_WORDS)),
+    (K.REASON_VERIFICATION, java_verification(), required_literals(K.VERIFY_LEAD_WORDS + K.SIGN_IN_WORDS)),
+    (K.REASON_FINANCIAL, java_words(K.FINANCIAL_WORDS), required_literals(K.FINANCIAL_WORDS)),
+    (K.REASON_PRIZE, java_words(K.PRIZE_WORDS), required_literals(K.PRIZE_WORDS)),
+    (K.REASON_PROMO, java_words(K.PROMO_WORDS), required_literals(K.PROMO_WORDS)),
+    (K.REASON_CTA, java_words(K.CTA_WORDS), required_literals(K.CTA_WORDS)),
 ]
 SOCIAL_PATTERN = java_words(K.SOCIAL_WORDS, ignore_case=False)
-TOPIC_RULES = [(name, java_words(words)) for name, words in K.TOPICS]
+SOCIAL_LITERALS = required_literals(K.SOCIAL_WORDS)
+TOPIC_RULES = [(name, java_words(words), required_literals(words)) for name, words in K.TOPICS]
+
+# In lower-cased text the only character that case-insensitively equals an
+# ASCII keyword letter without being one is the long s.
+_FOLDS_TO_ASCII = "\u017f"
+
+
+def guarded_rlike(low: Column, pattern: str, literals, ignore_case: bool = True) -> Column:
+    """``low rlike pattern``, evaluated only when a required literal occurs."""
+    hit = F.lit(False)
+    for lit in literals:
+        hit = hit | low.contains(lit)
+    if ignore_case:
+        hit = hit | low.contains(_FOLDS_TO_ASCII)
+    return F.when(hit, low.rlike(pattern)).otherwise(F.lit(False))
 
 
 def rule_text(subject, body) -> Column:
@@ -32,8 +49,8 @@ def rule_text(subject, body) -> Column:
 def capitals(subject, body) -> Column:
     """At least 20 letters and an upper-case share above 0.35 (original case)."""
     t = joined(subject, body, "\n")
-    letters = F.length(F.regexp_replace(t, r"\P{L}", ""))
-    upper = F.length(F.regexp_replace(t, r"\P{Lu}", ""))
+    letters = F.length(F.regexp_replace(t, r"\P{L}+", ""))
+    upper = F.length(F.regexp_replace(t, r"\P{Lu}+", ""))
     return (letters >= K.CAPITALS_MIN_LETTERS) & (upper * 100 > letters * int(K.CAPITALS_SHARE * 100))
 
 
@@ -45,17 +62,17 @@ def punctuation(subject, body) -> Column:
 def rule_flags(subject, body) -> dict[str, Column]:
     """Boolean column per rule, keyed L1..L10."""
     low = rule_text(subject, body)
-    flags = {f"L{i + 1}": low.rlike(p) for i, (_, p) in enumerate(LANGUAGE_RULES)}
+    flags = {f"L{i + 1}": guarded_rlike(low, p, lits) for i, (_, p, lits) in enumerate(LANGUAGE_RULES)}
     flags["L8"] = capitals(subject, body)
     flags["L9"] = punctuation(subject, body)
-    flags["L10"] = low.rlike(SOCIAL_PATTERN)
+    flags["L10"] = guarded_rlike(low, SOCIAL_PATTERN, SOCIAL_LITERALS, ignore_case=False)
     return flags
 
 
 def signal_reasons(subject, body, urls) -> Column:
     """Ordered labels of the rules that fired."""
     f = rule_flags(subject, body)
-    parts = [F.when(f[f"L{i + 1}"], F.lit(label)) for i, (label, _) in enumerate(LANGUAGE_RULES)]
+    parts = [F.when(f[f"L{i + 1}"], F.lit(label)) for i, (label, _, _) in enumerate(LANGUAGE_RULES)]
     parts += [U.count_signal(urls), U.first_finding(urls),
               F.when(f["L8"], F.lit(K.REASON_CAPITALS)),
               F.when(f["L9"], F.lit(K.REASON_PUNCTUATION)),
@@ -79,7 +96,7 @@ def topic(subject, body) -> Column:
     """First matching topic of lower(subject + ' ' + body), else General."""
     low = F.lower(joined(subject, body, " "))
     out = None
-    for name, pattern in TOPIC_RULES:
-        out = (F.when(low.rlike(pattern), F.lit(name)) if out is None
-               else out.when(low.rlike(pattern), F.lit(name)))
+    for name, pattern, lits in TOPIC_RULES:
+        hit = guarded_rlike(low, pattern, lits)
+        out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
     return out.otherwise(F.lit(K.TOPIC_DEFAULT))

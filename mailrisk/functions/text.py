@@ -85,22 +85,3 @@ def ngrams_1_2(tokens) -> Column:
     k = F.greatest(n - 1, F.lit(0))
     bigrams = F.zip_with(F.slice(t, 1, k), F.slice(t, 2, k), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.concat(t, bigrams)
-
-
-def run_ends(sorted_terms) -> Column:
-    """1-based positions where a run of equal terms ends in a sorted array."""
-    s = _c(sorted_terms)
-    n = F.size(s)
-    return F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                    lambda i: (i == n) | (F.try_element_at(s, i) != F.try_element_at(s, i + 1)))
-
-
-def term_runs(sorted_terms, ends) -> Column:
-    """ARRAY<STRUCT<term, tf>> with one entry per distinct term, from a sorted
-    term array and its run ends (both materialised columns), so that term
-    frequencies need no shuffle of (document, term) pairs."""
-    s, e_ = _c(sorted_terms), _c(ends)
-    runs = F.transform(e_, lambda e, k: F.struct(
-        F.try_element_at(s, e).alias("term"),
-        (e - F.when(k == 0, F.lit(0)).otherwise(F.try_element_at(e_, k))).cast("long").alias("tf")))
-    return F.when(F.size(s) > 0, runs).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))

@@ -36,18 +36,23 @@ def with_language_flags(df: DataFrame) -> DataFrame:
 
 
 def with_signals(df: DataFrame) -> DataFrame:
-    """U1, L11, L12, L13 and the url report columns."""
+    """U1, L11, L12 and the url report columns (U3-U7); the topic (L13) is
+    added where needed (``with_topic``) because only HAM results use it."""
     df = with_urls(df) if "url_list" not in df.columns else df
     return (df.withColumn("signals", L.signal_reasons("subject", "body", "url_list"))
             .withColumn("n_signals", F.size("signals"))
             .withColumn("safe_reasons", L.safe_reasons("signals", "url_list", "sender"))
-            .withColumn("topic", L.topic("subject", "body"))
             .withColumn("urls_detected", F.size("url_list"))
             .withColumn("suspicious_urls", U.suspicious_count("url_list"))
             .withColumn("url_risk", U.url_risk("url_list"))
             .withColumn("url_error", U.any_invalid("url_list")))
 
 
+def with_topic(df: DataFrame) -> DataFrame:
+    """L13."""
+    return df.withColumn("topic", L.topic("subject", "body"))
+
+
 def url_items(df: DataFrame) -> DataFrame:
     """One row per email x url with 0-based position, host and https flag."""
     return (df.select("row_idx", F.posexplode("url_list").alias("pos", "url"))

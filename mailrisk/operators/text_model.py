@@ -3,17 +3,18 @@
 The model is a table ``MODEL_TERMS(term, idf, coef)`` plus an intercept, so
 scoring is a join and two aggregations, never a dense 250,000-wide vector.
 
-Plan shape for scoring a table of emails:
+Plan shape for scoring a table of emails (see ``analyze.analyze_emails``):
 
-* per email, inside the row: fold case/accents, tokens, 1-2-grams, and term
-  frequencies by sort + run lengths (no shuffle of (email, term) pairs);
-* ``inline`` the distinct (term, tf) pairs -- a narrow explode;
+* the email rows are hash-partitioned by ``row_idx`` once;
+* per email, inside the row: fold case/accents, tokens, 1-2-grams, then a
+  narrow ``explode``;
 * join the model terms, broadcast behind a row-count check (the vocabulary is
   capped at ``MAX_FEATURES`` rows by construction, so it has a proven bound);
-* per-email sums are partial aggregates: one row per email per map task goes
-  through the shuffle;
-* the top-5 explanation terms use ``row_number() <= 5``, which Spark plans as
-  a partial window group limit before the shuffle.
+  only model terms survive the join;
+* term frequencies (``groupBy(row_idx, term)``), per-email sums
+  (``groupBy(row_idx)``) and the top-5 explanation window (partitioned by
+  ``row_idx``) are all satisfied by the ``row_idx`` partitioning: no further
+  exchange, and the explode output never crosses the network.
 """
 
 from __future__ import annotations
@@ -35,16 +36,26 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
-def doc_terms(df: DataFrame, text_col: str = "text", id_col: str = "row_idx") -> DataFrame:
-    """M2: (id, term, tf) with one row per distinct unigram/bigram of each text."""
-    # Staged projections: each array is computed once, and the accent fold (a
-    # pandas UDF) stays outside the higher-order functions.
+def doc_tokens(df: DataFrame, text_col: str = "text", id_col: str = "row_idx") -> DataFrame:
+    """M2 before counting: (id, term) per unigram/bigram occurrence.
+
+    Staged projections: each array is computed once, and the accent fold (a
+    pandas UDF) stays outside the higher-order functions."""
     return (df.select(id_col, TX.fold_case_accents(F.col(text_col)).alias("_f"))
             .select(id_col, TX.word_tokens("_f").alias("_w"))
-            .select(id_col, TX.ngrams_1_2("_w").alias("_t"))
-            .select(id_col, F.array_sort("_t").alias("_s"))
-            .select(id_col, "_s", TX.run_ends("_s").alias("_e"))
-            .select(id_col, F.inline(TX.term_runs("_s", "_e"))))
+            .select(id_col, F.explode(TX.ngrams_1_2("_w")).alias("term")))
+
+
+def doc_terms(df: DataFrame, text_col: str = "text", id_col: str = "row_idx",
+              vocab: DataFrame | None = None) -> DataFrame:
+    """M2: (id, term, tf [, vocab columns]) with one row per distinct term of
+    each text; with ``vocab`` only its terms are kept (joined before counting)."""
+    toks = doc_tokens(df, text_col, id_col)
+    keys = [id_col, "term"]
+    if vocab is not None:
+        toks = toks.join(vocab, "term")
+        keys += [c for c in vocab.columns if c != "term"]
+    return toks.groupBy(*keys).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(terms: DataFrame, n_docs: Column | int, min_df: int = K.MIN_DF, max_df: float = K.MAX_DF,
@@ -79,7 +90,7 @@ def tfidf(terms: DataFrame, weights: DataFrame, id_col: str = "row_idx") -> Data
 
 def _weighted(df: DataFrame, model: DataFrame, text_col: str, id_col: str) -> DataFrame:
     model = bounded_broadcast(model.select("term", "idf", "coef"), MODEL_BROADCAST_MAX_ROWS)
-    return (doc_terms(df, text_col, id_col).join(model, "term")
+    return (doc_terms(df, text_col, id_col, vocab=model)
             .withColumn("w", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf"))
             .withColumn("contrib", F.col("w") * F.col("coef")))
 
@@ -92,7 +103,9 @@ def score(df: DataFrame, model: DataFrame, intercept: float, text_col: str = "te
           id_col: str = "row_idx", weighted: DataFrame | None = None) -> DataFrame:
     """M7: ``df`` plus ``margin`` and ``spam_risk`` (percent); a text without
     any model term scores by the intercept alone (left join)."""
-    weighted = weighted if weighted is not None else _weighted(df, model, text_col, id_col)
+    if weighted is None:
+        df = df.repartition(id_col)  # one exchange; counts, sums and the join stay inside it
+        weighted = _weighted(df, model, text_col, id_col)
     sums = weighted.groupBy(id_col).agg(F.sum(F.col("w") * F.col("w")).alias("_ss"),
                                         F.sum("contrib").alias("_dot"))
     margin = F.coalesce(F.when(F.col("_ss") > 0, F.col("_dot") / F.sqrt("_ss")), F.lit(0.0)) + F.lit(intercept)

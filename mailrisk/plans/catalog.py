@@ -242,7 +242,7 @@ def q_safe_reasons(spark, sf_dir):
 SELECT row_idx, {O.topic('subject', 'body')} AS topic FROM canon""")
 def q_topic(spark, sf_dir):
     """First matching topic, else General."""
-    return rules_frame(spark, sf_dir).select("row_idx", "topic")
+    return R.with_topic(canon(spark, sf_dir)).select("row_idx", "topic")
 
 
 @register("signal_summary", O.with_ctes(O.CANON, _RULES, _SIG) + """
