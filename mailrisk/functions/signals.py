@@ -46,32 +46,34 @@ def rule_text(subject, body) -> Column:
     return F.lower(joined(subject, body, "\n"))
 
 
-def capitals(subject, body) -> Column:
+def capitals(txt) -> Column:
     """At least 20 letters and an upper-case share above 0.35 (original case)."""
-    t = joined(subject, body, "\n")
+    t = _c(txt)
     letters = F.length(F.regexp_replace(t, r"\P{L}+", ""))
     upper = F.length(F.regexp_replace(t, r"\P{Lu}+", ""))
     return (letters >= K.CAPITALS_MIN_LETTERS) & (upper * 100 > letters * int(K.CAPITALS_SHARE * 100))
 
 
-def punctuation(subject, body) -> Column:
+def punctuation(txt) -> Column:
     """At least two runs of '!!' or '??'."""
-    return F.regexp_count(joined(subject, body, "\n"), F.lit(PUNCT_RUNS)) >= K.PUNCTUATION_MIN_RUNS
+    return F.regexp_count(_c(txt), F.lit(PUNCT_RUNS)) >= K.PUNCTUATION_MIN_RUNS
 
 
-def rule_flags(subject, body) -> dict[str, Column]:
-    """Boolean column per rule, keyed L1..L10."""
-    low = rule_text(subject, body)
+def rule_flags(low, txt) -> dict[str, Column]:
+    """Boolean column per rule, keyed L1..L10, over materialised columns:
+    ``low`` = lower(subject \n body) and ``txt`` = subject \n body.  (Passing
+    expressions instead would re-evaluate them in every conditional branch.)"""
+    low = _c(low)
     flags = {f"L{i + 1}": guarded_rlike(low, p, lits) for i, (_, p, lits) in enumerate(LANGUAGE_RULES)}
-    flags["L8"] = capitals(subject, body)
-    flags["L9"] = punctuation(subject, body)
+    flags["L8"] = capitals(txt)
+    flags["L9"] = punctuation(txt)
     flags["L10"] = guarded_rlike(low, SOCIAL_PATTERN, SOCIAL_LITERALS, ignore_case=False)
     return flags
 
 
-def signal_reasons(subject, body, urls) -> Column:
+def signal_reasons(low, txt, urls) -> Column:
     """Ordered labels of the rules that fired."""
-    f = rule_flags(subject, body)
+    f = rule_flags(low, txt)
     parts = [F.when(f[f"L{i + 1}"], F.lit(label)) for i, (label, _, _) in enumerate(LANGUAGE_RULES)]
     parts += [U.count_signal(urls), U.first_finding(urls),
               F.when(f["L8"], F.lit(K.REASON_CAPITALS)),
@@ -92,9 +94,13 @@ def safe_reasons(signals, urls, sender) -> Column:
     ))
 
 
-def topic(subject, body) -> Column:
-    """First matching topic of lower(subject + ' ' + body), else General."""
-    low = F.lower(joined(subject, body, " "))
+def topic_text(subject, body) -> Column:
+    return F.lower(joined(subject, body, " "))
+
+
+def topic(low_space) -> Column:
+    """First matching topic of a materialised lower(subject + ' ' + body), else General."""
+    low = _c(low_space)
     out = None
     for name, pattern, lits in TOPIC_RULES:
         hit = guarded_rlike(low, pattern, lits)

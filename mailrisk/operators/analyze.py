@@ -51,6 +51,7 @@ def analyze_emails(emails: DataFrame, model: DataFrame, intercept: float, keep:
 
 
 def assemble(df: DataFrame) -> DataFrame:
+    df = df.withColumn("_lows", L.topic_text("subject", "body"))
     pred = F.col("prediction")
     ctx = RK.context_risk("n_signals")
     overall = RK.overall_risk("spam_risk", "url_risk", ctx)
@@ -66,7 +67,7 @@ def assemble(df: DataFrame) -> DataFrame:
         "overall_risk": F.when(ok, overall),
         "risk_level": F.when(ok, RK.risk_level(overall)),
         # the topic rules only run for HAM rows (CASE WHEN is lazy)
-        "domain_category": F.when(ok, RK.domain_category(pred, L.topic("subject", "body"))),
+        "domain_category": F.when(ok, RK.domain_category(pred, L.topic("_lows"))),
         "reasons": F.when(ok, reasons),
         "url_analysis": F.when(ok, F.struct(
             F.col("urls_detected").alias("urls_detected"), F.col("suspicious_urls").alias("suspicious_urls"),
@@ -78,7 +79,7 @@ def assemble(df: DataFrame) -> DataFrame:
         "explanation": F.when(ok, F.lit("")),
     }
     extra = [c for c in df.columns if c not in COMPACT and c not in
-             ("margin", "spam_risk", "prediction", "confidence", "model_terms")]
+             ("margin", "spam_risk", "prediction", "confidence", "model_terms", "_lows")]
     return df.select("row_idx", *[v.alias(k) for k, v in result.items()], *extra)
 
 

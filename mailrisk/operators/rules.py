@@ -29,17 +29,26 @@ def with_urls(df: DataFrame) -> DataFrame:
     return df.withColumn("url_list", U.extract_urls("subject", "body"))
 
 
+def with_rule_text(df: DataFrame) -> DataFrame:
+    """Materialise the searched texts once: ``_txt`` = subject \n body, ``_low`` its lower case."""
+    return (df.withColumn("_txt", F.concat("subject", F.lit("\n"), "body"))
+            .withColumn("_low", F.lower("_txt")))
+
+
 def with_language_flags(df: DataFrame) -> DataFrame:
     """L1-L10 as named boolean columns."""
-    flags = L.rule_flags("subject", "body")
-    return df.withColumns({name: flags[f"L{i + 1}"] for i, name in enumerate(LANGUAGE_FLAG_NAMES)})
+    flags = L.rule_flags("_low", "_txt")
+    return (with_rule_text(df)
+            .withColumns({name: flags[f"L{i + 1}"] for i, name in enumerate(LANGUAGE_FLAG_NAMES)})
+            .drop("_txt", "_low"))
 
 
 def with_signals(df: DataFrame) -> DataFrame:
     """U1, L11, L12 and the url report columns (U3-U7); the topic (L13) is
     added where needed (``with_topic``) because only HAM results use it."""
     df = with_urls(df) if "url_list" not in df.columns else df
-    return (df.withColumn("signals", L.signal_reasons("subject", "body", "url_list"))
+    return (with_rule_text(df).withColumn("signals", L.signal_reasons("_low", "_txt", "url_list"))
+            .drop("_txt", "_low")
             .withColumn("n_signals", F.size("signals"))
             .withColumn("safe_reasons", L.safe_reasons("signals", "url_list", "sender"))
             .withColumn("urls_detected", F.size("url_list"))
@@ -50,7 +59,7 @@ def with_signals(df: DataFrame) -> DataFrame:
 
 def with_topic(df: DataFrame) -> DataFrame:
     """L13."""
-    return df.withColumn("topic", L.topic("subject", "body"))
+    return df.withColumn("_lows", L.topic_text("subject", "body")).withColumn("topic", L.topic("_lows")).drop("_lows")
 
 
 def url_items(df: DataFrame) -> DataFrame:
