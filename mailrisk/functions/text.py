@@ -28,10 +28,16 @@ def clean(col) -> Column:
     return F.coalesce(F.trim(_c(col).cast("string"), F.lit(PY_WHITESPACE)), F.lit(""))
 
 
+# A decimal literal as Python's float() reads it (ASCII digits, '_' between
+# digits); Spark's cast alone would also take "1d", "1f" or "0x1p0".
+_DIGITS = r"[0-9](?:_?[0-9])*"
+PY_FLOAT = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?$"
+
+
 def normalize_label(col) -> Column:
     """Alias spellings, else a number equal to 0 or 1, else NULL (INT)."""
     s = F.lower(F.trim(_c(col).cast("string"), F.lit(PY_WHITESPACE)))
-    as_double = s.try_cast("double")
+    as_double = F.when(s.rlike(PY_FLOAT), F.regexp_replace(s, "_", "").try_cast("double"))
     return (F.when(_c(col).isNull(), F.lit(None).cast("int"))
             .when(s.isin(K.SPAM_SPELLINGS), F.lit(1))
             .when(s.isin(K.HAM_SPELLINGS), F.lit(0))
