@@ -1,11 +1,13 @@
 """Whole-table email analysis (R1-R7): rules + model score + explanation -> RESULT.
 
-``analyze_emails`` shuffles the email rows exactly once, by ``row_idx``.
-Everything after that -- rule columns, the term explode, the model join
-(broadcast), term counts, per-email sums, the top-k explanation window and
-the joins that put the pieces together -- runs inside those partitions
-without another exchange (check with ``explain``).  The exploded terms, the
-largest intermediate, never cross the network.
+``analyze_emails`` hash-partitions two narrow projections of the input by
+``row_idx`` with the same partition count: the compact rule row (labels,
+counts, topic -- no text) and the case/accent-folded text.  Everything after
+that -- the term explode, the broadcast model join, term counts, per-email
+sums, the top-k explanation window and the joins that put the pieces
+together -- runs inside those co-partitioned partitions without another
+exchange (check with ``explain``).  The exploded terms, the largest
+intermediate, never cross the network; the text crosses it once.
 """
 
 from __future__ import annotations
@@ -16,17 +18,26 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import risk as RK
 from ..functions import sender as D
-from ..functions import signals as L
 from ..functions import text as TX
 from ..functions import urls as U
 from . import rules as R
 from . import text_model as M
 
 INVALID_URL_ERROR = "Invalid IPv6 URL"
-COMPACT = ["row_idx", "subject", "body", "sender", "url_list", "signals", "n_signals", "safe_reasons",
+COMPACT = ["row_idx", "sender", "url_list", "signals", "n_signals", "safe_reasons", "topic",
            "urls_detected", "suspicious_urls", "url_risk", "url_error"]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give the per-row rule and fold work at least one task per core.
+
+    On a cluster the scan already has thousands of splits and this is a
+    no-op; a small single-row-group input (local tests, bench) would otherwise
+    run all the regex and fold work in one task before the shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def rule_table(emails: DataFrame) -> DataFrame:
     """Cleaned fields + every rule column + the combined model text."""
     cleaned = R.clean_email_fields(emails)
@@ -40,18 +51,15 @@ def analyze_emails(emails: DataFrame, model: DataFrame, intercept: float, keep:
     the rest of the table is unaffected.  ``keep`` names extra input columns
     (e.g. raw fields for the history) carried through the compact side.
     """
-    ruled = rule_table(emails.repartition("row_idx"))
-    weighted = M._weighted(ruled.select("row_idx", "text"), model, "text", "row_idx")
-    compact = ruled.select(*COMPACT, *keep)
-    scored = M.score(compact, model, intercept, weighted=weighted)
-    scored = M.predict(scored)
-    cands = M.explanation_candidates(weighted)
-    df = M.explain_terms(scored, cands)
-    return assemble(df)
+    ruled = R.with_topic(rule_table(spread(emails)))
+    compact = ruled.select(*COMPACT, *keep).repartition("row_idx")
+    texts = M.fold_text(ruled, "text", "row_idx").repartition("row_idx")
+    stats = M.email_stats(M._weighted(texts, model, "_f", "row_idx", folded=True))
+    scored = M.predict(M.score(compact, model, intercept, stats=stats))
+    return assemble(M.explain_terms(scored))
 
 
 def assemble(df: DataFrame) -> DataFrame:
-    df = df.withColumn("_lows", L.topic_text("subject", "body"))
     pred = F.col("prediction")
     ctx = RK.context_risk("n_signals")
     overall = RK.overall_risk("spam_risk", "url_risk", ctx)
@@ -66,8 +74,7 @@ def assemble(df: DataFrame) -> DataFrame:
         "confidence": F.when(ok, F.round("confidence", 1)),
         "overall_risk": F.when(ok, overall),
         "risk_level": F.when(ok, RK.risk_level(overall)),
-        # the topic rules only run for HAM rows (CASE WHEN is lazy)
-        "domain_category": F.when(ok, RK.domain_category(pred, L.topic("_lows"))),
+        "domain_category": F.when(ok, RK.domain_category(pred, "topic")),
         "reasons": F.when(ok, reasons),
         "url_analysis": F.when(ok, F.struct(
             F.col("urls_detected").alias("urls_detected"), F.col("suspicious_urls").alias("suspicious_urls"),
@@ -79,7 +86,7 @@ def assemble(df: DataFrame) -> DataFrame:
         "explanation": F.when(ok, F.lit("")),
     }
     extra = [c for c in df.columns if c not in COMPACT and c not in
-             ("margin", "spam_risk", "prediction", "confidence", "model_terms", "_lows")]
+             ("margin", "spam_risk", "prediction", "confidence", "model_terms")]
     return df.select("row_idx", *[v.alias(k) for k, v in result.items()], *extra)
 
 

@@ -11,15 +11,15 @@ Plan shape for scoring a table of emails (see ``analyze.analyze_emails``):
 * join the model terms, broadcast behind a row-count check (the vocabulary is
   capped at ``MAX_FEATURES`` rows by construction, so it has a proven bound);
   only model terms survive the join;
-* term frequencies (``groupBy(row_idx, term)``), per-email sums
-  (``groupBy(row_idx)``) and the top-5 explanation window (partitioned by
-  ``row_idx``) are all satisfied by the ``row_idx`` partitioning: no further
-  exchange, and the explode output never crosses the network.
+* term frequencies (``groupBy(row_idx, term)``) and one per-email
+  aggregation (sums and top-5 candidates, ``email_stats``) are satisfied by
+  the ``row_idx`` partitioning: no further exchange, and the explode output
+  never crosses the network.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -36,21 +36,36 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
-def doc_tokens(df: DataFrame, text_col: str = "text", id_col: str = "row_idx") -> DataFrame:
+def fold_text(df: DataFrame, text_col: str = "text", id_col: str = "row_idx", out: str = "_f") -> DataFrame:
+    """(id, folded text): the accent fold is an Arrow UDF, which does not keep
+    the child's partitioning, so it runs before any repartition by id."""
+    return df.select(id_col, TX.fold_case_accents(F.col(text_col)).alias(out))
+
+
+def doc_tokens(df: DataFrame, text_col: str = "text", id_col: str = "row_idx", folded: bool = False) -> DataFrame:
     """M2 before counting: (id, term) per unigram/bigram occurrence.
 
-    Staged projections: each array is computed once, and the accent fold (a
-    pandas UDF) stays outside the higher-order functions."""
-    return (df.select(id_col, TX.fold_case_accents(F.col(text_col)).alias("_f"))
-            .select(id_col, TX.word_tokens("_f").alias("_w"))
+    Staged projections keep each array computed once and the accent fold (a
+    pandas UDF) outside the higher-order functions."""
+    f = df.select(id_col, F.col(text_col).alias("_f")) if folded else fold_text(df, text_col, id_col)
+    return (f.select(id_col, TX.word_tokens("_f").alias("_w"))
             .select(id_col, F.explode(TX.ngrams_1_2("_w")).alias("term")))
 
 
+def partitioned_terms(df: DataFrame, text_col: str = "text", id_col: str = "row_idx",
+                      vocab: DataFrame | None = None) -> DataFrame:
+    """``doc_terms`` with the folded text hash-partitioned by id first, so the
+    (id, term) counts and any later per-id aggregation or join need no
+    exchange of the exploded terms."""
+    texts = fold_text(df, text_col, id_col).repartition(id_col)
+    return doc_terms(texts, "_f", id_col, vocab=vocab, folded=True)
+
+
 def doc_terms(df: DataFrame, text_col: str = "text", id_col: str = "row_idx",
-              vocab: DataFrame | None = None) -> DataFrame:
+              vocab: DataFrame | None = None, folded: bool = False) -> DataFrame:
     """M2: (id, term, tf [, vocab columns]) with one row per distinct term of
     each text; with ``vocab`` only its terms are kept (joined before counting)."""
-    toks = doc_tokens(df, text_col, id_col)
+    toks = doc_tokens(df, text_col, id_col, folded)
     keys = [id_col, "term"]
     if vocab is not None:
         toks = toks.join(vocab, "term")
@@ -88,9 +103,9 @@ def tfidf(terms: DataFrame, weights: DataFrame, id_col: str = "row_idx") -> Data
             .select(id_col, "term", "tf", "w"))
 
 
-def _weighted(df: DataFrame, model: DataFrame, text_col: str, id_col: str) -> DataFrame:
+def _weighted(df: DataFrame, model: DataFrame, text_col: str, id_col: str, folded: bool = False) -> DataFrame:
     model = bounded_broadcast(model.select("term", "idf", "coef"), MODEL_BROADCAST_MAX_ROWS)
-    return (doc_terms(df, text_col, id_col, vocab=model)
+    return (doc_terms(df, text_col, id_col, vocab=model, folded=folded)
             .withColumn("w", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf"))
             .withColumn("contrib", F.col("w") * F.col("coef")))
 
@@ -99,34 +114,46 @@ def sigmoid_percent(margin: Column) -> Column:
     return F.lit(100.0) / (F.lit(1.0) + F.exp(-margin))
 
 
+def email_stats(weighted: DataFrame, id_col: str = "row_idx", k: int = K.EXPLAIN_TOP_K) -> DataFrame:
+    """Per email in one aggregation: sum(w^2), sum(w * coef) and the top-``k``
+    explanation candidates in each direction (M7 + M9 inputs).
+
+    Candidates are terms of length >= 3 with a non-zero contribution, ordered
+    by |contribution| descending then term; ``spam_terms`` holds the positive
+    ones, ``ham_terms`` the negative ones.  Each list is built from one
+    email's own terms (bounded by that email's length) inside the partition
+    that already holds them -- the input is partitioned by ``id_col``."""
+    eligible = (F.length("term") >= K.EXPLAIN_MIN_TERM_LEN) & (F.col("contrib") != 0)
+    key = F.struct((-F.abs("contrib")).alias("k"), F.col("term").alias("term"))
+    top = lambda c: F.transform(F.slice(F.array_sort(c), 1, k), lambda x: x["term"])
+    agg = weighted.groupBy(id_col).agg(
+        F.sum(F.col("w") * F.col("w")).alias("_ss"), F.sum("contrib").alias("_dot"),
+        F.collect_list(F.when(eligible & (F.col("contrib") > 0), key)).alias("_p"),
+        F.collect_list(F.when(eligible & (F.col("contrib") < 0), key)).alias("_n"))
+    return agg.select(id_col, "_ss", "_dot", top("_p").alias("spam_terms"), top("_n").alias("ham_terms"))
+
+
 def score(df: DataFrame, model: DataFrame, intercept: float, text_col: str = "text",
-          id_col: str = "row_idx", weighted: DataFrame | None = None) -> DataFrame:
-    """M7: ``df`` plus ``margin`` and ``spam_risk`` (percent); a text without
-    any model term scores by the intercept alone (left join)."""
-    if weighted is None:
-        df = df.repartition(id_col)  # one exchange; counts, sums and the join stay inside it
-        weighted = _weighted(df, model, text_col, id_col)
-    sums = weighted.groupBy(id_col).agg(F.sum(F.col("w") * F.col("w")).alias("_ss"),
-                                        F.sum("contrib").alias("_dot"))
+          id_col: str = "row_idx", stats: DataFrame | None = None) -> DataFrame:
+    """M7: ``df`` plus ``margin`` and ``spam_risk`` (percent), and the
+    explanation candidate lists; a text without any model term scores by the
+    intercept alone (left join)."""
+    if stats is None:
+        # fold first (Python loses partitioning), then one exchange by id: term
+        # counts, the per-email aggregation and the join back stay inside it
+        texts = fold_text(df, text_col, id_col).repartition(id_col)
+        stats = email_stats(_weighted(texts, model, "_f", id_col, folded=True), id_col)
+        df = df.repartition(id_col)
     margin = F.coalesce(F.when(F.col("_ss") > 0, F.col("_dot") / F.sqrt("_ss")), F.lit(0.0)) + F.lit(intercept)
-    return (df.join(sums, id_col, "left")
+    return (df.join(stats, id_col, "left")
             .withColumn("margin", margin)
             .withColumn("spam_risk", sigmoid_percent(F.col("margin")))
             .drop("_ss", "_dot"))
 
 
 def explanation_candidates(weighted: DataFrame, id_col: str = "row_idx", k: int = K.EXPLAIN_TOP_K) -> DataFrame:
-    """M9 candidates: per email the top ``k`` terms (length >= 3) with the
-    largest positive and the largest negative contributions, as two ordered
-    arrays ``spam_terms`` / ``ham_terms``.  Ties break on the term."""
-    c = weighted.filter((F.length("term") >= K.EXPLAIN_MIN_TERM_LEN) & (F.col("contrib") != 0))
-    c = c.withColumn("_pos", F.col("contrib") > 0)
-    w = Window.partitionBy(id_col, "_pos").orderBy(F.abs("contrib").desc(), F.col("term").asc())
-    top = c.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k)
-    ordered = lambda cond: F.transform(
-        F.array_sort(F.collect_list(F.when(cond, F.struct("_rank", "term")))), lambda s: s["term"])
-    return top.groupBy(id_col).agg(ordered(F.col("_pos")).alias("spam_terms"),
-                                   ordered(~F.col("_pos")).alias("ham_terms"))
+    """M9 candidates: (id, spam_terms, ham_terms)."""
+    return email_stats(weighted, id_col, k).drop("_ss", "_dot")
 
 
 def predict(df: DataFrame, risk_col: str = "spam_risk") -> DataFrame:
@@ -136,10 +163,13 @@ def predict(df: DataFrame, risk_col: str = "spam_risk") -> DataFrame:
             .withColumn("confidence", RK.confidence(risk_col)))
 
 
-def explain_terms(scored: DataFrame, candidates: DataFrame, id_col: str = "row_idx") -> DataFrame:
-    """M9: per email the candidate list in the predicted direction (empty if none)."""
+def explain_terms(scored: DataFrame, candidates: DataFrame | None = None, id_col: str = "row_idx") -> DataFrame:
+    """M9: per email the candidate list in the predicted direction (empty if
+    none).  ``scored`` from ``score`` already carries the candidate lists."""
     empty = F.array().cast("array<string>")
-    return (scored.join(candidates, id_col, "left")
+    if candidates is not None:
+        scored = scored.drop("spam_terms", "ham_terms").join(candidates, id_col, "left")
+    return (scored
             .withColumn("model_terms", F.coalesce(
                 F.when(F.col("prediction") == K.SPAM, F.col("spam_terms")).otherwise(F.col("ham_terms")), empty))
             .drop("spam_terms", "ham_terms"))

@@ -68,7 +68,7 @@ def fit_spam_model(train: DataFrame, text_col: str = "text", label: str = "label
     Returns ``(model_terms, intercept, n_docs)`` where ``model_terms`` is the
     table ``(term, idf, coef, idx)`` used by scoring."""
     spark = train.sparkSession
-    terms = M.doc_terms(train.select(id_col, text_col), text_col, id_col)
+    terms = M.partitioned_terms(train.select(id_col, text_col), text_col, id_col)
     n_docs = train.count()
     vocab = M.vocabulary(terms, n_docs)
     weights = M.idf_weights(vocab, n_docs).select("term", "idf", "idx")

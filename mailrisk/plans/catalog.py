@@ -311,10 +311,7 @@ SELECT row_idx, prediction, array_to_string(model_terms, ', ') AS model_terms FR
 def q_explain(spark, sf_dir):
     """M9: top-5 model terms in the predicted direction."""
     ruled = A.rule_table(FX.emails(spark, sf_dir)).select("row_idx", "text")
-    model = FX.model_terms(spark)
-    weighted = M._weighted(ruled, model, "text", "row_idx")
-    scored = M.predict(M.score(ruled.select("row_idx"), model, FX.MODEL_INTERCEPT, weighted=weighted))
-    out = M.explain_terms(scored, M.explanation_candidates(weighted))
+    out = M.explain_terms(M.predict(M.score(ruled, FX.model_terms(spark), FX.MODEL_INTERCEPT)))
     return out.select("row_idx", "prediction", F.array_join("model_terms", ", ").alias("model_terms"))
 
 
@@ -385,7 +382,7 @@ SELECT term, df, CAST(cf AS BIGINT) AS cf, idx FROM (
 def q_vocabulary(spark, sf_dir):
     """M3: min_df / max_df filter, then the top terms by corpus count."""
     docs = training_docs(spark, sf_dir)
-    terms = M.doc_terms(docs.select("doc", "text"), "text", "doc")
+    terms = M.partitioned_terms(docs.select("doc", "text"), "text", "doc")
     return M.vocabulary(terms, docs.count(), id_col="doc").select("term", "df", "cf", "idx")
 
 

@@ -27,9 +27,7 @@ def test_scores_by_intercept_without_terms(spark):
 def test_explanations_have_predicted_sign(spark):
     docs = ruled(spark)
     model = FX.model_terms(spark)
-    weighted = M._weighted(docs, model, "text", "row_idx")
-    scored = M.predict(M.score(docs.select("row_idx"), model, FX.MODEL_INTERCEPT, weighted=weighted))
-    out = M.explain_terms(scored, M.explanation_candidates(weighted))
+    out = M.explain_terms(M.predict(M.score(docs, model, FX.MODEL_INTERCEPT)))
     coef = {t: c for t, _, c in FX.MODEL_TERMS}
     n = 0
     for r in out.collect():
