@@ -8,9 +8,11 @@ argument is NULL for ASCII rows, so Arrow ships almost nothing for them).
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,6 +63,11 @@ def joined(subject, body, sep: str) -> Column:
 # unigrams followed by adjacent bigrams.
 # ---------------------------------------------------------------------------
 
+# Ship this module's UDF code by value: executors' Python workers then need
+# nothing but pyspark/pandas, whatever the driver's working directory.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _fold_one(t):
     if t is None:
         return None

@@ -80,8 +80,12 @@ def vocabulary(terms: DataFrame, n_docs: Column | int, min_df: int = K.MIN_DF, m
 
     The cut uses a distributed sort and positions (``global_position``), not a
     single-task top-k over every partition's candidates."""
+    from ..session import ensure_checkpoint_dir
     from .positions import global_position
-    stats = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    ensure_checkpoint_dir(terms.sparkSession)
+    # One row per distinct term, written once: the sort's sampling pass and the
+    # numbering below read it instead of re-running the token pipeline.
+    stats = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).checkpoint()
     kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.lit(n_docs)))
     ranked = global_position(kept, [F.col("cf").desc(), F.col("term").asc()], out="idx")
     return ranked.filter(F.col("idx") < max_features)

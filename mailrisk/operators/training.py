@@ -8,6 +8,9 @@ each email's sorted ``(idx, w)`` arrays into a ``SparseVector`` for Spark ML's
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, Window
@@ -48,6 +51,9 @@ def class_weights(train: DataFrame, label: str = "label") -> DataFrame:
     return counts.withColumn("weight", total / (F.lit(2.0) * F.col("n")))
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # UDF code travels by value
+
+
 @F.udf(returnType=VectorUDT(), useArrow=True)
 def _sparse(size, idx, val):
     return SparseVector(int(size), list(idx), list(val))
