@@ -61,9 +61,10 @@ def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
 
 
 def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The EMAILS view over the driver tables of ``sf_dir``."""
+    """The EMAILS view over the driver tables of ``sf_dir`` (spread over the cores)."""
+    from .operators.layout import spread
     register_tables(spark, sf_dir, ["documents", "labels", "events"])
-    return spark.sql(EMAILS_SQL)
+    return spread(spark.sql(EMAILS_SQL))
 
 
 def model_terms(spark: SparkSession) -> DataFrame:

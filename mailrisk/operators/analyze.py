@@ -21,6 +21,7 @@ from ..functions import sender as D
 from ..functions import text as TX
 from ..functions import urls as U
 from . import rules as R
+from .layout import spread
 from . import text_model as M
 
 INVALID_URL_ERROR = "Invalid IPv6 URL"
@@ -28,16 +29,6 @@ COMPACT = ["row_idx", "sender", "url_list", "signals", "n_signals", "safe_reason
            "urls_detected", "suspicious_urls", "url_risk", "url_error"]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give the per-row rule and fold work at least one task per core.
-
-    On a cluster the scan already has thousands of splits and this is a
-    no-op; a small single-row-group input (local tests, bench) would otherwise
-    run all the regex and fold work in one task before the shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def rule_table(emails: DataFrame) -> DataFrame:
     """Cleaned fields + every rule column + the combined model text."""
     cleaned = R.clean_email_fields(emails)

@@ -1,0 +1,15 @@
+"""Input layout helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give per-row work (regex rules, accent fold) at least one task per core.
+
+    On a cluster a scan already has thousands of splits and this is a no-op;
+    a small single-row-group input (local tests, bench) would otherwise run
+    all of it in one task.  Results never depend on the partitioning."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
