@@ -73,20 +73,34 @@ def doc_terms(df: DataFrame, text_col: str = "text", id_col: str = "row_idx",
     return toks.groupBy(*keys).agg(F.count(F.lit(1)).alias("tf"))
 
 
-def vocabulary(terms: DataFrame, n_docs: Column | int, min_df: int = K.MIN_DF, max_df: float = K.MAX_DF,
-               max_features: int = K.MAX_FEATURES, id_col: str = "row_idx") -> DataFrame:
-    """M3: document frequency in [min_df, max_df * n_docs], then the
-    ``max_features`` terms with the highest corpus count (ties by term).
+def term_statistics(df: DataFrame, text_col: str = "text", id_col: str = "row_idx") -> DataFrame:
+    """(term, df, cf): documents containing the term and its corpus count.
+
+    One explode per email of its term occurrences (d = 0) and of its distinct
+    terms (d = 1, ``array_distinct`` inside the row), then one ``groupBy(term)``
+    whose partial aggregation keeps one row per term per task -- no
+    (email, term) aggregation and no shuffle of occurrences."""
+    f = fold_text(df, text_col, id_col)
+    t = f.select(TX.ngrams_1_2(TX.word_tokens("_f")).alias("_t"))
+    both = F.concat(F.transform("_t", lambda x: F.struct(x.alias("term"), F.lit(0).alias("d"))),
+                    F.transform(F.array_distinct("_t"), lambda x: F.struct(x.alias("term"), F.lit(1).alias("d"))))
+    return (t.select(F.inline(both))
+            .groupBy("term").agg(F.sum("d").cast("long").alias("df"), F.sum(1 - F.col("d")).cast("long").alias("cf")))
+
+
+def vocabulary(stats: DataFrame, n_docs: Column | int, min_df: int = K.MIN_DF, max_df: float = K.MAX_DF,
+               max_features: int = K.MAX_FEATURES) -> DataFrame:
+    """M3: from ``term_statistics``, document frequency in [min_df, max_df * n_docs],
+    then the ``max_features`` terms with the highest corpus count (ties by term).
 
     The cut uses a distributed sort and positions (``global_position``), not a
     single-task top-k over every partition's candidates."""
     from ..session import ensure_checkpoint_dir
     from .positions import global_position
-    ensure_checkpoint_dir(terms.sparkSession)
+    ensure_checkpoint_dir(stats.sparkSession)
     # One row per distinct term, written once: the sort's sampling pass and the
     # numbering below read it instead of re-running the token pipeline.
-    stats = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).checkpoint()
-    kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.lit(n_docs)))
+    kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.lit(n_docs))).checkpoint()
     ranked = global_position(kept, [F.col("cf").desc(), F.col("term").asc()], out="idx")
     return ranked.filter(F.col("idx") < max_features)
 

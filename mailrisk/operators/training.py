@@ -74,12 +74,12 @@ def fit_spam_model(train: DataFrame, text_col: str = "text", label: str = "label
     Returns ``(model_terms, intercept, n_docs)`` where ``model_terms`` is the
     table ``(term, idf, coef, idx)`` used by scoring."""
     spark = train.sparkSession
-    terms = M.partitioned_terms(train.select(id_col, text_col), text_col, id_col)
     n_docs = train.count()
-    vocab = M.vocabulary(terms, n_docs)
+    vocab = M.vocabulary(M.term_statistics(train, text_col, id_col), n_docs)
     weights = M.idf_weights(vocab, n_docs).select("term", "idf", "idx")
     size = int(vocab.agg(F.max("idx")).first()[0] or 0) + 1
     weights_b = M.bounded_broadcast(weights, K.MAX_FEATURES)
+    terms = M.partitioned_terms(train.select(id_col, text_col), text_col, id_col, vocab=weights_b.select("term"))
     feats = features(terms, weights_b, size, id_col)
     cw = class_weights(train, label).select(label, "weight")
     empty = _sparse(F.lit(size), F.array().cast("array<int>"), F.array().cast("array<double>"))

@@ -382,8 +382,7 @@ SELECT term, df, CAST(cf AS BIGINT) AS cf, idx FROM (
 def q_vocabulary(spark, sf_dir):
     """M3: min_df / max_df filter, then the top terms by corpus count."""
     docs = training_docs(spark, sf_dir)
-    terms = M.partitioned_terms(docs.select("doc", "text"), "text", "doc")
-    return M.vocabulary(terms, docs.count(), id_col="doc").select("term", "df", "cf", "idx")
+    return M.vocabulary(M.term_statistics(docs, "text", "doc"), docs.count()).select("term", "df", "cf", "idx")
 
 
 @register("classification_metrics", _ANALYSIS_SQL.replace("WITH emails AS", "WITH emails AS", 1).rstrip()
@@ -470,8 +469,13 @@ def q_history_roundtrip(spark, sf_dir):
 @register("history_list", _HIST_SQL + """
 SELECT id, row_number() OVER (ORDER BY created_at DESC, id) AS number, classification FROM hist""")
 def q_history_list(spark, sf_dir):
-    """H1: newest first with a 1-based number, whole table."""
-    return H.history_list(history(spark, sf_dir)).select("id", F.col("number").cast("long"), "classification")
+    """S6 -> S7 -> H1: append the detections to a history table, then list it
+    newest first with a 1-based number over the whole table."""
+    from ..session import shared_dir
+    path = shared_dir(spark, "history")
+    HIO.append_history(history(spark, sf_dir), path)
+    stored = HIO.read_history(spark, path)
+    return H.history_list(stored).select("id", F.col("number").cast("long"), "classification")
 
 
 @register("history_page", _HIST_SQL + """
