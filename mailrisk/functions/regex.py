@@ -62,11 +62,9 @@ def re2_verification() -> str:
 
 # URL extraction: https?:// followed by characters that are not whitespace or <>"'
 URL_PATTERN = "(?i)https?://[^" + WS_CLASS + "<>\"']+"
-URL_TRAILING = "[" + "".join("\\" + c for c in K.URL_TRAILING_STRIP) + "]+$"
 PUNCT_RUNS = r"!{2,}|\?{2,}"
 IPV4_HOST = r"^\p{Nd}{1,3}(?:\.\p{Nd}{1,3}){3}$"
 SENDER_SHAPE = "^[^" + WS_CLASS + "@]+@[^" + WS_CLASS + "@]+\\.[^" + WS_CLASS + "@]+$"
-URL_SUSPICIOUS_WORDS = K.URL_SENSITIVE_SUBSTRINGS
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 

@@ -5,9 +5,10 @@ scoring is a join and two aggregations, never a dense 250,000-wide vector.
 
 Plan shape for scoring a table of emails (see ``analyze.analyze_emails``):
 
-* the email rows are hash-partitioned by ``row_idx`` once;
-* per email, inside the row: fold case/accents, tokens, 1-2-grams, then a
-  narrow ``explode``;
+* per email, inside the row: fold case/accents (the one Python step, before
+  any repartition because Python evaluation drops the child's partitioning);
+* the folded text is hash-partitioned by ``row_idx`` once; tokens and
+  1-2-grams are computed inside the row, then a narrow ``explode``;
 * join the model terms, broadcast behind a row-count check (the vocabulary is
   capped at ``MAX_FEATURES`` rows by construction, so it has a proven bound);
   only model terms survive the join;

@@ -1,9 +1,10 @@
 """Model building: split, vocabulary, weights, fit, metrics, report.
 
-Features are the same long-format TF-IDF rows used for scoring.  The only
-per-row Python in the engine is ``_sparse``: an Arrow-batched UDF that turns
-each email's sorted ``(idx, w)`` arrays into a ``SparseVector`` for Spark ML's
-``LogisticRegression`` (distributed L-BFGS; gradients are tree-aggregated).
+Features are the same long-format TF-IDF rows used for scoring.  Besides the
+accent fold, the only Python in the engine is ``_sparse``: an Arrow-batched
+UDF that turns each email's sorted ``(idx, w)`` arrays into a
+``SparseVector`` for Spark ML's ``LogisticRegression`` (distributed L-BFGS;
+gradients are tree-aggregated).
 """
 
 from __future__ import annotations
