@@ -21,7 +21,6 @@ from ..functions import sender as D
 from ..functions import text as TX
 from ..functions import urls as U
 from . import rules as R
-from .layout import spread
 from . import text_model as M
 
 INVALID_URL_ERROR = "Invalid IPv6 URL"
@@ -42,7 +41,7 @@ def analyze_emails(emails: DataFrame, model: DataFrame, intercept: float, keep:
     the rest of the table is unaffected.  ``keep`` names extra input columns
     (e.g. raw fields for the history) carried through the compact side.
     """
-    ruled = R.with_topic(rule_table(spread(emails)))
+    ruled = R.with_topic(rule_table(emails))
     compact = ruled.select(*COMPACT, *keep).repartition("row_idx")
     texts = M.fold_text(ruled, "text", "row_idx").repartition("row_idx")
     stats = M.email_stats(M._weighted(texts, model, "_f", "row_idx", folded=True))

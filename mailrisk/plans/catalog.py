@@ -318,8 +318,7 @@ def q_explain(spark, sf_dir):
 @register("analyze_emails", _ANALYSIS_SQL + "SELECT " + O.analysis_select() + " FROM fin")
 def q_analyze(spark, sf_dir):
     """R6 (flagship): full RESULT per email, flattened; bad-url rows on the error path."""
-    return A.flatten(analysis(spark, sf_dir)).select("row_idx", "error", *[
-        c for c in A.flatten(analysis(spark, sf_dir)).columns if c not in ("row_idx", "error")])
+    return A.flatten(analysis(spark, sf_dir))
 
 
 @register("risk_level_summary", _ANALYSIS_SQL + f"""
