@@ -66,3 +66,18 @@ def retrain(frames, out_dir: str, max_iter: int = 100):
     report = training_report(C.cleaning_funnel(canon), C.raw_counts(canon),
                              C.label_distribution(table), metrics)
     return report, terms, intercept
+
+
+def retrain_paths(spark, canonical_path: str, extra_paths, out_dir: str, max_iter: int = 100):
+    """M12 from files: every input path is checked before any work starts,
+    then each file is read (S1) and resolved (S2) with its own layout, the
+    canonical corpus first and the extras in argument order (S3)."""
+    import os
+    from ..sources.corpus_io import load_corpus
+    paths = [canonical_path, *extra_paths]
+    missing = [p for p in paths if "://" not in p and not os.path.exists(p)]
+    if missing:
+        raise FileNotFoundError(f"input not found: {missing[0]}")
+    frames = [load_corpus(spark, p, source="canonical" if i == 0 else os.path.basename(p.rstrip("/")), src_ord=i)
+              for i, p in enumerate(paths)]
+    return retrain(frames, out_dir, max_iter=max_iter)

@@ -33,3 +33,29 @@ def test_fit_separates_training_labels(spark):
     scored = M.score(docs.select("doc", "label", "text"), terms, intercept, id_col="doc")
     pred = scored.withColumn("pred", (F.col("spam_risk") >= 50).cast("int"))
     assert T.classification_metrics(pred).first().accuracy > 0.6
+
+
+def test_retrain_paths_checks_inputs_first(spark, tmp_path):
+    import pytest
+    from mailrisk.plans import retrain as RT
+    ok = tmp_path / "ok.csv"
+    ok.write_text("subject,body,label\nhi,there,spam\n")
+    with pytest.raises(FileNotFoundError):
+        RT.retrain_paths(spark, str(ok), [str(tmp_path / "missing.csv")], str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+
+
+def test_retrain_paths_end_to_end(spark, tmp_path):
+    from mailrisk import fixtures as FX
+    from mailrisk.plans import retrain as RT
+    from mailrisk.sources import corpus_io as CIO
+    from conftest import SF_SMALL
+    src = str(tmp_path / "emails.csv.gz")
+    CIO.write_csv(FX.emails(spark, SF_SMALL).orderBy("row_idx").drop("row_idx"), src)
+    extra = str(tmp_path / "extra.csv")
+    with open(extra, "w") as f:
+        f.write("title,text,is_spam\nwin a prize now,claim your prize today,yes\nlunch,see you at noon,no\n")
+    report, terms, _ = RT.retrain_paths(spark, src, [extra], str(tmp_path / "out"), max_iter=20)
+    got = {r.metric: r.value for r in report.collect()}
+    assert got["raw_counts.extra.csv"] == 2.0 and got["raw_counts.canonical"] == 200.0
+    assert 0.0 <= got["metrics.accuracy"] <= 1.0 and terms.count() > 0
