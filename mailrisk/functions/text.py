@@ -80,11 +80,43 @@ def _fold_non_ascii(s: pd.Series) -> pd.Series:
     return s.map(_fold_one, na_action="ignore")
 
 
+# Accent fold table for U+0080..U+024F, derived by rule: characters whose
+# NFKD form without combining marks is a single other character.  Characters
+# of that range that fold to several characters, and every character beyond
+# it, send their row to the Python fold instead.
+_TABLE_END = 0x24F
+
+
+def _latin_fold_table():
+    src, dst, multi = [], [], []
+    for cp in range(0x80, _TABLE_END + 1):
+        c = chr(cp)
+        f = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if f != c:
+            if len(f) == 1:
+                src.append(c)
+                dst.append(f)
+            else:
+                multi.append(c)
+    return "".join(src), "".join(dst), multi
+
+
+FOLD_SRC, FOLD_DST, _FOLD_MULTI = _latin_fold_table()
+NEEDS_PYTHON_FOLD = (f"[^\\x{{0}}-\\x{{{_TABLE_END:x}}}]|["
+                     + "".join(f"\\x{{{ord(c):x}}}" for c in _FOLD_MULTI) + "]")
+
+
 def fold_case_accents(col) -> Column:
-    """Lower-case and strip accents; Python only sees rows with non-ASCII text."""
+    """Lower-case and strip accents (Python ``lower`` then NFKD without
+    combining marks).  ASCII rows only lower-case; rows whose lower-cased
+    text stays within U+0000..U+024F fold through a ``translate`` table in
+    the JVM; only the remaining rows go through the Python fold."""
     c = _c(col)
+    low = F.lower(c)
     non_ascii = F.octet_length(c) != F.length(c)
-    return F.coalesce(_fold_non_ascii(F.when(non_ascii, c)), F.lower(c))
+    needs_python = non_ascii & low.rlike(NEEDS_PYTHON_FOLD)
+    jvm = F.when(non_ascii, F.translate(low, FOLD_SRC, FOLD_DST)).otherwise(low)
+    return F.coalesce(_fold_non_ascii(F.when(needs_python, c)), jvm)
 
 
 def word_tokens(folded) -> Column:

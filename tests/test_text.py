@@ -52,3 +52,16 @@ def test_tokens_and_bigrams(spark):
     df = spark.createDataFrame([("Café au Lait x y_z",)], "t string")
     toks = df.select(TX.ngrams_1_2(TX.word_tokens(TX.fold_case_accents(F.col("t"))))).first()[0]
     assert toks == ["cafe", "au", "lait", "y_z", "cafe au", "au lait", "lait y_z"]
+
+
+def test_fold_matches_python_fold(spark):
+    import unicodedata
+
+    def py_fold(s):  # lower-case, NFKD, drop combining marks
+        return "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c))
+
+    samples = ["Café au LAIT", "İstanbul", "ĳssel Ĳ", "ǅemal ǄǆǅǇ", "Straße ß", "naïve Ñandú", "½ price ¼",
+               "ﬁne ﬂow", "Ωmega ΆΈ", "école", "Brand™", "ſtop", "Ærø Œuvre", "plain ascii", "ÀÉÎÕÜ ąęłńśźż",
+               "Ŀl·l ŀ", "ǰ ǱǲǳǊ", "Привет Ёж", "数字１２３"]
+    got = one_col(spark, samples, TX.fold_case_accents)
+    assert got == [py_fold(s) for s in samples]
