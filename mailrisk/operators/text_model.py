@@ -156,13 +156,16 @@ def score(df: DataFrame, model: DataFrame, intercept: float, text_col: str = "te
           id_col: str = "row_idx", stats: DataFrame | None = None) -> DataFrame:
     """M7: ``df`` plus ``margin`` and ``spam_risk`` (percent), and the
     explanation candidate lists; a text without any model term scores by the
-    intercept alone (left join)."""
+    intercept alone (left join).  When scoring from text the text column is
+    not carried into the result."""
     if stats is None:
         # fold first (Python loses partitioning), then one exchange by id: term
-        # counts, the per-email aggregation and the join back stay inside it
+        # counts, the per-email aggregation and the join back stay inside it.
+        # The text itself crosses the network once, folded; the scored rows
+        # keep their other columns.
         texts = fold_text(df, text_col, id_col).repartition(id_col)
         stats = email_stats(_weighted(texts, model, "_f", id_col, folded=True), id_col)
-        df = df.repartition(id_col)
+        df = df.drop(text_col).repartition(id_col)
     margin = F.coalesce(F.when(F.col("_ss") > 0, F.col("_dot") / F.sqrt("_ss")), F.lit(0.0)) + F.lit(intercept)
     return (df.join(stats, id_col, "left")
             .withColumn("margin", margin)
