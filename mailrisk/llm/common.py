@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import shared_dir
 
-_BYTE_KINDS = (T.StringType, T.BinaryType)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark only (any store that Spark can open)."""
@@ -120,5 +120,21 @@ def block_pairs(members: DataFrame, group: str, member: str, size: int, weight:
             .drop("_nb", "_o"))
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def ship_code(spark: SparkSession) -> None:
+    """Send the package to the executors, once a session, so Python tasks can import it there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_mailrisk_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="mailrisk-code-")) / "mailrisk-code.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(archive))  # served by the driver, not read from a shared folder
+    sc._mailrisk_shipped = True
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` by a function of this package."""
+    ship_code(df.sparkSession)
     return df.mapInArrow(fn, schema)

@@ -3,10 +3,21 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from .common import pick, table
-from . import token_files
+from . import chat, packing, token_files, warc
+from .common import table
+
+
+def op1_chat_format(spark, sf_dir):
+    """All conversations, and conversation -7, whose texts hold control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"),
+                                F.lit(said).alias("text"))
+    return chat.op1_chat_format(rows.unionByName(own))
 
 
 def op5_token_files(spark, sf_dir):
@@ -14,6 +25,17 @@ def op5_token_files(spark, sf_dir):
     return token_files.op5_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), shared_dir(spark, "op5"))
 
 
+def op7_warc_archive(spark, sf_dir):
+    return warc.op7_warc(table(spark, sf_dir, "pages"))
+
+
+def op8_best_fit_packing(spark, sf_dir):
+    return packing.op8_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 REGISTRY = {
+    "op1_chat_format": (op1_chat_format, None),
     "op5_token_files": (op5_token_files, None),
+    "op7_warc_archive": (op7_warc_archive, warc.ORACLE),
+    "op8_best_fit_packing": (op8_best_fit_packing, None),
 }

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mphf
-from .common import partitions, pick, running_total, sorted_runs, stored
+from .common import map_arrow, partitions, pick, running_total, ship_code, sorted_runs, stored
 from .tokens import encoder, text_groups
 
 MAGIC = b"TOKIDS01"
@@ -63,9 +63,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, width: int = 2,
             yield pa.RecordBatch.from_arrays([pa.array([foot], pa.binary())], ["value"])
 
     n = shards or partitions(docs.sparkSession)
-    (pick(docs, "doc_id", "text")
-     .repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-     .mapInArrow(encode, "value binary")
+    ordered = pick(docs, "doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    (map_arrow(ordered, encode, "value binary")
      .select(F.col("value").cast("string").alias("value"))
      .write.option("lineSep", "\0" * width).text(out))
     return out
@@ -110,7 +109,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     ["shard", "doc_id", "occurrence", "offset", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(digest, schema)
+    return map_arrow(files, digest, schema)
 
 
 def _keys(b) -> np.ndarray:
@@ -146,8 +145,8 @@ def build_index(entries: DataFrame, buckets: int) -> DataFrame:
                     pa.schema([("bucket", pa.int32()), ("n", pa.int32()), *[(c, pa.binary()) for c in
                               ("function", "fingerprints", "shards", "offsets", "lengths")]]))
 
-    return (entries.select("doc_id", "occurrence", "shard", "offset", "n_tokens", _bucket(buckets).alias("bucket"))
-            .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(make, schema))
+    dealt = entries.select("doc_id", "occurrence", "shard", "offset", "n_tokens", _bucket(buckets).alias("bucket"))
+    return map_arrow(dealt.repartition("bucket").sortWithinPartitions("bucket"), make, schema)
 
 
 def lookup(keys: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
@@ -168,6 +167,7 @@ def lookup(keys: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
                          "shard": np.frombuffer(row["shards"], "<i4")[at], "offset": np.frombuffer(row["offsets"], "<i8")[at],
                          "n_tokens": np.frombuffer(row["lengths"], "<i8")[at]})
 
+    ship_code(keys.sparkSession)
     keyed = keys.select(F.col("doc_id").cast("long"), F.col("occurrence").cast("long"), _bucket(buckets).alias("bucket"))
     return keyed.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(find, schema)
 
