@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import chat, packing, token_files, warc
+from . import chat, decontaminate, packing, token_files, warc
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op5_token_files(spark, sf_dir):
     return token_files.op5_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), shared_dir(spark, "op5"))
 
 
+def op6_decontamination(spark, sf_dir):
+    return decontaminate.op6_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_warc_archive(spark, sf_dir):
     return warc.op7_warc(table(spark, sf_dir, "pages"))
 
@@ -36,6 +40,7 @@ def op8_best_fit_packing(spark, sf_dir):
 REGISTRY = {
     "op1_chat_format": (op1_chat_format, None),
     "op5_token_files": (op5_token_files, None),
+    "op6_decontamination": (op6_decontamination, decontaminate.ORACLE),
     "op7_warc_archive": (op7_warc_archive, warc.ORACLE),
     "op8_best_fit_packing": (op8_best_fit_packing, None),
 }
