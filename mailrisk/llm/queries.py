@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import chat, decontaminate, packing, token_files, warc
+from . import chat, decontaminate, language, packing, quality, token_files, toxicity, warc
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op1_chat_format(spark, sf_dir):
     return chat.op1_chat_format(rows.unionByName(own))
 
 
+def op2_language_id(spark, sf_dir):
+    return language.op2_language(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return token_files.op5_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), shared_dir(spark, "op5"))
@@ -37,10 +41,21 @@ def op8_best_fit_packing(spark, sf_dir):
     return packing.op8_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_toxicity(spark, sf_dir):
+    return toxicity.op9_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality(spark, sf_dir):
+    return quality.op10_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 REGISTRY = {
     "op1_chat_format": (op1_chat_format, None),
+    "op2_language_id": (op2_language_id, None),
     "op5_token_files": (op5_token_files, None),
     "op6_decontamination": (op6_decontamination, decontaminate.ORACLE),
     "op7_warc_archive": (op7_warc_archive, warc.ORACLE),
     "op8_best_fit_packing": (op8_best_fit_packing, None),
+    "op9_toxicity": (op9_toxicity, None),
+    "op10_quality": (op10_quality, None),
 }
