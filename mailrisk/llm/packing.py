@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, partitions, pick, stored
-from .tokens import encoder, text_groups
+from .tokens import encoder
 
 CAPACITY = 2048
 NODE_LIMIT = 20_000  # branchings after the first dive; the incumbent is kept beyond
@@ -218,9 +218,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
         step = 4 * capacity
         for b in batches:
             key = b.column(0)
-            for first, texts in text_groups(b.column(1)):
+            for first, encoded in enc.groups(b.column(1)):
                 row, piece, size, ids = [], [], [], []
-                for i, raw in enumerate(enc.encode(texts)):
+                for i, raw in enumerate(encoded):
                     raw += b"\0\0\0\0"
                     for p in range(0, len(raw), step):
                         part = raw[p:p + step]

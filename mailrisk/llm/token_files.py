@@ -14,7 +14,7 @@ Shards are written by Spark's own text writer: a row is one document's ids, and
 end id is the line separator.  So files come from the commit protocol of any store
 that Spark can write, and a lost executor leaves no half shard.
 
-Index.  Keys (doc_id, occurrence) are dealt by hash into buckets of about 16,384 keys;
+Index.  Keys (doc_id, occurrence) are dealt by hash into buckets of about 2,048 keys;
 each bucket is one Parquet row with a minimal perfect hash function (``mphf``) and, in
 slot order, fingerprint, shard, offset and length.  A key costs one bucket, one
 function and one slot, whatever the size of the corpus.
@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 
 from . import mphf
 from .common import map_arrow, partitions, pick, running_total, ship_code, sorted_runs, stored
-from .tokens import encoder, text_groups
+from .tokens import encoder
 
 MAGIC = b"TOKIDS01"
-BUCKET_KEYS = 16_384
+BUCKET_KEYS = 2_048
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, out: str, width: int = 2, shards: int | None = None) -> str:
@@ -53,8 +53,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, width: int = 2,
             key = b.column(0)
             ids.append(key.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
             nulls.append(key.is_null().to_numpy(zero_copy_only=False).astype(np.uint8))
-            for _, texts in text_groups(b.column(1)):
-                raw = enc.encode(texts)
+            for _, raw in enc.groups(b.column(1)):
                 counts += [len(x) // width + 1 for x in raw]
                 yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], ["value"])
         if counts:

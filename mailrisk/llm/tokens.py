@@ -1,27 +1,50 @@
 """Whole texts to token ids with the tokenizers library, at scan speed.
 
 The library's rules never join what stands on two sides of a single space or line
-break between other characters.  So a text is cut there, each distinct piece is
-encoded once, and the ids of the text are the pieces' ids in order.  Texts with any
-other white space, or two in a row, go to the library whole.
+break between other characters.  So texts are cut there (in numpy, over the bytes of
+the Arrow column), each distinct piece is encoded by the library once and remembered
+under a 64-bit hash and its length, and the ids of a text are gathered from its pieces.
+Texts with any other white space, or two in a row, go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 
-KEEP = 300_000  # pieces a worker remembers
-KEEP_CHARS = 24
-_ODD_SPACE = re.compile(r"\s\s|[^\S \n]|\x00")
+from .kernels import U, _BYTE_VALUES, _powers, mix, text_slices
+
+KEEP = 1_000_000  # distinct pieces a worker remembers (about 40 bytes each)
+GROUP_BYTES = 1 << 20
 _ENCODERS: dict[tuple[str, str], "Encoder"] = {}
 
+# bytes of white space other than the space and the line feed
+_ODD = np.zeros(256, dtype=bool)
+_ODD[[0, 0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = True
+_LEADS = np.zeros(256, dtype=bool)
+_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def _wide_spaces(buf: np.ndarray) -> np.ndarray:
+    """Positions of the first byte of every white space character beyond ASCII."""
+    at = np.flatnonzero(_LEADS[buf])
+    if not len(at):
+        return at
+    b = np.concatenate((buf, np.zeros(2, np.uint8)))
+    one, two, three = b[at], b[at + 1], b[at + 2]
+    return at[((one == 0xC2) & ((two == 0x85) | (two == 0xA0)))
+              | ((one == 0xE1) & (two == 0x9A) & (three == 0x80))
+              | ((one == 0xE2) & (two == 0x80) & ((three <= 0x8A) | (three == 0xA8) | (three == 0xA9) | (three == 0xAF)))
+              | ((one == 0xE2) & (two == 0x81) & (three == 0x9F))
+              | ((one == 0xE3) & (two == 0x80) & (three == 0x80))]
+
 
 class Encoder:
-    """Ids of texts as bytes of ``dtype``; remembers the first ``KEEP`` short pieces."""
+    """Ids of texts as bytes of ``dtype``."""
 
     def __init__(self, path: str, dtype: str = "<u4"):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -29,56 +52,116 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.dtype = dtype
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes()
-                for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _spaced(self, pieces: list[str]) -> list[bytes]:
-        """Pieces that start with a space, encoded as one text and told apart by their offsets."""
-        out: list[bytes] = []
+        self.dtype = np.dtype(dtype)
+        self.keys = np.zeros(0, dtype=U)  # sorted
+        self.at = np.zeros(0, dtype=np.int64)
+        self.size = np.zeros(0, dtype=np.int64)
+        self.pool = np.zeros(1 << 16, dtype=self.dtype)
+        self.used = 0
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _spaced(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and numbers of ids of pieces that start with a space, encoded as one text and told apart by offsets."""
+        ids, sizes = [np.zeros(0, dtype=self.dtype)], [np.zeros(0, dtype=np.int64)]
         for lo in range(0, len(pieces), 4096):
             some = pieces[lo:lo + 4096]
             e = self.tok.encode("".join(some), add_special_tokens=False)
-            raw = np.array(e.ids, dtype=self.dtype)
+            ids.append(np.array(e.ids, dtype=self.dtype))
             ends = np.cumsum(np.fromiter(map(len, some), dtype=np.int64, count=len(some)))
-            at = np.fromiter((x for x, _ in e.offsets), dtype=np.int64, count=len(raw))
-            cuts, ids, a = (np.searchsorted(at, ends) * raw.itemsize).tolist(), raw.tobytes(), 0
-            for b in cuts:
-                out.append(ids[a:b])
-                a = b
+            at = np.fromiter((x for x, _ in e.offsets), dtype=np.int64, count=len(ids[-1]))
+            sizes.append(np.diff(np.searchsorted(at, ends), prepend=0))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        spaced = np.array([len(p) > 1 and p[0] == " " for p in pieces], dtype=bool)
+        a, na = self._spaced([p for p, s in zip(pieces, spaced, strict=True) if s])
+        other = self.whole([p for p, s in zip(pieces, spaced, strict=True) if not s])
+        ids = np.concatenate([a, *other])
+        sizes = np.concatenate([na, np.fromiter(map(len, other), dtype=np.int64, count=len(other))])
+        keys = np.concatenate([keys[spaced], keys[~spaced]])
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(len(self.pool), dtype=self.dtype)))
+        self.pool[self.used:self.used + len(ids)] = ids
+        at = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        order = np.argsort(keys)
+        to = np.searchsorted(self.keys, keys[order])
+        self.keys = np.insert(self.keys, to, keys[order])
+        self.at = np.insert(self.at, to, at[order])
+        self.size = np.insert(self.size, to, sizes[order])
+
+    def _pieces(self, buf: np.ndarray, off: np.ndarray) -> list[bytes]:
+        """Ids of texts in which every white space is a single space or line feed."""
+        n = len(buf)
+        space, feed = buf == 0x20, buf == 0x0A
+        cut = space | feed
+        cut[1:] |= feed[:-1]
+        cut[off[:-1][off[:-1] < n]] = True
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], n)
+        power, inverse = _powers(n + 1)
+        total = np.zeros(n + 1, dtype=U)
+        np.cumsum(_BYTE_VALUES[buf] * power[:n], out=total[1:])
+        h = mix(((total[end] - total[start]) * inverse[start]) ^ (end - start).astype(U))
+        code, distinct = pd.factorize(h)
+        slot = np.searchsorted(self.keys, distinct)
+        hit = slot < len(self.keys)
+        hit[hit] = self.keys[slot[hit]] == distinct[hit]
+        before = (self.keys, self.at, self.size, self.used)
+        if not hit.all():
+            first = np.empty(len(distinct), dtype=np.int64)
+            first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+            new = np.flatnonzero(~hit)
+            raw = buf.tobytes()
+            self._learn(distinct[new], [raw[start[i]:end[i]].decode("utf-8", "replace") for i in first[new].tolist()])
+            slot = np.searchsorted(self.keys, distinct)
+        piece = slot[code]
+        size, at = self.size[piece], self.at[piece]
+        done = np.cumsum(size)
+        ids = self.pool[np.repeat(at - (done - size), size) + np.arange(int(done[-1]) if len(done) else 0)]
+        if len(self.keys) > KEEP:
+            self.keys, self.at, self.size, self.used = before
+        first_piece = np.searchsorted(start, off)
+        bounds = (np.concatenate(([0], done))[first_piece] * self.dtype.itemsize).tolist()
+        out = ids.tobytes()
+        return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def _slice(self, buf: np.ndarray, off: np.ndarray) -> list[bytes]:
+        white = _ODD[buf]
+        gap = (buf == 0x20) | (buf == 0x0A)
+        odd = white.copy()
+        odd[1:] |= gap[1:] & gap[:-1]
+        odd[_wide_spaces(buf)] = True
+        docs = np.diff(off)
+        where = np.searchsorted(off, np.flatnonzero(odd), "right") - 1
+        # two texts that touch with white space are not odd: look again inside such texts only
+        suspects = np.unique(where)
+        bad = np.zeros(len(docs), dtype=bool)
+        for d in suspects.tolist():
+            a, z = off[d], off[d + 1]
+            bad[d] = odd[a + 1:z].any() or white[a] or bool(len(_wide_spaces(buf[a:z])))
+        good = ~bad
+        if not bad.any():
+            return self._pieces(buf, off)
+        keep = np.repeat(good, docs)
+        out: list[bytes] = [b""] * len(docs)
+        for i, ids in zip(np.flatnonzero(good).tolist(),
+                          self._pieces(buf[keep], np.concatenate(([0], np.cumsum(docs[good])))), strict=True):
+            out[i] = ids
+        which = np.flatnonzero(bad).tolist()
+        for i, ids in zip(which, self.whole([buf[off[i]:off[i + 1]].tobytes().decode("utf-8", "replace") for i in which]), strict=True):
+            out[i] = ids.tobytes()
         return out
 
+    def groups(self, column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+        """``(first row, ids of the texts)`` for groups of rows of a text column; null is empty."""
+        for lo, hi, buf, off in text_slices(column, GROUP_BYTES):
+            yield lo, self._slice(buf, off) if len(buf) else [b""] * (hi - lo)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        odd: list[str] = []
-        for x in texts:
-            if _ODD_SPACE.search(x):
-                split.append(None)
-                odd.append(x)
-            else:
-                split.append(x.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0"))
-        new = set(chain.from_iterable(p for p in split if p is not None)).difference(self.known)
-        new.discard("")
-        spaced = [w for w in new if w[0] == " " and len(w) > 1]
-        other = list(new.difference(spaced))
-        now = dict(zip(spaced, self._spaced(spaced), strict=True))
-        now |= zip(other, self._whole(other), strict=True)
-        now[""] = b""
-        if len(self.known) < KEEP:
-            room = KEEP - len(self.known)
-            self.known |= [(k, v) for k, v in now.items() if len(k) <= KEEP_CHARS][:room]
-        known = self.known
-        rest = iter(self._whole(odd))
-        out = []
-        for p in split:
-            if p is None:
-                out.append(next(rest))
-            else:
-                out.append(b"".join([known[w] if w in known else now[w] for w in p]))
-        return out
+        return [x for _, g in self.groups(pa.array(texts, pa.string())) for x in g]
 
 
 def encoder(path: str, dtype: str = "<u4") -> Encoder:
@@ -86,17 +169,3 @@ def encoder(path: str, dtype: str = "<u4") -> Encoder:
     if (path, dtype) not in _ENCODERS:
         _ENCODERS[path, dtype] = Encoder(path, dtype)
     return _ENCODERS[path, dtype]
-
-
-def text_groups(column, limit: int = 4 << 20):
-    """Rows of a text column in groups of about ``limit`` characters: ``(first, texts)``; null is empty."""
-    group, size, first = [], 0, 0
-    for i in range(len(column)):
-        x = column[i].as_py() or ""
-        group.append(x)
-        size += len(x)
-        if size >= limit:
-            yield first, group
-            group, size, first = [], 0, i + 1
-    if group:
-        yield first, group
