@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import chat, decontaminate, language, near_dedup, packing, quality, token_files, toxicity, warc
+from . import caps, chat, decontaminate, language, near_dedup, packing, quality, token_files, toxicity, warc
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op3_minhash_dedup(spark, sf_dir):
     return near_dedup.op3_near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark, sf_dir):
+    return caps.op4_cap_filters(table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_files(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return token_files.op5_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), shared_dir(spark, "op5"))
@@ -57,6 +61,7 @@ REGISTRY = {
     "op1_chat_format": (op1_chat_format, None),
     "op2_language_id": (op2_language_id, None),
     "op3_minhash_dedup": (op3_minhash_dedup, None),
+    "op4_embedding_dedup": (op4_embedding_dedup, None),
     "op5_token_files": (op5_token_files, None),
     "op6_decontamination": (op6_decontamination, decontaminate.ORACLE),
     "op7_warc_archive": (op7_warc_archive, warc.ORACLE),
