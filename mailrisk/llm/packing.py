@@ -289,5 +289,7 @@ def assemble(placed: DataFrame) -> DataFrame:
 def op8_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Pack all documents; one row a piece with the crc32 of its ids in place of the ids."""
     pieces = token_pieces(docs, tokenizer, capacity)
-    return place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity).select(
+    # written before the range partitioning of place(), whose sampling would encode everything twice
+    narrow = stored(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pack-pieces")
+    return place(narrow, capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
