@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import shared_dir
 
@@ -50,9 +51,24 @@ def crc32_of_id(col: str = "doc_id") -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns renamed ``_0, _1, ...`` by position, and their names.
+
+    Whatever extra columns a table has, their names can neither clash with one another
+    nor with what an operator adds.
+    """
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]), df.columns
+
+
 def pick(df: DataFrame, *cols: str) -> DataFrame:
-    """Only the columns a job reads; extra ones, whatever their names, are left behind."""
-    return df.select(*[F.col(f"`{c}`") for c in cols])
+    """Only the columns a job reads, by exact name; all others are left behind."""
+    plain, names = numbered(df)
+    return plain.select(*[F.col(f"_{names.index(c)}").alias(c) for c in cols])
+
+
+def widened(df: DataFrame, keep: list[str], ddl: str) -> T.StructType:
+    """Schema of the ``keep`` columns of ``df`` and the columns of ``ddl``."""
+    return T.StructType([*(df.schema[c] for c in keep), *T.StructType.fromDDL(ddl).fields])
 
 
 def running_total(df: DataFrame, order: str, value: str, out: str, group: int = 4096) -> DataFrame:
@@ -133,7 +149,7 @@ def ship_code(spark: SparkSession) -> None:
     sc._mailrisk_shipped = True
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` by a function of this package."""
     ship_code(df.sparkSession)
     return df.mapInArrow(fn, schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, pick, stored
+from .common import map_arrow, numbered, pick, stored, widened
 from .kernels import ALNUM, U, doc_windows, text_slices, window_hashes, word_counts, words
 
 WINDOW = 10
@@ -85,17 +85,17 @@ class WindowSet:
         return None
 
 
-def scan(docs: DataFrame, windows: list, keep: list[str]) -> DataFrame:
+def scan(docs: DataFrame, windows: list, keep: list[str], text: str) -> DataFrame:
     """Add to the ``keep`` columns: words, united hit spans (word numbers, end exclusive) and items hit."""
     shared = docs.sparkSession.sparkContext.broadcast(windows)
-    n_keep = len(keep)
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), _HITS])
+    sent = keep if text in keep else [*keep, text]
+    n_keep, place = len(keep), sent.index(text)
+    schema = widened(docs, keep, _HITS)
 
     def look(batches):
         known = WindowSet(shared.value)
         for b in batches:
-            for lo, hi, buf, off in text_slices(b.column(n_keep)):
+            for lo, hi, buf, off in text_slices(b.column(place)):
                 h, s, e = words(buf, off, ALNUM)
                 counts = word_counts(s, off)
                 first = np.concatenate(([0], np.cumsum(counts)))
@@ -132,7 +132,7 @@ def scan(docs: DataFrame, windows: list, keep: list[str]) -> DataFrame:
                      pa.array(starts, many), pa.array(ends, many), pa.array([sorted(items.get(d, ())) for d in range(hi - lo)], many)],
                     [*keep, "n_words", "starts", "ends", "items"])
 
-    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text")), look, schema)
+    return map_arrow(docs.select(*sent), look, schema)
 
 
 def _unite(batches):
@@ -154,30 +154,29 @@ def _unite(batches):
             ["_row", "n_words", "starts", "ends", "items"])
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def mark(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
     """``scan`` of every row against the whole benchmark, however many chunks that takes."""
-    kept = stored(benchmark_windows(benchmark, window), "bench-windows")
+    kept = stored(benchmark_windows(benchmark), "bench-windows")
     chunks = max(1, -(-kept.count() // max_windows))
     if chunks == 1:
-        return scan(docs, kept.collect(), keep)
-    rows = stored(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])])
-                  .withColumn("_row", F.monotonically_increasing_id()), "bench-rows")
+        return scan(docs, kept.collect(), keep, text)
+    rows = stored(docs.select(*dict.fromkeys([*keep, text])).withColumn("_row", F.monotonically_increasing_id()), "bench-rows")
     passes = None
     for i in range(chunks):
-        one = scan(rows, kept.filter(F.pmod(F.xxhash64("words"), F.lit(chunks)) == i).collect(), ["_row"])
+        one = scan(rows, kept.filter(F.pmod(F.xxhash64("words"), F.lit(chunks)) == i).collect(), ["_row"], text)
         passes = one if passes is None else passes.unionByName(one)
     lists = passes.groupBy("_row").agg(
         F.first("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"),
         F.flatten(F.collect_list("ends")).alias("ends"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     united = map_arrow(lists, _unite, f"_row long, {_HITS}")
-    return rows.select("_row", *[F.col(f"`{c}`") for c in keep]).join(united, "_row").drop("_row")
+    return rows.select("_row", *keep).join(united, "_row").drop("_row")
 
 
-def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def without_spans(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """All columns of ``docs``, hit spans cut out of the texts (from a span's first word to the end of its last)."""
-    names = docs.columns
-    marked = mark(docs, benchmark, names)
-    at = names.index("text")
+    plain, names = numbered(docs)
+    at, cells = names.index("text"), plain.columns
+    marked = mark(plain, benchmark, cells, f"_{at}", max_windows)
 
     def cut(batches):
         for b in batches:
@@ -194,14 +193,16 @@ def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     texts[i] = b"".join([*parts, raw[last:]]).decode()
             cols = [b.column(c) for c in range(len(names))]
             cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names)
+            yield pa.RecordBatch.from_arrays(cols, cells)
 
-    return map_arrow(marked, cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+    return map_arrow(marked, cut, plain.schema).toDF(*names)
 
 
-def without_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def without_documents(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs."""
-    return mark(docs, benchmark, docs.columns).filter(F.size("starts") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain, names = numbered(docs)
+    marked = mark(plain, benchmark, plain.columns, f"_{names.index('text')}", max_windows)
+    return marked.filter(F.size("starts") == 0).select(*plain.columns).toDF(*names)
 
 
 def op6_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, map_arrow, pick
+from .common import crc32_of_id, map_arrow, numbered, pick, widened
 from .kernels import U, mix, text_slices
 from .sampling import class_counts, sample_by_class
 
@@ -62,7 +62,7 @@ def subwords(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         value = (value[:m] << U(8)) | wide[n - 1:n - 1 + m]
         if n in ORDERS:
             ok = np.flatnonzero(~inner & ~(edge[:m] & edge[n - 1:n - 1 + m]))
-            buckets.append((mix(value[ok] + U(n) * U(0x9E3779B97F4A7C15)) >> U(64 - BITS)).astype(np.int32))
+            buckets.append((mix(value[ok] + U(n * 0x9E3779B97F4A7C15 % (1 << 64))) >> U(64 - BITS)).astype(np.int32))
             docs.append(doc[ok])
     if not buckets:
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
@@ -158,19 +158,19 @@ def fit(labelled: DataFrame, per_class: int = PER_CLASS) -> dict:
     return {"langs": langs, "table": (table * scale).astype(np.float32), "weight": weight, "bias": bias * scale, "threshold": threshold}
 
 
-def predict(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
+def predict(docs: DataFrame, model: dict, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns, lang_pred, score and rejected (``und``, or a score under the threshold)."""
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string, score double, rejected boolean"])
+    schema = widened(docs, keep, "lang_pred string, score double, rejected boolean")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    n_keep = len(keep)
+    sent = keep if text in keep else [*keep, text]
+    n_keep, at = len(keep), sent.index(text)
 
     def look(batches):
         m = shared.value
         names = np.array([*m["langs"], UND], dtype=object)
         for b in batches:
-            letters = b.column(n_keep).fill_null(False).to_numpy(zero_copy_only=False)
-            for lo, hi, buf, off in text_slices(b.column(n_keep + 1)):
+            letters = b.column(len(sent)).fill_null(False).to_numpy(zero_copy_only=False)
+            for lo, hi, buf, off in text_slices(b.column(at)):
                 n = hi - lo
                 best, score = np.full(n, len(names) - 1), np.zeros(n)
                 if m["langs"]:
@@ -187,8 +187,7 @@ def predict(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
                      pa.array((best == len(names) - 1) | (score < m["threshold"]))],
                     [*keep, "lang_pred", "score", "rejected"])
 
-    has_letter = F.col("text").rlike("\\p{L}")
-    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in keep], has_letter.alias("_letters"), F.col("text").alias("_text")), look, schema)
+    return map_arrow(docs.select(*sent, F.col(text).rlike("\\p{L}").alias("_letters")), look, schema)
 
 
 def held_out():
@@ -197,13 +196,14 @@ def held_out():
 
 def op2_language(docs: DataFrame) -> DataFrame:
     """Learn from documents that are not held out, predict all; one row a document."""
+    docs = pick(docs, "doc_id", "text", "lang")
     model = fit(docs.filter(~held_out() & F.col("lang").isNotNull()))
-    return predict(pick(docs, "doc_id", "text"), model, ["doc_id"]).select(
-        "doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+    return predict(docs, model, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def keep_recognised(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is recognised, with their own columns."""
-    names = docs.columns
-    model = fit(docs.filter(~held_out() & F.col("lang").isNotNull()))
-    return predict(docs, model, names).filter("NOT rejected").select(*[F.col(f"`{c}`") for c in names])
+    known = pick(docs, "doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull())
+    plain, names = numbered(docs)
+    judged = predict(plain, fit(known), plain.columns, f"_{names.index('text')}")
+    return judged.filter("NOT rejected").select(*plain.columns).toDF(*names)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, map_arrow, pick, sorted_runs, stored
+from .common import block_pairs, map_arrow, numbered, pick, sorted_runs, stored
 from .graph import components
 from .kernels import SPACED, U, doc_windows, mix, splitmix, text_slices, window_hashes, word_counts, words
 
@@ -298,12 +298,17 @@ def op3_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row of ``docs`` of each group of near-duplicates (the smallest doc_id), with its own columns."""
-    kept = near_duplicates(docs, shingle, percent).filter("kept").select("doc_id").distinct()
-    known = docs.filter(F.col("doc_id").isNotNull())
-    once = known.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = kept.join(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "doc_id").select("doc_id")
-    single = once.join(repeated, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    several = (once.join(repeated, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text"))
-               .orderBy("doc_id", "_h").dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns]))
-    return single.unionByName(several).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One row of ``docs`` of each group of near-duplicates (the smallest doc_id), with its own columns.
+
+    Of rows that repeat that doc_id, the one whose text has the smallest hash stays.
+    """
+    plain, names = numbered(docs)
+    key, text = f"_{names.index('doc_id')}", f"_{names.index('text')}"
+    kept = near_duplicates(docs, shingle, percent).filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = stored(kept, "near-kept")
+    rows = plain.join(kept.hint("shuffle_hash"), F.col(key) == F.col("doc_id"))
+    single = rows.filter("n = 1").select(*plain.columns)
+    several = rows.filter("n > 1").withColumn("_h", F.xxhash64(text))
+    first = several.groupBy("doc_id").agg(F.min("_h").alias("_m"))
+    one = (several.join(first, "doc_id").filter("_h = _m").dropDuplicates(["doc_id"]).select(*plain.columns))
+    return single.unionByName(one).unionByName(plain.filter(F.col(key).isNull())).toDF(*names)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, map_arrow, pick, stored
+from .common import crc32_of_id, map_arrow, numbered, pick, stored, widened
 from .kernels import SPACED, U, letter_table, mix, text_slices, word_counts, words
 
 #: statistic -> the share that stands in for ``PRIOR`` unseen observations
@@ -114,20 +114,20 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def describe(docs: DataFrame, keep: list[str]) -> DataFrame:
+def describe(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns and ``x``, the statistics of each whole text as doubles."""
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "x array<double>"])
-    n_keep = len(keep)
+    schema = widened(docs, keep, "x array<double>")
+    sent = keep if text in keep else [*keep, text]
+    n_keep, at = len(keep), sent.index(text)
 
     def look(batches):
         for b in batches:
-            for lo, hi, buf, off in text_slices(b.column(n_keep)):
+            for lo, hi, buf, off in text_slices(b.column(at)):
                 x = statistics(buf, off)
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*[b.column(c).slice(lo, hi - lo) for c in range(n_keep)], rows], [*keep, "x"])
 
-    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text")), look, schema)
+    return map_arrow(docs.select(*sent), look, schema)
 
 
 def _moments(batches):
@@ -186,7 +186,6 @@ def log_odds(x: np.ndarray, model: dict) -> np.ndarray:
 def score(described: DataFrame, model: dict) -> DataFrame:
     """All columns but ``x``, and the score."""
     keep = [c for c in described.columns if c != "x"]
-    kinds = dict(described.dtypes)
     shared = described.sparkSession.sparkContext.broadcast(model)
 
     def look(batches):
@@ -199,8 +198,7 @@ def score(described: DataFrame, model: dict) -> DataFrame:
                 p = 1 / (1 + np.exp(-np.clip(log_odds(x, m), -35, 35)))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(p)], [*keep, "score"])
 
-    return map_arrow(described.select(*[F.col(f"`{c}`") for c in keep], "x"), look,
-                     ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double"]))
+    return map_arrow(described.select(*keep, "x"), look, widened(described, keep, "score double"))
 
 
 def held_out():
@@ -208,7 +206,7 @@ def held_out():
 
 
 def labelled(described: DataFrame, labels: DataFrame) -> DataFrame:
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter(~held_out() & F.col("label").isin(0, 1))
+    known = pick(labels, "doc_id", "quality").select("doc_id", F.col("quality").cast("int").alias("label")).filter(~held_out() & F.col("label").isin(0, 1))
     return described.join(known, "doc_id")
 
 
@@ -221,7 +219,7 @@ def op10_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with their own columns."""
-    names = docs.columns
-    described = describe(pick(docs, "doc_id", "text"), ["doc_id"])
-    model = fit(labelled(described, labels))
-    return (score(describe(docs, names), model).filter(F.col("score") >= ACCEPT).select(*[F.col(f"`{c}`") for c in names]))
+    model = fit(labelled(describe(pick(docs, "doc_id", "text"), ["doc_id"]), labels))
+    plain, names = numbered(docs)
+    judged = score(describe(plain, plain.columns, f"_{names.index('text')}"), model)
+    return judged.filter(F.col("score") >= ACCEPT).select(*plain.columns).toDF(*names)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, map_arrow, pick
+from .common import crc32_of_id, map_arrow, pick, widened
 from .kernels import ALNUM, U, mix, text_slices, word_counts, words
 from .sampling import class_counts, sample_by_class
 
@@ -132,8 +132,7 @@ def platt(s: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, floa
 
 def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     """``keep`` columns and the score of every whole text."""
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double"])
+    schema = widened(docs, keep, "score double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     n_keep = len(keep)
 
@@ -151,7 +150,7 @@ def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
                     [*[b.column(c).slice(lo, hi - lo) for c in range(n_keep)], pa.array(1 / (1 + np.exp(-np.clip(sums + m["bias"], -35, 35))))],
                     [*keep, "score"])
 
-    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text")), look, schema)
+    return map_arrow(docs.select(*keep, F.col("text").alias("_text")), look, schema)
 
 
 def held_out():
@@ -160,6 +159,6 @@ def held_out():
 
 def op9_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from labelled documents that are not held out, score all; one row a document."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).filter(~held_out() & F.col("label").isin(0, 1))
+    known = pick(labels, "doc_id", "toxic").select("doc_id", F.col("toxic").cast("int").alias("label")).filter(~held_out() & F.col("label").isin(0, 1))
     return score(pick(docs, "doc_id", "text"), fit(docs, known), ["doc_id"]).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
