@@ -1,8 +1,8 @@
 """Embedding near-duplicates (operator 4): spherical-cap filters from random product codes.
 
 Vectors are normalised and turned by a fixed random rotation.  The space is cut into
-``PARTS`` blocks with ``WORDS`` random unit codewords each; every combination of one
-codeword a block is a filter direction (WORDS ** PARTS of them, never listed).  A vector
+up to ``PARTS`` blocks with ``WORDS`` random unit codewords each; every combination of one
+codeword a block is a filter direction (WORDS to the power of the blocks, never listed).  A vector
 is decoded to the list of ALL filters whose inner product with it is at least ``alpha``:
 sums over two halves of the blocks are pruned by the best sum of the other half.  Alpha
 is set by the code alone, so that a random vector passes ``FILTERS`` filters on average;
@@ -51,11 +51,11 @@ class Code:
         rng = np.random.default_rng([2718, dim, words])
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.words, self.dim = words, dim
-        self.parts = np.array_split(np.arange(dim), PARTS)
+        self.parts = np.array_split(np.arange(dim), min(PARTS, max(1, dim // 2)))  # two dimensions a block at least
         self.books = []
         for p in self.parts:
-            c = rng.standard_normal((words, max(1, len(p))))
-            self.books.append(c / np.linalg.norm(c, axis=1, keepdims=True) / PARTS**0.5)
+            c = rng.standard_normal((words, len(p)))
+            self.books.append(c / np.linalg.norm(c, axis=1, keepdims=True) / len(self.parts)**0.5)
         trial = rng.standard_normal((48, dim))
         halves = [self._halves(v) for v in trial / np.linalg.norm(trial, axis=1, keepdims=True)]
         halves = [(np.sort(a), np.sort(b)) for a, b in halves]
@@ -67,8 +67,10 @@ class Code:
         self.alpha = high
 
     def _halves(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s = [c[:, :len(p)] @ v[p] if len(p) else np.zeros(self.words) for p, c in zip(self.parts, self.books, strict=True)]
-        return (s[0][:, None] + s[1]).ravel(), (s[2][:, None] + s[3]).ravel()
+        """Sums over all combinations of the first and of the other half of the blocks."""
+        s = [c @ v[p] for p, c in zip(self.parts, self.books, strict=True)]
+        cut = (len(s) + 1) // 2
+        return tuple(functools.reduce(lambda x, y: (x[:, None] + y).ravel(), part, np.zeros(1)) for part in (s[:cut], s[cut:]))
 
     def decode(self, v: np.ndarray) -> np.ndarray:
         """Sorted numbers of all filters that the unit vector ``v`` passes (the dimension in the upper bits)."""
@@ -80,7 +82,7 @@ class Code:
         i = np.flatnonzero(a >= alpha - b.max())
         j = np.flatnonzero(b >= alpha - a.max())
         x, y = np.nonzero(a[i][:, None] + b[j] >= alpha)
-        return np.sort(i[x] * self.words**2 + j[y]) + (self.dim << 32)
+        return np.sort(i[x] * len(b) + j[y]) + (self.dim << 32)
 
 
 @functools.cache

@@ -58,7 +58,7 @@ def test_files_and_index_round_trip(spark, tmp_path, width, monkeypatch):
     found = token_files.read_token_files(spark, path)
     assert found.count() == len(rows)
     index = token_files.build_index(found, 4)
-    keys = spark.createDataFrame([(9, 1), (9, 2), (12345, 0)], "doc_id long, occurrence long")
+    keys = spark.createDataFrame([(9, 1), (9, 3), (12345, 0)], "doc_id long, occurrence long")
     assert [r.doc_id for r in token_files.lookup(keys, index, 4).collect()] == [9]  # keys never put in are refused
 
 
