@@ -63,6 +63,8 @@ REASON_URL_COUNT_SUFFIX = " external URL(s) detected"
 REASON_URL_HTTP = "HTTP URL detected (not HTTPS)"
 REASON_URL_IP = "URL uses an IP-address host"
 REASON_URL_SENSITIVE = "URL contains a potentially sensitive-action pattern"
+URL_ERROR_BRACKETS = "Invalid IPv6 URL"
+URL_ERROR_NFKC_SUFFIX = "' contains invalid characters under NFKC normalization"
 REASON_URL_INVALID = "Invalid URL pattern detected"
 URL_SENSITIVE_SUBSTRINGS = ["login", "verify", "secure", "account", "payment"]
 URL_TRAILING_STRIP = ".,);]"

@@ -61,7 +61,7 @@ def re2_verification() -> str:
 
 
 # URL extraction: https?:// followed by characters that are not whitespace or <>"'
-URL_PATTERN = "(?i)https?://[^" + WS_CLASS + "<>\"']+"
+URL_PATTERN = "(?iu)https?://[^" + WS_CLASS + "<>\"']+"
 PUNCT_RUNS = r"!{2,}|\?{2,}"
 IPV4_HOST = r"^\p{Nd}{1,3}(?:\.\p{Nd}{1,3}){3}$"
 SENDER_SHAPE = "^[^" + WS_CLASS + "@]+@[^" + WS_CLASS + "@]+\\.[^" + WS_CLASS + "@]+$"

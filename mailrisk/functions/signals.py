@@ -26,18 +26,18 @@ SOCIAL_PATTERN = java_words(K.SOCIAL_WORDS, ignore_case=False)
 SOCIAL_LITERALS = required_literals(K.SOCIAL_WORDS)
 TOPIC_RULES = [(name, java_words(words), required_literals(words)) for name, words in K.TOPICS]
 
-# In lower-cased text the only character that case-insensitively equals an
-# ASCII keyword letter without being one is the long s.
-_FOLDS_TO_ASCII = "\u017f"
+# Characters of lower-cased text that case-insensitively equal an ASCII letter
+# without being one: dotless i and long s.
+FOLDS = "\u0131\u017f"
+FOLDS_TO = "is"
 
 
 def guarded_rlike(low: Column, pattern: str, literals, ignore_case: bool = True) -> Column:
     """``low rlike pattern``, evaluated only when a required literal occurs."""
+    plain = F.translate(low, FOLDS, FOLDS_TO) if ignore_case else low
     hit = F.lit(False)
     for lit in literals:
-        hit = hit | low.contains(lit)
-    if ignore_case:
-        hit = hit | low.contains(_FOLDS_TO_ASCII)
+        hit = hit | plain.contains(lit)
     return F.when(hit, low.rlike(pattern)).otherwise(F.lit(False))
 
 

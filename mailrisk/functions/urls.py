@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,13 +19,26 @@ def extract_urls(subject, body) -> Column:
 
 
 def authority(u) -> Column:
-    return F.regexp_extract(_c(u), r"^[^:]*://([^/?#]*)", 1)
+    """Text between ``//`` and the path; empty where the scheme is not plain ASCII."""
+    return F.regexp_extract(_c(u), r"(?i)^https?://([^/?#]*)", 1)
 
 
-def is_invalid(u) -> Column:
-    """An authority with '[' but no ']' (or the reverse) cannot be parsed."""
+# Characters beyond ASCII whose NFKC form holds one of the URL delimiters (full-width forms and the like).
+DELIMITER_FORMS = "".join(c for c in map(chr, range(0x80, 0x110000))
+                          if any(d in "/?#@:" for d in unicodedata.normalize("NFKC", c)))
+DELIMITER_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in DELIMITER_FORMS) + "]"
+
+
+def parse_error(u) -> Column:
+    """Why a url cannot be parsed, or NULL: '[' without ']' (or the reverse) in
+    the authority, or a character there that normalises to a delimiter."""
     a = authority(u)
-    return a.contains("[") != a.contains("]")
+    return (F.when(a.contains("[") != a.contains("]"), F.lit(K.URL_ERROR_BRACKETS))
+            .when(a.rlike(DELIMITER_CLASS), F.concat(F.lit("netloc '"), a, F.lit(K.URL_ERROR_NFKC_SUFFIX))))
+
+
+def is_invalid(u) -> Column:
+    return parse_error(u).isNotNull()
 
 
 def host(u) -> Column:
@@ -84,8 +99,9 @@ def url_risk(urls) -> Column:
     return F.least(F.lit(100), F.size(_c(urls)) * K.URL_RISK_PER_URL)
 
 
-def any_invalid(urls) -> Column:
-    return F.exists(_c(urls), is_invalid)
+def first_error(urls) -> Column:
+    """The parse error of the first url that has one, else NULL."""
+    return F.get(F.filter(F.transform(_c(urls), parse_error), lambda x: x.isNotNull()), 0)
 
 
 def items(urls) -> Column:

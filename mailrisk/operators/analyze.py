@@ -1,13 +1,10 @@
 """Whole-table email analysis (R1-R7): rules + model score + explanation -> RESULT.
 
-``analyze_emails`` hash-partitions two narrow projections of the input by
-``row_idx`` with the same partition count: the compact rule row (labels,
-counts, topic -- no text) and the case/accent-folded text.  Everything after
-that -- the term explode, the broadcast model join, term counts, per-email
-sums, the top-k explanation window and the joins that put the pieces
-together -- runs inside those co-partitioned partitions without another
-exchange (check with ``explain``).  The exploded terms, the largest
-intermediate, never cross the network; the text crosses it once.
+``analyze_emails`` is a single branch over the input: the rules are column
+expressions of the row, and ``text_model.score`` carries the compact rule row
+(labels, counts, topic; no text) beside the row's terms through one exchange
+of about one row an email.  Columns named in ``keep`` (raw fields for the
+history) travel in the same row, once.
 """
 
 from __future__ import annotations
@@ -23,7 +20,6 @@ from ..functions import urls as U
 from . import rules as R
 from . import text_model as M
 
-INVALID_URL_ERROR = "Invalid IPv6 URL"
 COMPACT = ["row_idx", "sender", "url_list", "signals", "n_signals", "safe_reasons", "topic",
            "urls_detected", "suspicious_urls", "url_risk", "url_error"]
 
@@ -35,17 +31,14 @@ def rule_table(emails: DataFrame) -> DataFrame:
 
 
 def analyze_emails(emails: DataFrame, model: DataFrame, intercept: float, keep: tuple = ()) -> DataFrame:
-    """One RESULT per email (``row_idx`` plus flattened and nested fields).
+    """One RESULT per input row, whatever its ``row_idx`` (which is passed on; flattened and nested fields).
 
-    A row whose urls cannot be parsed gets ``error`` and NULL result fields;
+    A row whose urls cannot be parsed gets ``error`` (its cause) and NULL result fields;
     the rest of the table is unaffected.  ``keep`` names extra input columns
-    (e.g. raw fields for the history) carried through the compact side.
+    (e.g. raw fields for the history) carried along.
     """
     ruled = R.with_topic(rule_table(emails))
-    compact = ruled.select(*COMPACT, *keep).repartition("row_idx")
-    texts = M.fold_text(ruled, "text", "row_idx").repartition("row_idx")
-    stats = M.email_stats(M._weighted(texts, model, "_f", "row_idx", folded=True))
-    scored = M.predict(M.score(compact, model, intercept, stats=stats))
+    scored = M.predict(M.score(ruled.select(*COMPACT, *keep, "text"), model, intercept))
     return assemble(M.explain_terms(scored))
 
 
@@ -55,9 +48,9 @@ def assemble(df: DataFrame) -> DataFrame:
     overall = RK.overall_risk("spam_risk", "url_risk", ctx)
     sender_struct = D.analysis("sender", pred, "n_signals")
     reasons = RK.reasons(pred, "signals", "safe_reasons", sender_struct["indicators"], "model_terms")
-    ok = ~F.col("url_error")
+    ok = F.col("url_error").isNull()
     result = {
-        "error": F.when(F.col("url_error"), F.lit(INVALID_URL_ERROR)),
+        "error": F.col("url_error"),
         "prediction": F.when(ok, pred),
         "classification": F.when(ok, pred),
         "spam_risk": F.when(ok, F.round("spam_risk", 1)),

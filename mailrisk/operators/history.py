@@ -28,10 +28,10 @@ def history_page(history: DataFrame, page_size: int) -> DataFrame:
 def history_list(history: DataFrame) -> DataFrame:
     """H1 for the whole table: newest first with a 1-based ``number``.
 
-    The number comes from a distributed sort plus per-partition offsets
-    (``global_position``), not from a window over the whole table."""
-    from .positions import global_position
-    return global_position(history, newest_first(), out="number", base=1)
+    Only ``created_at`` and ``id`` are sorted (``positions_of``); the other
+    columns meet their number in one join, so unused ones are pruned."""
+    from .positions import positions_of
+    return positions_of(history, ("id", "created_at"), "number", base=1, order=newest_first())
 
 
 def history_by_class(history: DataFrame, classification: str) -> DataFrame:
@@ -51,7 +51,7 @@ def history_detail(history: DataFrame, record_id: str) -> DataFrame:
 
 
 def history_delete(history: DataFrame, ids: DataFrame) -> DataFrame:
-    """H5: remove the given ids; unknown ids are a no-op."""
+    """H5 on a frame: without the given ids; unknown ids are a no-op (``sources.history_io.delete_history`` rewrites the table)."""
     return history.join(ids.select("id").distinct(), "id", "left_anti")
 
 

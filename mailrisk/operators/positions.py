@@ -11,12 +11,12 @@ from ..session import ensure_checkpoint_dir
 def global_position(df: DataFrame, order, out: str = "pos", base: int = 0) -> DataFrame:
     """Attach the row's position (``base``-based) in ``order``.
 
-    A range-partitioned sort orders the rows across tasks.  The sorted frame
-    is checkpointed to the shared checkpoint folder, so the per-partition
-    counts and the numbering read the same partitioning (and a lost executor
-    does not re-sort with other boundaries).  One count per partition -- a
-    tiny table -- gives offsets by a running sum; a row's position is its
-    partition's offset plus its place inside the partition.
+    Pass only the key columns (see :func:`positions_of`): the sorted frame is
+    checkpointed to the shared checkpoint folder, so the per-partition counts
+    and the numbering read the same partitioning (and a lost executor does not
+    re-sort with other boundaries).  One count per partition -- a tiny table --
+    gives offsets by a running sum; a row's position is its partition's offset
+    plus its place inside the partition.
     """
     ensure_checkpoint_dir(df.sparkSession)
     ordered = (df.orderBy(*order)
@@ -29,3 +29,23 @@ def global_position(df: DataFrame, order, out: str = "pos", base: int = 0) -> Da
     return (ordered.join(offsets, "_pid")
             .withColumn(out, F.col("_off") + (F.col("_mono") - F.col("_first")) + base)
             .drop("_pid", "_mono", "_first", "_off"))
+
+
+def positions_of(df: DataFrame, keys, out: str, base: int = 0, order=None) -> DataFrame:
+    """``df`` with its rows' positions in ``order`` (columns of ``keys``; default all of them).
+
+    Only the key columns are sorted and checkpointed; the other columns meet
+    their position in one join by key.  Rows with equal keys are told apart by
+    a number inside the key, so each gets a position of its own.
+    """
+    keys = list(keys)
+    same = Window.partitionBy(*keys).orderBy(*keys)
+    numbered = df.withColumn("_same", F.row_number().over(same))
+    placed = global_position(numbered.select(*keys, "_same"), [*(order or [F.col(k) for k in keys]), F.col("_same")], out="_place", base=base)
+    on = None
+    placed = placed.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_same"])], "_place")
+    for i, k in enumerate([*keys, "_same"]):
+        part = F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        on = part if on is None else on & part
+    names = [c for c in df.columns if c != out]
+    return numbered.join(placed, on).select(*names, F.col("_place").alias(out))

@@ -54,7 +54,7 @@ def with_signals(df: DataFrame) -> DataFrame:
             .withColumn("urls_detected", F.size("url_list"))
             .withColumn("suspicious_urls", U.suspicious_count("url_list"))
             .withColumn("url_risk", U.url_risk("url_list"))
-            .withColumn("url_error", U.any_invalid("url_list")))
+            .withColumn("url_error", U.first_error("url_list")))
 
 
 def with_topic(df: DataFrame) -> DataFrame:

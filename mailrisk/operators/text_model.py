@@ -1,21 +1,15 @@
 """TF-IDF terms, vocabulary, weights, scoring and explanations (M2-M4, M7-M9).
 
 The model is a table ``MODEL_TERMS(term, idf, coef)`` plus an intercept, so
-scoring is a join and two aggregations, never a dense 250,000-wide vector.
-
-Plan shape for scoring a table of emails (see ``analyze.analyze_emails``):
-
-* per email, inside the row: fold case/accents (the one Python step, before
-  any repartition because Python evaluation drops the child's partitioning);
-* the folded text is hash-partitioned by ``row_idx`` once; tokens and
-  1-2-grams are computed inside the row, then a narrow ``explode``;
-* join the model terms, broadcast behind a row-count check (the vocabulary is
-  capped at ``MAX_FEATURES`` rows by construction, so it has a proven bound);
-  only model terms survive the join;
-* term frequencies (``groupBy(row_idx, term)``) and one per-email
-  aggregation (sums and top-5 candidates, ``email_stats``) are satisfied by
-  the ``row_idx`` partitioning: no further exchange, and the explode output
-  never crosses the network.
+scoring is a join and an aggregation, never a dense 250,000-wide vector.
+
+Plan shape for scoring a table of emails (see ``score``): one branch.  Each
+email gets an engine-assigned key; its terms are counted inside the row; one
+``inline`` yields a row that carries all other columns and one narrow row a
+distinct term; a broadcast join keeps the model's terms; and one
+``groupBy(key)`` puts the email together again.  The rows of an email leave
+the same task, so map-side partial aggregation hands the only exchange about
+one row an email.  No caller's id is used as a key, and the text is not shuffled.
 """
 
 from __future__ import annotations
@@ -26,67 +20,59 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as TX
 
-# Rows of a model table that may be broadcast: the vocabulary cap.
+# A term table may be broadcast up to the vocabulary cap and this many bytes of terms.
 MODEL_BROADCAST_MAX_ROWS = K.MAX_FEATURES
+MODEL_BROADCAST_MAX_BYTES = 64 << 20
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows;
-    otherwise return it as is and let the planner shuffle."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def bounded_broadcast(df: DataFrame, max_rows: int = MODEL_BROADCAST_MAX_ROWS,
+                      max_bytes: int = MODEL_BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast the term table ``df`` after checking its rows and the bytes of
+    its terms; a larger one is joined by shuffle, where AQE splits the
+    partitions of frequent terms."""
+    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
 
 
-def fold_text(df: DataFrame, text_col: str = "text", id_col: str = "row_idx", out: str = "_f") -> DataFrame:
-    """(id, folded text): the accent fold is an Arrow UDF, which does not keep
-    the child's partitioning, so it runs before any repartition by id."""
-    return df.select(id_col, TX.fold_case_accents(F.col(text_col)).alias(out))
+def counted_terms(df: DataFrame, text_col: str, out: str = "_t") -> DataFrame:
+    """M2 inside the row: the other columns and ``out``, an array of (term, tf).
 
+    The sorted 1-2-grams are cut into runs: the run starts are the distinct
+    terms, the distance to the next start the count.  Staged projections keep
+    each array computed once and the accent fold outside the lambdas."""
+    rest = [c for c in df.columns if c != text_col]
+    starts = F.filter(F.transform("_s", lambda x, i: F.struct(x.alias("term"), i.alias("at"))),
+                      lambda y: (y["at"] == 0) | (y["term"] != F.get("_s", y["at"] - 1)))
+    runs = F.transform("_d", lambda y, j: F.struct(
+        y["term"].alias("term"), (F.coalesce(F.get("_d", j + 1)["at"], F.size("_s")) - y["at"]).cast("long").alias("tf")))
+    return (df.select(*rest, TX.fold_case_accents(F.col(text_col)).alias("_f"))
+            .select(*rest, TX.word_tokens("_f").alias("_w"))
+            .select(*rest, F.sort_array(TX.ngrams_1_2("_w")).alias("_s"))
+            .select(*rest, "_s", starts.alias("_d"))
+            .select(*rest, runs.alias(out)))
 
-def doc_tokens(df: DataFrame, text_col: str = "text", id_col: str = "row_idx", folded: bool = False) -> DataFrame:
-    """M2 before counting: (id, term) per unigram/bigram occurrence.
 
-    Staged projections keep each array computed once and the accent fold (a
-    pandas UDF) outside the higher-order functions."""
-    f = df.select(id_col, F.col(text_col).alias("_f")) if folded else fold_text(df, text_col, id_col)
-    return (f.select(id_col, TX.word_tokens("_f").alias("_w"))
-            .select(id_col, F.explode(TX.ngrams_1_2("_w")).alias("term")))
+def spread(df: DataFrame, array: Column, *keep: str) -> DataFrame:
+    """One row per struct of ``array``.  The outer form keeps the optimizer from adding a
+    ``size(array) > 0`` filter, which it would push below the staged projections and so
+    evaluate the whole text pipeline once per array element."""
+    return df.select(*keep, F.inline_outer(array))
 
 
-def partitioned_terms(df: DataFrame, text_col: str = "text", id_col: str = "row_idx",
-                      vocab: DataFrame | None = None) -> DataFrame:
-    """``doc_terms`` with the folded text hash-partitioned by id first, so the
-    (id, term) counts and any later per-id aggregation or join need no
-    exchange of the exploded terms."""
-    texts = fold_text(df, text_col, id_col).repartition(id_col)
-    return doc_terms(texts, "_f", id_col, vocab=vocab, folded=True)
+def doc_terms(df: DataFrame, text_col: str = "text", id_col: str = "row_idx",
+              vocab: DataFrame | None = None) -> DataFrame:
+    """M2: (id, term, tf [, vocab columns]), one row per distinct term of each
+    text; with ``vocab`` only its terms are kept.  No exchange."""
+    terms = spread(counted_terms(df.select(id_col, text_col), text_col), F.col("_t"), id_col).filter("term IS NOT NULL")
+    return terms if vocab is None else terms.join(vocab, "term")
 
 
-def doc_terms(df: DataFrame, text_col: str = "text", id_col: str = "row_idx",
-              vocab: DataFrame | None = None, folded: bool = False) -> DataFrame:
-    """M2: (id, term, tf [, vocab columns]) with one row per distinct term of
-    each text; with ``vocab`` only its terms are kept (joined before counting)."""
-    toks = doc_tokens(df, text_col, id_col, folded)
-    keys = [id_col, "term"]
-    if vocab is not None:
-        toks = toks.join(vocab, "term")
-        keys += [c for c in vocab.columns if c != "term"]
-    return toks.groupBy(*keys).agg(F.count(F.lit(1)).alias("tf"))
-
-
-def term_statistics(df: DataFrame, text_col: str = "text", id_col: str = "row_idx") -> DataFrame:
+def term_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, df, cf): documents containing the term and its corpus count.
 
-    One explode per email of its term occurrences (d = 0) and of its distinct
-    terms (d = 1, ``array_distinct`` inside the row), then one ``groupBy(term)``
-    whose partial aggregation keeps one row per term per task -- no
-    (email, term) aggregation and no shuffle of occurrences."""
-    f = fold_text(df, text_col, id_col)
-    t = f.select(TX.ngrams_1_2(TX.word_tokens("_f")).alias("_t"))
-    both = F.concat(F.transform("_t", lambda x: F.struct(x.alias("term"), F.lit(0).alias("d"))),
-                    F.transform(F.array_distinct("_t"), lambda x: F.struct(x.alias("term"), F.lit(1).alias("d"))))
-    return (t.select(F.inline(both))
-            .groupBy("term").agg(F.sum("d").cast("long").alias("df"), F.sum(1 - F.col("d")).cast("long").alias("cf")))
+    Partial aggregation keeps one row per term per task before the shuffle."""
+    return (spread(counted_terms(df.select(text_col), text_col), F.col("_t")).filter("term IS NOT NULL")
+            .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")))
 
 
 def vocabulary(stats: DataFrame, n_docs: Column | int, min_df: int = K.MIN_DF, max_df: float = K.MAX_DF,
@@ -94,14 +80,20 @@ def vocabulary(stats: DataFrame, n_docs: Column | int, min_df: int = K.MIN_DF, m
     """M3: from ``term_statistics``, document frequency in [min_df, max_df * n_docs],
     then the ``max_features`` terms with the highest corpus count (ties by term).
 
-    The cut uses a distributed sort and positions (``global_position``), not a
-    single-task top-k over every partition's candidates."""
+    Terms per count give the count at which the cut falls; only the terms from
+    there on are sorted and numbered (``global_position``)."""
+    from pyspark.sql import Window
+
     from ..session import ensure_checkpoint_dir
     from .positions import global_position
     ensure_checkpoint_dir(stats.sparkSession)
-    # One row per distinct term, written once: the sort's sampling pass and the
-    # numbering below read it instead of re-running the token pipeline.
     kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.lit(n_docs))).checkpoint()
+    # one row per distinct count, far fewer than terms
+    above = Window.orderBy(F.col("cf").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_count = kept.groupBy("cf").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(above))
+    cut = by_count.filter(F.col("upto") >= max_features).agg(F.max("cf")).first()[0]
+    if cut is not None:
+        kept = kept.filter(F.col("cf") >= cut)
     ranked = global_position(kept, [F.col("cf").desc(), F.col("term").asc()], out="idx")
     return ranked.filter(F.col("idx") < max_features)
 
@@ -111,71 +103,62 @@ def idf_weights(vocab: DataFrame, n_docs: int) -> DataFrame:
     return vocab.withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0)
 
 
-def tfidf(terms: DataFrame, weights: DataFrame, id_col: str = "row_idx") -> DataFrame:
-    """M4: (id, term, w) with w = (1 + ln tf) * idf, L2-normalised per document
-    over the vocabulary terms.  Norms are a per-document partial aggregate
-    joined back on the (co-partitioned) document id."""
-    w = (terms.join(weights.select("term", "idf"), "term")
-         .withColumn("w", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")))
-    norms = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return (w.join(norms, id_col).withColumn("w", F.col("w") / F.col("_norm"))
-            .select(id_col, "term", "tf", "w"))
+def _weight() -> Column:
+    return (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
 
 
-def _weighted(df: DataFrame, model: DataFrame, text_col: str, id_col: str, folded: bool = False) -> DataFrame:
-    model = bounded_broadcast(model.select("term", "idf", "coef"), MODEL_BROADCAST_MAX_ROWS)
-    return (doc_terms(df, text_col, id_col, vocab=model, folded=folded)
-            .withColumn("w", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf"))
-            .withColumn("contrib", F.col("w") * F.col("coef")))
+def doc_weights(df: DataFrame, weights: DataFrame, text_col: str = "text", id_col: str = "row_idx") -> DataFrame:
+    """(id, _norm, _list): a text's vocabulary terms with tf and unnormalised weight
+    (and ``idx`` if the weights carry it), gathered by one aggregation per text."""
+    extra = [c for c in ("idx",) if c in weights.columns]
+    w = (doc_terms(df, text_col, id_col, vocab=bounded_broadcast(weights.select("term", "idf", *extra)))
+         .withColumn("w", _weight()))
+    return w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"),
+                                 F.collect_list(F.struct(*extra, "term", "tf", "w")).alias("_list"))
+
+
+def tfidf(df: DataFrame, weights: DataFrame, text_col: str = "text", id_col: str = "row_idx") -> DataFrame:
+    """M4: (id, term, tf, w) with w = (1 + ln tf) * idf, L2-normalised per text
+    over the vocabulary terms."""
+    return (doc_weights(df, weights, text_col, id_col).select(id_col, "_norm", F.inline("_list"))
+            .select(id_col, "term", "tf", (F.col("w") / F.col("_norm")).alias("w")))
 
 
 def sigmoid_percent(margin: Column) -> Column:
     return F.lit(100.0) / (F.lit(1.0) + F.exp(-margin))
 
 
-def email_stats(weighted: DataFrame, id_col: str = "row_idx", k: int = K.EXPLAIN_TOP_K) -> DataFrame:
-    """Per email in one aggregation: sum(w^2), sum(w * coef) and the top-``k``
-    explanation candidates in each direction (M7 + M9 inputs).
-
-    Candidates are terms of length >= 3 with a non-zero contribution, ordered
-    by |contribution| descending then term; ``spam_terms`` holds the positive
-    ones, ``ham_terms`` the negative ones.  Each list is built from one
-    email's own terms (bounded by that email's length) inside the partition
-    that already holds them -- the input is partitioned by ``id_col``."""
+def score(df: DataFrame, model: DataFrame, intercept: float, text_col: str = "text",
+          k: int = K.EXPLAIN_TOP_K) -> DataFrame:
+    """M7 + M9 inputs: ``df`` without its text, plus ``margin``, ``spam_risk``
+    (percent) and the ordered candidates ``spam_terms`` and ``ham_terms``.
+
+    Rows are scored each for itself: the key that brings an email together is
+    assigned here, so rows that share an id, or have none, do not mix.  A text
+    without any model term scores by the intercept alone.  Candidates are terms
+    of length >= 3 with a non-zero contribution, by |contribution| then term."""
+    model = bounded_broadcast(model.select("term", "idf", "coef"))
+    rest = [c for c in df.columns if c != text_col]
+    rows = df.select(F.monotonically_increasing_id().alias("_eid"), F.struct(*rest).alias("_row"), text_col)
+    kind = rows.schema["_row"].dataType
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf"), F.col("_row").alias("row")))
+    parts = F.transform("_t", lambda x: F.struct(x["term"].alias("term"), x["tf"].alias("tf"), F.lit(None).cast(kind).alias("row")))
+    terms = spread(counted_terms(rows, text_col), F.concat(whole, parts), "_eid")
+    known = (terms.join(model, "term", "left").filter((F.col("tf") == 0) | F.col("idf").isNotNull())
+             .withColumn("w", F.when(F.col("tf") > 0, _weight()))
+             .withColumn("contrib", F.col("w") * F.col("coef")))
     eligible = (F.length("term") >= K.EXPLAIN_MIN_TERM_LEN) & (F.col("contrib") != 0)
     key = F.struct((-F.abs("contrib")).alias("k"), F.col("term").alias("term"))
     top = lambda c: F.transform(F.slice(F.array_sort(c), 1, k), lambda x: x["term"])
-    agg = weighted.groupBy(id_col).agg(
+    per_email = known.groupBy("_eid").agg(
+        F.first("row", ignorenulls=True).alias("_row"),
         F.sum(F.col("w") * F.col("w")).alias("_ss"), F.sum("contrib").alias("_dot"),
         F.collect_list(F.when(eligible & (F.col("contrib") > 0), key)).alias("_p"),
         F.collect_list(F.when(eligible & (F.col("contrib") < 0), key)).alias("_n"))
-    return agg.select(id_col, "_ss", "_dot", top("_p").alias("spam_terms"), top("_n").alias("ham_terms"))
-
-
-def score(df: DataFrame, model: DataFrame, intercept: float, text_col: str = "text",
-          id_col: str = "row_idx", stats: DataFrame | None = None) -> DataFrame:
-    """M7: ``df`` plus ``margin`` and ``spam_risk`` (percent), and the
-    explanation candidate lists; a text without any model term scores by the
-    intercept alone (left join).  When scoring from text the text column is
-    not carried into the result."""
-    if stats is None:
-        # fold first (Python loses partitioning), then one exchange by id: term
-        # counts, the per-email aggregation and the join back stay inside it.
-        # The text itself crosses the network once, folded; the scored rows
-        # keep their other columns.
-        texts = fold_text(df, text_col, id_col).repartition(id_col)
-        stats = email_stats(_weighted(texts, model, "_f", id_col, folded=True), id_col)
-        df = df.drop(text_col).repartition(id_col)
     margin = F.coalesce(F.when(F.col("_ss") > 0, F.col("_dot") / F.sqrt("_ss")), F.lit(0.0)) + F.lit(intercept)
-    return (df.join(stats, id_col, "left")
-            .withColumn("margin", margin)
-            .withColumn("spam_risk", sigmoid_percent(F.col("margin")))
-            .drop("_ss", "_dot"))
-
-
-def explanation_candidates(weighted: DataFrame, id_col: str = "row_idx", k: int = K.EXPLAIN_TOP_K) -> DataFrame:
-    """M9 candidates: (id, spam_terms, ham_terms)."""
-    return email_stats(weighted, id_col, k).drop("_ss", "_dot")
+    return (per_email.select(*[F.col("_row")[c].alias(c) for c in rest], margin.alias("margin"),
+                             top("_p").alias("spam_terms"), top("_n").alias("ham_terms"))
+            .withColumn("spam_risk", sigmoid_percent(F.col("margin"))))
 
 
 def predict(df: DataFrame, risk_col: str = "spam_risk") -> DataFrame:
@@ -185,13 +168,8 @@ def predict(df: DataFrame, risk_col: str = "spam_risk") -> DataFrame:
             .withColumn("confidence", RK.confidence(risk_col)))
 
 
-def explain_terms(scored: DataFrame, candidates: DataFrame | None = None, id_col: str = "row_idx") -> DataFrame:
-    """M9: per email the candidate list in the predicted direction (empty if
-    none).  ``scored`` from ``score`` already carries the candidate lists."""
-    empty = F.array().cast("array<string>")
-    if candidates is not None:
-        scored = scored.drop("spam_terms", "ham_terms").join(candidates, id_col, "left")
+def explain_terms(scored: DataFrame) -> DataFrame:
+    """M9: per email the candidates in the predicted direction (empty if none)."""
     return (scored
-            .withColumn("model_terms", F.coalesce(
-                F.when(F.col("prediction") == K.SPAM, F.col("spam_terms")).otherwise(F.col("ham_terms")), empty))
+            .withColumn("model_terms", F.when(F.col("prediction") == K.SPAM, F.col("spam_terms")).otherwise(F.col("ham_terms")))
             .drop("spam_terms", "ham_terms"))

@@ -1,44 +1,47 @@
 """Model building: split, vocabulary, weights, fit, metrics, report.
 
-Features are the same long-format TF-IDF rows used for scoring.  Besides the
-accent fold, the only Python in the engine is ``_sparse``: an Arrow-batched
-UDF that turns each email's sorted ``(idx, w)`` arrays into a
-``SparseVector`` for Spark ML's ``LogisticRegression`` (distributed L-BFGS;
-gradients are tree-aggregated).
+Features are the same counted TF-IDF terms used for scoring.  A text's sorted
+``(idx, w)`` arrays are written as the struct that Spark ML stores a sparse
+vector in and read back as vectors, so no Python runs in the tasks and L-BFGS
+(distributed, gradients tree-aggregated) reads a finished table every pass.
 """
 
 from __future__ import annotations
 
-import sys
-
-from pyspark import cloudpickle
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
+from ..session import shared_dir
 from . import text_model as M
 from .positions import global_position
 
 
+def split_key(key=("subject", "body"), seed: int = K.SPLIT_SEED):
+    """Seeded md5 of the email's content."""
+    return F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *[F.col(c) for c in key]).cast("binary"))
+
+
 def stratified_split(df: DataFrame, label: str = "label", key=("subject", "body"), order=("src_ord", "row_idx"),
                      test_share: float = K.TEST_SHARE, seed: int = K.SPLIT_SEED) -> DataFrame:
     """M1: exactly round(test_share * n_c) rows of each class go to the test
-    side, chosen by a seeded hash of the email content.
+    side, chosen by a seeded md5 of the email content, ties by input order.
 
-    Rows are placed by a distributed sort on (label, hash, order) and a
-    global position; each class's first position and size (one row per class)
-    turn that into a rank inside the class.  No window runs over a whole class.
+    Only (label, digest, order) are sorted; each class's first position and
+    size (one row per class) turn a position into a rank inside the class, and
+    the side meets the wide rows in one join on the (unique) input order.
     """
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in key])
-    keyed = df.withColumn("_h", h)
-    placed = global_position(keyed, [F.col(label), F.col("_h"), *[F.col(c) for c in order]], out="_gpos")
+    order = list(order)
+    narrow = df.select(label, split_key(key, seed).alias("_h"), *order)
+    placed = global_position(narrow, [F.col(label), F.col("_h"), *[F.col(c) for c in order]], out="_gpos")
     classes = placed.groupBy(label).agg(F.min("_gpos").alias("_first"), F.count(F.lit(1)).alias("_nc"))
     n_test = F.round(F.lit(test_share) * F.col("_nc"))
-    return (placed.join(classes, label)
-            .withColumn("is_test", (F.col("_gpos") - F.col("_first")) < n_test)
-            .drop("_h", "_gpos", "_first", "_nc"))
+    sides = (placed.join(F.broadcast(classes), label)  # one row per class
+             .select(*order, ((F.col("_gpos") - F.col("_first")) < n_test).alias("is_test")))
+    return df.join(sides, order)
 
 
 def split_counts(split: DataFrame, label: str = "label") -> DataFrame:
@@ -52,50 +55,70 @@ def class_weights(train: DataFrame, label: str = "label") -> DataFrame:
     return counts.withColumn("weight", total / (F.lit(2.0) * F.col("n")))
 
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])  # UDF code travels by value
+_VECTOR = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 
 
-@F.udf(returnType=VectorUDT(), useArrow=True)
-def _sparse(size, idx, val):
-    return SparseVector(int(size), list(idx), list(val))
-
-
-def features(terms: DataFrame, weights: DataFrame, size: int, id_col: str = "row_idx") -> DataFrame:
-    """(id, features) with L2-normalised sublinear TF-IDF over the vocabulary."""
-    tfidf = M.tfidf(terms, weights, id_col).join(weights.select("term", "idx"), "term")
-    per_doc = tfidf.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct(
-        F.col("idx").cast("int").alias("i"), F.col("w").alias("v")))).alias("_iv"))
-    return per_doc.select(id_col, _sparse(F.lit(size), F.col("_iv.i"), F.col("_iv.v")).alias("features"))
+def feature_table(train: DataFrame, weights: DataFrame, size: int, text_col: str = "text", label: str = "label",
+                  id_col: str = "row_idx") -> DataFrame:
+    """(id, label, weight, features), written once: L2-normalised sublinear TF-IDF
+    over the vocabulary with the class weights; a text without terms has no entries."""
+    spark = train.sparkSession
+    lists = M.doc_weights(train.select(id_col, text_col), weights, text_col, id_col)
+    cells = F.transform(F.sort_array("_list"), lambda x: F.struct(x["idx"].cast("int").alias("i"), (x["w"] / F.col("_norm")).alias("v")))
+    cw = F.broadcast(class_weights(train, label).select(label, "weight"))  # one row per class
+    empty = F.array().cast("array<struct<i:int,v:double>>")
+    rows = (train.select(id_col, label).join(cw, label)
+            .join(lists.select(id_col, cells.alias("_c")), id_col, "left")
+            .withColumn("_c", F.coalesce("_c", empty))
+            .select(id_col, F.col(label).cast("double").alias("label"), "weight",
+                    F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
+                             F.col("_c.i").alias("indices"), F.col("_c.v").alias("values")).cast(_VECTOR).alias("features")))
+    path = shared_dir(spark, "features")
+    rows.write.parquet(path)
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("features", VectorUDT())])
+    out = spark.read.schema(schema).parquet(path)
+    out._plain = spark.read.schema(rows.schema).parquet(path)
+    return out
 
 
 def fit_spam_model(train: DataFrame, text_col: str = "text", label: str = "label", id_col: str = "row_idx",
-                   reg_param: float = K.REG_PARAM, max_iter: int = 100):
+                   reg_param: float = K.REG_PARAM, max_iter: int = 100, with_gradient: bool = False):
     """M3 + M4 + M5 + M6 on the training side of the split.
 
     Returns ``(model_terms, intercept, n_docs)`` where ``model_terms`` is the
-    table ``(term, idf, coef, idx)`` used by scoring."""
+    table ``(term, idf, coef, idx)`` used by scoring; ``with_gradient`` adds the
+    norm of the objective's gradient at the solution."""
     spark = train.sparkSession
     n_docs = train.count()
-    vocab = M.vocabulary(M.term_statistics(train, text_col, id_col), n_docs)
-    weights = M.idf_weights(vocab, n_docs).select("term", "idf", "idx")
-    size = int(vocab.agg(F.max("idx")).first()[0] or 0) + 1
-    weights_b = M.bounded_broadcast(weights, K.MAX_FEATURES)
-    terms = M.partitioned_terms(train.select(id_col, text_col), text_col, id_col, vocab=weights_b.select("term"))
-    feats = features(terms, weights_b, size, id_col)
-    cw = class_weights(train, label).select(label, "weight")
-    empty = _sparse(F.lit(size), F.array().cast("array<int>"), F.array().cast("array<double>"))
-    data = (train.select(id_col, F.col(label).alias("_y"))
-            .join(F.broadcast(cw.withColumnRenamed(label, "_y")), "_y")  # two class rows
-            .join(feats, id_col, "left")
-            .select(F.col("_y").cast("double").alias("label"), "weight",
-                    F.coalesce(F.col("features"), empty).alias("features")))
+    path = shared_dir(spark, "vocabulary")
+    vocab = M.vocabulary(M.term_statistics(train, text_col), n_docs)
+    M.idf_weights(vocab, n_docs).select("term", "idf", "idx").write.parquet(path)
+    weights = spark.read.parquet(path)
+    size = int(weights.agg(F.max("idx")).first()[0] or 0) + 1
+    data = feature_table(train, weights, size, text_col, label, id_col)
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=reg_param,
                             elasticNetParam=0.0, standardization=False, fitIntercept=True, maxIter=max_iter)
     fitted = lr.fit(data)
     coef = fitted.coefficients.toArray()
     coef_df = spark.createDataFrame([(i, float(c)) for i, c in enumerate(coef)], "idx long, coef double")
     model_terms = weights.join(coef_df, "idx").select("term", "idf", "coef", "idx")
-    return model_terms, float(fitted.intercept), n_docs
+    out = (model_terms, float(fitted.intercept), n_docs)
+    return (*out, gradient_norm(data._plain, coef_df, out[1], reg_param, id_col)) if with_gradient else out
+
+
+def gradient_norm(rows: DataFrame, coef: DataFrame, intercept: float, reg_param: float, id_col: str = "row_idx") -> float:
+    """Norm of the gradient of the weighted log loss + L2 objective at (coef, intercept), by joins over the features."""
+    cells = rows.select(id_col, F.explode(F.arrays_zip("features.indices", "features.values")).alias("c"))
+    cells = cells.select(id_col, F.col("c.indices").cast("long").alias("idx"), F.col("c.values").alias("v")).join(coef, "idx")
+    margin = cells.groupBy(id_col).agg(F.sum(F.col("v") * F.col("coef")).alias("m"))
+    residual = (rows.select(id_col, "label", "weight").join(margin, id_col, "left")
+                .withColumn("p", 1 / (1 + F.exp(-(F.coalesce("m", F.lit(0.0)) + intercept))))
+                .select(id_col, (F.col("weight") * (F.col("p") - F.col("label"))).alias("r"), "weight"))
+    total, at_intercept = residual.agg(F.sum("weight"), F.sum("r")).first()
+    per_coef = cells.join(residual, id_col).groupBy("idx").agg(F.sum(F.col("r") * F.col("v")).alias("g"))
+    g = per_coef.join(coef, "idx").select((F.col("g") / total + reg_param * F.col("coef")).alias("g"))
+    square = g.agg(F.coalesce(F.sum(F.col("g") * F.col("g")), F.lit(0.0))).first()[0]
+    return float((square + (at_intercept / total) ** 2) ** 0.5)
 
 
 def classification_metrics(pred: DataFrame, label: str = "label", prediction: str = "pred") -> DataFrame:

@@ -107,18 +107,22 @@ _CONV = f"""conv AS (
 def merged(spark, sf_dir):
     """S3: the email corpus first, then the conversations table as an extra
     source in a different layout (text column only, no labels)."""
+    return C.merge_corpora([canon(spark, sf_dir), conversations_corpus(spark, sf_dir)])
+
+
+def conversations_corpus(spark, sf_dir):
+    """The conversations table as a corpus in its own layout, in (conv_id, turn) order."""
     conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    conv = C.dense_index(conv, order=["conv_id", "turn"], out="_row_order", block_col="conv_id")
-    extra = C.canonicalize(conv, source="conversations")
-    return C.merge_corpora([canon(spark, sf_dir), extra])
+    return C.canonicalize(C.dense_index(conv, order=["conv_id", "turn"], out="_row_order"), source="conversations")
 
 
 @register("raw_counts", O.with_ctes(O.CANON, _CONV) + """
 SELECT src_ord, source, count(*) AS n FROM (SELECT src_ord, source FROM canon UNION ALL SELECT src_ord, source FROM conv) t
 GROUP BY src_ord, source""")
 def q_raw_counts(spark, sf_dir):
-    """S3 + C12: rows per source of a merged corpus."""
-    return C.raw_counts(merged(spark, sf_dir))
+    """S3 + C12: rows per source of a merged corpus (counting needs no positions)."""
+    conv = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("_row_order", F.lit(0))
+    return C.raw_counts(C.merge_corpora([canon(spark, sf_dir), C.canonicalize(conv, source="conversations")]))
 
 
 @register("merged_training_table", O.with_ctes(O.CANON, _CONV, """allc AS (SELECT * FROM canon UNION ALL SELECT * FROM conv)""",
@@ -133,20 +137,20 @@ def q_merged_training(spark, sf_dir):
 @register("quality_profile", O.with_ctes(O.CANON) + f"""
 SELECT 'raw_rows' AS metric, count(*) AS value FROM emails
 UNION ALL SELECT 'missing_label_rows', count(*) FILTER (WHERE label_raw IS NULL) FROM emails
-UNION ALL SELECT 'distinct_rows', count(*) FROM (SELECT DISTINCT sender, recipient, subject, body, label_raw, created_at FROM emails) t
-UNION ALL SELECT 'distinct_subject_body', count(*) FROM (SELECT DISTINCT subject, body FROM canon) t
+UNION ALL SELECT 'exact_duplicate_rows', (SELECT count(*) FROM emails) - count(*) FROM (SELECT DISTINCT sender, recipient, subject, body, label_raw FROM emails) t
+UNION ALL SELECT 'duplicate_subject_body_rows', (SELECT count(*) FROM emails) - count(*) FROM (SELECT DISTINCT subject, body FROM canon) t
 UNION ALL SELECT 'training_rows_after_cleaning_and_deduplication', count(*) FROM (SELECT DISTINCT subject, body FROM canon
   WHERE label IN (0, 1) AND length(subject) + length(body) > 0) t""")
 def q_quality(spark, sf_dir):
-    """C13 on the raw EMAILS table."""
-    return C.quality_profile(FX.emails(spark, sf_dir), order_col="row_idx")
+    """C13 on the raw EMAILS table without its per-row time, so exact copies can occur."""
+    return C.quality_profile(FX.emails(spark, sf_dir).drop("created_at"), order_col="row_idx")
 
 
 @register("label_distribution", O.with_ctes(O.CANON, O.CORPUS) + """
 SELECT CAST(label AS BIGINT) AS label, count(*) AS n FROM corpus WHERE label IS NOT NULL GROUP BY label""")
 def q_labels(spark, sf_dir):
-    """C14 on the loaded corpus."""
-    return _bigint(C.label_distribution(C.corpus_table(canon(spark, sf_dir))), "label")
+    """C14 on the cleaned corpus (counting needs no positions)."""
+    return _bigint(C.label_distribution(C.dedup_keep_first(C.drop_empty(canon(spark, sf_dir)))), "label")
 
 
 # ---------------------------------------------------------------------------
@@ -263,6 +267,32 @@ def q_sender_report(spark, sf_dir):
     return _bigint(df.withColumn("indicators", F.array_join("indicators", " | ")), "base_score")
 
 
+# Conversation texts with characters that only look like, or normalise to, ASCII ones, so that case folding and URL
+# validity are exercised; one SQL text for both engines.
+_LOOKALIKE = """SELECT conv_id * 1000 + turn AS row_idx, '' AS subject, '' AS sender, coalesce(text, '') || CASE (conv_id + turn) % 9
+ WHEN 0 THEN ' claim your pr\u0131ze ' WHEN 1 THEN ' pa\u017f\u017fword reset '
+ WHEN 2 THEN ' see https://example.com\uff1fx now' WHEN 3 THEN ' see https://example.com\uff1a8080/x now'
+ WHEN 4 THEN ' http\u017f://b.example.com/x' WHEN 5 THEN ' https://a.com\uff0fb ' WHEN 6 THEN ' UN\u017fUB\u017fCRIBE '
+ WHEN 7 THEN ' https://ok.example.com/\uff1f fam\u0131ly d\u0131nner ' ELSE ' VER\u0130FY ' END AS body
+FROM conversations"""
+_LOOKALIKE_FLAGS = ", ".join(f"{_FLAGS[f'L{i + 1}']} AS {name}" for i, name in enumerate(R.LANGUAGE_FLAG_NAMES))
+
+
+@register("lookalike_rules", f"""WITH canon AS ({_LOOKALIKE}), {_RULES}
+SELECT row_idx, {_LOOKALIKE_FLAGS}, {O.topic('subject', 'body')} AS topic, array_to_string(url_list, ' | ') AS urls,
+ {O.first_finding('url_list')} AS first_finding, CAST({O.suspicious_count('url_list')} AS BIGINT) AS suspicious_urls,
+ list_filter(list_transform(url_list, lambda u: {O.url_error('u')}), lambda x: x IS NOT NULL)[1] AS url_error,
+ array_to_string(list_transform(url_list, lambda u: {O.host('u')}), ' | ') AS hosts FROM rules""")
+def q_lookalike(spark, sf_dir):
+    """U1, U2, U4, U5, L1-L10 and L13 on conversation texts with look-alike characters."""
+    FX.register_tables(spark, sf_dir, ["conversations"])
+    df = R.with_topic(R.with_language_flags(R.with_urls(spark.sql(_LOOKALIKE))))
+    return df.select("row_idx", *R.LANGUAGE_FLAG_NAMES, "topic", F.array_join("url_list", " | ").alias("urls"),
+                     R.U.first_finding("url_list").alias("first_finding"), R.U.suspicious_count("url_list").cast("long").alias("suspicious_urls"),
+                     R.U.first_error("url_list").alias("url_error"),
+                     F.array_join(F.transform("url_list", R.U.host), " | ").alias("hosts"))
+
+
 # ---------------------------------------------------------------------------
 # Model as tables (M2-M4, M7-M9) and the full analysis
 # ---------------------------------------------------------------------------
@@ -291,8 +321,7 @@ SELECT wt.row_idx, wt.term, round(wt.w / sqrt(s.ss), 9) AS w FROM wt JOIN sums s
 def q_tfidf(spark, sf_dir):
     """M4: sublinear tf x idf, L2-normalised over the model terms."""
     ruled = A.rule_table(FX.emails(spark, sf_dir))
-    terms = M.doc_terms(ruled.select("row_idx", "text"))
-    return (M.tfidf(terms, FX.model_terms(spark))
+    return (M.tfidf(ruled.select("row_idx", "text"), FX.model_terms(spark))
             .select("row_idx", "term", F.round("w", 9).alias("w")))
 
 
@@ -354,6 +383,18 @@ def q_split(spark, sf_dir):
     return _bigint(T.split_counts(split), "label")
 
 
+_SIDES = f"""sides AS (SELECT t.*, row_number() OVER (PARTITION BY t.label
+  ORDER BY md5('{O.K.SPLIT_SEED}' || chr(31) || subject || chr(31) || body), src_ord, row_idx) <= s.t_c AS is_test
+ FROM training t JOIN split s USING (label))"""
+
+
+@register("stratified_split", O.with_ctes(O.CANON, O.TRAINING, _SPLIT, _SIDES) + """
+SELECT row_idx, CAST(label AS BIGINT) AS label, is_test FROM sides""")
+def q_split_rows(spark, sf_dir):
+    """M1: which row goes to which side."""
+    return _bigint(T.stratified_split(training_docs(spark, sf_dir)).select("row_idx", "label", "is_test"), "label")
+
+
 @register("class_weights", O.with_ctes(O.CANON, O.TRAINING, _SPLIT) + """
 SELECT CAST(label AS BIGINT) AS label, n_c - t_c AS n,
   round(sum(n_c - t_c) OVER () / (2.0 * (n_c - t_c)), 9) AS weight FROM split""")
@@ -381,7 +422,7 @@ SELECT term, df, CAST(cf AS BIGINT) AS cf, idx FROM (
 def q_vocabulary(spark, sf_dir):
     """M3: min_df / max_df filter, then the top terms by corpus count."""
     docs = training_docs(spark, sf_dir)
-    return M.vocabulary(M.term_statistics(docs, "text", "doc"), docs.count()).select("term", "df", "cf", "idx")
+    return M.vocabulary(M.term_statistics(docs, "text"), docs.count()).select("term", "df", "cf", "idx")
 
 
 @register("classification_metrics", _ANALYSIS_SQL.replace("WITH emails AS", "WITH emails AS", 1).rstrip()
@@ -409,22 +450,53 @@ def _retrain_dir(spark):
     return shared_dir(spark, "retrain")
 
 
-@register("fit_spam_model", None)
+GRADIENT_TOLERANCE = 1e-3
+_FIT_SQL = (_VOCAB_SQL.replace(f"tdocs AS (SELECT row_idx,", f"{_SPLIT},\n{_SIDES},\ntdocs AS (SELECT row_idx,")
+            .replace("AS text FROM training)", "AS text FROM sides WHERE NOT is_test)")
+            .replace("(SELECT count(*) FROM training)", "(SELECT count(*) FROM tdocs)"))
+
+
+@register("fit_spam_model", f"""WITH v AS ({_FIT_SQL.strip().replace('SELECT term, df, CAST(cf', 'SELECT (SELECT count(*) FROM tdocs) AS n_docs, term, df, CAST(cf')})
+SELECT term, idx, n_docs, round(ln((1.0 + n_docs) / (1.0 + df)) + 1.0, 9) AS idf, true AS converged FROM v""")
 def q_fit(spark, sf_dir):
-    """M6 (+M3-M5): fit on the training side; the model as a term table."""
+    """M6 (+M3-M5): fit on the training side; the model's terms, and whether the
+    objective's gradient at the solution has a norm of at most 0.001."""
     split = T.stratified_split(training_docs(spark, sf_dir))
-    terms, intercept, _ = T.fit_spam_model(split.filter(~F.col("is_test")), id_col="doc", max_iter=50)
-    return terms.withColumn("intercept", F.lit(intercept))
+    terms, _, n_docs, gradient = T.fit_spam_model(split.filter(~F.col("is_test")), id_col="doc", with_gradient=True)
+    return terms.select("term", "idx", F.lit(n_docs).cast("long").alias("n_docs"), F.round("idf", 9).alias("idf"),
+                        (F.lit(gradient) <= GRADIENT_TOLERANCE).alias("converged"))
+
+
+@register("training_report", _ANALYSIS_SQL.rstrip() + ",\n" + O.TRAINING + f""",
+{_SPLIT}, {_SIDES},
+cm AS (SELECT CAST(count(*) FILTER (WHERE t.label = 1 AND p.prediction = 'SPAM') AS DOUBLE) AS tp,
+  count(*) FILTER (WHERE t.label = 0 AND p.prediction = 'SPAM') AS fp, count(*) FILTER (WHERE t.label = 1 AND p.prediction = 'HAM') AS fn,
+  count(*) FILTER (WHERE t.label = 0 AND p.prediction = 'HAM') AS tn FROM sides t JOIN pr p USING (row_idx) WHERE t.is_test)
+SELECT 'merged_raw_rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM canon
+UNION ALL SELECT 'rows_after_label_filter', count(label) FROM canon
+UNION ALL SELECT 'rows_after_nonempty_filter', count(*) FROM canon WHERE label IN (0, 1) AND length(subject) + length(body) > 0
+UNION ALL SELECT 'training_rows_after_dedup', count(*) FROM training
+UNION ALL SELECT 'raw_counts.' || source, count(*) FROM canon GROUP BY source
+UNION ALL SELECT 'label_counts.' || label, count(*) FROM training GROUP BY label
+UNION ALL SELECT 'metrics.accuracy', round(CASE WHEN tp + fp + fn + tn > 0 THEN (tp + tn) / (tp + fp + fn + tn) ELSE 0 END, 4) FROM cm
+UNION ALL SELECT 'metrics.precision', round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 4) FROM cm
+UNION ALL SELECT 'metrics.recall', round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 4) FROM cm
+UNION ALL SELECT 'metrics.f1', round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END, 4) FROM cm""")
+def q_training_report(spark, sf_dir):
+    """Funnel, counts and held-out metrics, with the fixed model in the fitted one's place."""
+    source = canon(spark, sf_dir)
+    docs = RT.prepare_training(source)
+    test = T.stratified_split(docs).filter("is_test")
+    return RT.training_report(C.cleaning_funnel(source), C.raw_counts(source), C.label_distribution(docs),
+                              RT.evaluate(test, FX.model_terms(spark), FX.MODEL_INTERCEPT))
 
 
 @register("retrain_report", None)
 def q_retrain(spark, sf_dir):
     """M12 + M11: the whole retraining job over the email corpus merged with
     the conversations table; returns the run report."""
-    conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    conv = C.dense_index(conv, order=["conv_id", "turn"], out="_row_order", block_col="conv_id")
-    frames = [canon(spark, sf_dir), C.canonicalize(conv, source="conversations")]
-    report, _, _ = RT.retrain(frames, _retrain_dir(spark), max_iter=50)
+    frames = [canon(spark, sf_dir), conversations_corpus(spark, sf_dir)]
+    report, _, _ = RT.retrain(frames, _retrain_dir(spark))
     return report
 
 
@@ -453,6 +525,14 @@ def history(spark, sf_dir) -> DataFrame:
     return HIO.history_records(res, id_col=F.md5(F.col("row_idx").cast("string")), created_at=F.col("created_at"))
 
 
+def stored_history(spark, sf_dir) -> DataFrame:
+    """S6 -> S7: the detections appended to a history table and read from it."""
+    from ..session import shared_dir
+    path = shared_dir(spark, "history")
+    HIO.append_history(history(spark, sf_dir), path)
+    return HIO.read_history(spark, path)
+
+
 @register("history_roundtrip", _HIST_SQL + """
 SELECT id, classification, spam_risk, overall_risk, array_to_string(reasons, ' | ') AS reasons, risk_level FROM hist""")
 def q_history_roundtrip(spark, sf_dir):
@@ -470,11 +550,7 @@ SELECT id, row_number() OVER (ORDER BY created_at DESC, id) AS number, classific
 def q_history_list(spark, sf_dir):
     """S6 -> S7 -> H1: append the detections to a history table, then list it
     newest first with a 1-based number over the whole table."""
-    from ..session import shared_dir
-    path = shared_dir(spark, "history")
-    HIO.append_history(history(spark, sf_dir), path)
-    stored = HIO.read_history(spark, path)
-    return H.history_list(stored).select("id", F.col("number").cast("long"), "classification")
+    return H.history_list(stored_history(spark, sf_dir)).select("id", F.col("number").cast("long"), "classification")
 
 
 @register("history_page", _HIST_SQL + """
@@ -482,20 +558,20 @@ SELECT id, row_number() OVER (ORDER BY created_at DESC, id) AS number, subject F
 ORDER BY created_at DESC, id LIMIT 25""")
 def q_history_page(spark, sf_dir):
     """H1 for one page: the 25 newest detections (the top-k is the feature)."""
-    return H.history_page(history(spark, sf_dir), 25).select("id", F.col("number").cast("long"), "subject")
+    return H.history_page(stored_history(spark, sf_dir), 25).select("id", F.col("number").cast("long"), "subject")
 
 
 @register("history_by_class", _HIST_SQL + "SELECT id, spam_risk FROM hist WHERE classification = 'SPAM'")
 def q_history_by_class(spark, sf_dir):
     """H2."""
-    return H.history_by_class(history(spark, sf_dir), "SPAM").select("id", "spam_risk")
+    return H.history_by_class(stored_history(spark, sf_dir), "SPAM").select("id", "spam_risk")
 
 
 @register("history_search", _HIST_SQL + """
 SELECT id FROM hist WHERE contains(lower(coalesce(sender, '') || ' ' || coalesce(subject, '') || ' ' || coalesce(body, '')), 'account')""")
 def q_history_search(spark, sf_dir):
     """H3: case-insensitive substring search for 'Account'."""
-    return H.history_search(history(spark, sf_dir), "Account").select("id")
+    return H.history_search(stored_history(spark, sf_dir), "Account").select("id")
 
 
 @register("history_detail", _HIST_SQL + "SELECT id, sender, subject, overall_risk FROM hist WHERE id = md5('2')")
@@ -503,15 +579,19 @@ def q_history_detail(spark, sf_dir):
     """H4: one record by id."""
     import hashlib
     rid = hashlib.md5(b"2").hexdigest()
-    return H.history_detail(history(spark, sf_dir), rid).select("id", "sender", "subject", "overall_risk")
+    return H.history_detail(stored_history(spark, sf_dir), rid).select("id", "sender", "subject", "overall_risk")
 
 
 @register("history_delete", _HIST_SQL + """
 SELECT id FROM hist WHERE id NOT IN (SELECT md5(CAST(doc_id AS VARCHAR)) FROM labels)""")
 def q_history_delete(spark, sf_dir):
-    """H5: delete the records of every labelled document (unknown ids are no-ops)."""
+    """H5: delete the records of every labelled document from the stored history (unknown ids are no-ops)."""
+    from ..session import shared_dir
     ids = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.md5(F.col("doc_id").cast("string")).alias("id"))
-    return H.history_delete(history(spark, sf_dir), ids).select("id")
+    path = shared_dir(spark, "history")
+    HIO.append_history(history(spark, sf_dir), path)
+    HIO.delete_history(spark, path, ids)
+    return HIO.read_history(spark, path).select("id")
 
 
 @register("dashboard_totals", _HIST_SQL + """
@@ -519,7 +599,7 @@ SELECT count(*) AS total, count(*) FILTER (WHERE classification = 'SPAM') AS spa
   count(*) FILTER (WHERE classification IS DISTINCT FROM 'SPAM') AS not_spam FROM hist""")
 def q_totals(spark, sf_dir):
     """H6."""
-    return H.dashboard_totals(history(spark, sf_dir))
+    return H.dashboard_totals(stored_history(spark, sf_dir))
 
 
 _BREAKDOWN = f"""bd AS (SELECT {O.history_domain('sender')} AS domain,
@@ -530,7 +610,7 @@ _BREAKDOWN = f"""bd AS (SELECT {O.history_domain('sender')} AS domain,
 @register("domain_breakdown", _HIST_SQL + "," + _BREAKDOWN + " SELECT domain, spam, ham FROM bd")
 def q_breakdown(spark, sf_dir):
     """H7: spam/ham per sender domain key."""
-    return H.domain_breakdown(history(spark, sf_dir))
+    return H.domain_breakdown(stored_history(spark, sf_dir))
 
 
 @register("domain_percentages", _HIST_SQL + "," + _BREAKDOWN + """
@@ -539,7 +619,7 @@ SELECT domain, spam, ham,
   CASE WHEN spam + ham > 0 THEN round(ham / (spam + ham) * 100.0, 2) ELSE 0.0 END AS ham_pct FROM bd""")
 def q_percentages(spark, sf_dir):
     """H8."""
-    return H.domain_percentages(H.domain_breakdown(history(spark, sf_dir)))
+    return H.domain_percentages(H.domain_breakdown(stored_history(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------------------
@@ -576,11 +656,23 @@ def q_stream_score(spark, sf_dir):
 @register("stream_dashboard", _HIST_SQL + "," + _BREAKDOWN + " SELECT domain, spam, ham FROM bd")
 def q_stream_dashboard(spark, sf_dir):
     """Running per-domain counts over the history stream written by T1."""
+    return DS.read_dashboard(spark, run_dashboard(spark, stream_history(spark, sf_dir)))
+
+
+def run_dashboard(spark, hist: str) -> str:
+    """Run T2 over what the history folder holds now; returns the folder of result versions."""
     from ..session import shared_dir
-    hist = stream_history(spark, sf_dir)
     out, ckpt = shared_dir(spark, "dashboard"), shared_dir(spark, "ckpt-dash")
     DS.start_dashboard_stream(spark, hist, out, ckpt).awaitTermination()
-    return spark.read.parquet(out)
+    return out
+
+
+@register("stream_totals", _HIST_SQL + """
+SELECT count(*) AS total, count(*) FILTER (WHERE classification = 'SPAM') AS spam,
+  count(*) FILTER (WHERE classification IS DISTINCT FROM 'SPAM') AS not_spam FROM hist""")
+def q_stream_totals(spark, sf_dir):
+    """T2 + H6: running totals over the history stream written by T1."""
+    return DS.dashboard_totals(DS.read_dashboard(spark, run_dashboard(spark, stream_history(spark, sf_dir))))
 
 
 # ---------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from .. import constants as K
 from ..fixtures import EMAILS_SQL
+from ..functions.urls import DELIMITER_CLASS
 from ..functions.regex import (PUNCT_RUNS, PY_WHITESPACE, WS_CLASS, re2_verification, re2_words,
                                sql_str)
 
@@ -73,12 +74,22 @@ def urls_expr(subject: str, body: str) -> str:
 
 
 def authority(u: str) -> str:
-    return f"regexp_extract({u}, '^[^:]*://([^/?#]*)', 1)"
+    return f"regexp_extract({u}, '^(?:[Hh][Tt][Tt][Pp][Ss]?)://([^/?#]*)', 1)"
 
 
-def invalid(u: str) -> str:
+def url_error(u: str) -> str:
     a = authority(u)
-    return f"(contains({a}, '[') <> contains({a}, ']'))"
+    return (f"CASE WHEN contains({a}, '[') <> contains({a}, ']') THEN {sql_str(K.URL_ERROR_BRACKETS)} "
+            f"WHEN regexp_matches({a}, '{DELIMITER_CLASS}') THEN 'netloc ' || chr(39) || {a} || {sql_str(K.URL_ERROR_NFKC_SUFFIX)} END")
+
+
+def invalid(u: str) -> str:
+    return f"({url_error(u)} IS NOT NULL)"
+
+
+def folded(x: str) -> str:
+    """RE2 folds the long s but not the dotless i onto ASCII letters."""
+    return f"translate({x}, chr(305) || chr(383), 'is')"
 
 
 def host(u: str) -> str:
@@ -107,7 +118,7 @@ def first_finding(urls: str) -> str:
 
 def suspicious_count(urls: str) -> str:
     pat = sql_str(re2_words(K.URL_SENSITIVE_SUBSTRINGS))
-    return (f"len(list_filter({urls}, lambda u: contains(u, '@') OR regexp_matches(u, {pat}) "
+    return (f"len(list_filter({urls}, lambda u: contains(u, '@') OR regexp_matches({folded('u')}, {pat}) "
             f"OR NOT starts_with(lower(u), 'https://')))")
 
 
@@ -135,7 +146,7 @@ def punctuation(t: str) -> str:
 def flags(subject: str, body: str) -> dict:
     low = f"lower({subject} || chr(10) || {body})"
     orig = f"({subject} || chr(10) || {body})"
-    out = {f"L{i + 1}": rx(low, p) for i, (_, p) in enumerate(LANGUAGE_RE2)}
+    out = {f"L{i + 1}": rx(folded(low), p) for i, (_, p) in enumerate(LANGUAGE_RE2)}
     out["L8"] = capitals(orig)
     out["L9"] = punctuation(orig)
     out["L10"] = rx(low, re2_words(K.SOCIAL_WORDS, ignore_case=False))
@@ -165,7 +176,7 @@ def safe(signals_: str, urls: str, sender: str) -> str:
 
 def topic(subject: str, body: str) -> str:
     low = f"lower({subject} || ' ' || {body})"
-    whens = " ".join(f"WHEN {rx(low, re2_words(words))} THEN {sql_str(name)}" for name, words in K.TOPICS)
+    whens = " ".join(f"WHEN {rx(folded(low), re2_words(words))} THEN {sql_str(name)}" for name, words in K.TOPICS)
     return f"CASE {whens} ELSE {sql_str(K.TOPIC_DEFAULT)} END"
 
 
@@ -244,6 +255,7 @@ def analysis_ctes(model_sql: str, intercept: float) -> list[str]:
         f"sig AS (SELECT *, {signals('subject', 'body', 'url_list')} AS signals FROM rules)",
         f"sig2 AS (SELECT *, {safe('signals', 'url_list', 'sender')} AS safe_reasons, {topic('subject', 'body')} AS topic, "
         f"{sender_indicators('sender')} AS sender_indicators, {sender_base_score('sender')} AS sender_base, "
+        f"list_filter(list_transform(url_list, lambda u: {url_error('u')}), lambda x: x IS NOT NULL)[1] AS url_error_text, "
         f"coalesce(list_bool_or(list_transform(url_list, lambda u: {invalid('u')})), false) AS url_error FROM sig)",
         f"model AS ({model_sql})",
         f"toks AS (SELECT row_idx, regexp_extract_all(strip_accents(lower(text)), '{TOKEN_RE2}') AS t FROM rules)",
@@ -302,4 +314,4 @@ def analysis_select() -> str:
         "sender_indicators": "array_to_string(sender_indicators, ' | ')",
     }
     body = ", ".join(f"CASE WHEN {ok} THEN {v} END AS {k}" for k, v in cols.items())
-    return f"row_idx, CASE WHEN url_error THEN 'Invalid IPv6 URL' END AS error, {body}"
+    return f"row_idx, url_error_text AS error, {body}"

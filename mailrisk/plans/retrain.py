@@ -10,7 +10,9 @@ from .. import constants as K
 from ..operators import corpus as C
 from ..operators import text_model as M
 from ..operators import training as T
-from ..sources.corpus_io import write_corpus
+from ..session import shared_dir
+from ..sources import paths
+from ..sources.corpus_io import load_corpus, write_corpus
 from ..sources.model_store import save_model
 
 
@@ -22,7 +24,7 @@ def prepare_training(canon: DataFrame) -> DataFrame:
 
 def evaluate(test: DataFrame, model_terms: DataFrame, intercept: float) -> DataFrame:
     """M10 on the held-out side: predicted SPAM when the risk is at least 50."""
-    scored = M.score(test.select("doc", "label", "text"), model_terms, intercept, id_col="doc")
+    scored = M.score(test.select("doc", "label", "text"), model_terms, intercept)
     pred = scored.withColumn("pred", (F.col("spam_risk") >= K.SPAM_THRESHOLD).cast("int"))
     return T.classification_metrics(pred, "label", "pred")
 
@@ -53,14 +55,16 @@ def retrain(frames, out_dir: str, max_iter: int = 100):
     Returns ``(report, model_terms, intercept)``; the written tables are the
     model's durable form, so later jobs read them instead of this lineage."""
     canon = C.merge_corpora(frames)
-    table = prepare_training(canon)
+    spark = canon.sparkSession
+    path = shared_dir(spark, "training-table")
+    prepare_training(canon).write.parquet(path)
+    table = spark.read.parquet(path)  # everything below reads the cleaned table, not the inputs again
     split = T.stratified_split(table, order=("src_ord", "row_idx"))
     train = split.filter(~F.col("is_test"))
     test = split.filter(F.col("is_test"))
     model_terms, intercept, n_docs = T.fit_spam_model(train, id_col="doc", max_iter=max_iter)
     save_model(model_terms, intercept, n_docs, f"{out_dir}/model")
     write_corpus(table.select(*[c for c in C.CORPUS_COLUMNS if c in table.columns]), f"{out_dir}/corpus")
-    spark = canon.sparkSession
     terms = spark.read.parquet(f"{out_dir}/model/terms")
     metrics = evaluate(test, terms, intercept)
     report = training_report(C.cleaning_funnel(canon), C.raw_counts(canon),
@@ -72,12 +76,10 @@ def retrain_paths(spark, canonical_path: str, extra_paths, out_dir: str, max_ite
     """M12 from files: every input path is checked before any work starts,
     then each file is read (S1) and resolved (S2) with its own layout, the
     canonical corpus first and the extras in argument order (S3)."""
-    import os
-    from ..sources.corpus_io import load_corpus
-    paths = [canonical_path, *extra_paths]
-    missing = [p for p in paths if "://" not in p and not os.path.exists(p)]
+    inputs = [canonical_path, *extra_paths]
+    missing = [p for p in inputs if not paths.exists(spark, p)]
     if missing:
         raise FileNotFoundError(f"input not found: {missing[0]}")
-    frames = [load_corpus(spark, p, source="canonical" if i == 0 else os.path.basename(p.rstrip("/")), src_ord=i)
-              for i, p in enumerate(paths)]
+    frames = [load_corpus(spark, p, source="canonical" if i == 0 else p.rstrip("/").rsplit("/", 1)[-1], src_ord=i)
+              for i, p in enumerate(inputs)]
     return retrain(frames, out_dir, max_iter=max_iter)

@@ -7,13 +7,12 @@ which keep-first dedup and positional lookup depend on.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import corpus as C
+from . import paths
 
 PARQUET_SUFFIXES = (".parquet", ".parquet.gzip", ".gzip")
 
@@ -40,31 +39,43 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     position inside the file is the task's increasing id."""
     raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
            .option("mode", "PERMISSIVE").csv(path))
-    raw = raw.select(*[F.when(F.col(c).isin(K.CSV_NULL_TOKENS), None).otherwise(F.col(c)).alias(c)
+    raw = raw.select(*[F.when(C.column(c).isin(K.CSV_NULL_TOKENS), None).otherwise(C.column(c)).alias(c)
                        for c in raw.columns], "_metadata")
-    return _with_file_order(raw, F.monotonically_increasing_id()).drop("_metadata")
+    ordered = _with_file_order(raw, F.monotonically_increasing_id()).drop("_metadata")
+    return ordered.repartition(spark.sparkContext.defaultParallelism)  # a file is one task; what follows is not
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.parquet(path)
     cols = raw.columns
-    return _with_file_order(raw.select(*cols, "_metadata"), F.col("_metadata.row_index")).drop("_metadata")
+    return _with_file_order(raw.select(*[C.column(c) for c in cols], "_metadata"), F.col("_metadata.row_index")).drop("_metadata")
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet-looking names try Parquet first (footer read on the driver)
-    and fall back to CSV; everything else is CSV."""
-    if not os.path.exists(path) and "://" not in path:
+    """Parquet-looking names are Parquet unless their footer says otherwise
+    (then CSV); everything else is CSV.  Paths are checked through Hadoop's file
+    system, so any scheme works.  A damaged Parquet file is an error."""
+    if not paths.exists(spark, path):
         raise FileNotFoundError(path)
-    if path.lower().endswith(PARQUET_SUFFIXES):
-        try:
-            spark.read.parquet(path).schema  # noqa: B018 - footer check
-            return read_parquet(spark, path)
-        except Exception:  # noqa: BLE001 - not a Parquet file
-            return read_csv(spark, path)
+    if path.lower().endswith(PARQUET_SUFFIXES) and is_parquet(spark, path):
+        return read_parquet(spark, path)
     return read_csv(spark, path)
 
 
+def is_parquet(spark: SparkSession, path: str) -> bool:
+    """Whether the first data file starts with Parquet's magic bytes."""
+    head = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+            .filter(F.col("length") > 0).select("path").orderBy("path").limit(1).collect())
+    if not head:
+        return False
+    p, fs = paths._fs(spark, head[0]["path"])
+    stream = fs.open(p)
+    try:
+        return bytes(stream.read() & 0xFF for _ in range(4)) == b"PAR1"
+    finally:
+        stream.close()
+
+
 def load_corpus(spark: SparkSession, path: str, source: str = "canonical", src_ord: int = 0) -> DataFrame:
     """S1 + S2 (+C1, C2): a canonical frame with explicit order."""
     return C.canonicalize(read_corpus(spark, path), source=source, src_ord=src_ord)
@@ -87,8 +98,10 @@ def write_csv(df: DataFrame, path: str, compression: str = "gzip") -> None:
 
 
 def replace_corpus(spark: SparkSession, src: str, dest: str) -> int:
-    """Load a corpus file (S1 -> S2 -> C7), write it in place of the old
-    one, return its row count (read back from the written table)."""
+    """Load a corpus file (S1 -> S2 -> C7), write it beside the old one, put
+    it in its place by renames, return its row count (read back)."""
     table = C.corpus_table(load_corpus(spark, src))
-    write_corpus(table, dest)
+    new = paths.staging(dest)
+    write_corpus(table, new)
+    paths.swap_in(spark, new, dest)
     return spark.read.parquet(dest).count()

@@ -1,19 +1,25 @@
-"""History sink and source.
+"""History sink and source (S6, S7) and durable deletion (H5).
 
 Stored as Parquet with native arrays/structs (reads prune to the columns a
 report needs); JSON text only at the exchange boundary (``to_wire`` /
-``from_wire``).  Appends are keyed by a batch id so a retried batch replaces
-its own folder instead of adding rows twice.
+``from_wire``).  There is one layout: every append is a folder ``batch=<id>``
+of the history's path.  A retried batch replaces its own folder; a job that
+names no batch gets an id of its own.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as SC
+from . import paths
 
 RESULT_FIELDS = [f.name for f in SC.RESULT.fields]
+STORED = T.StructType([*SC.HISTORY.fields, T.StructField("batch", T.StringType())])
 
 
 def history_records(results: DataFrame, id_col: Column | None = None, created_at: Column | None = None) -> DataFrame:
@@ -32,18 +38,29 @@ def history_records(results: DataFrame, id_col: Column | None = None, created_at
         (created_at if created_at is not None else F.current_timestamp()).cast("timestamp").alias("created_at"))
 
 
-def append_history(records: DataFrame, path: str, batch_id: int | None = None) -> None:
-    """Append; with a batch id the write goes to ``batch=<id>`` and
-    overwrites it, so re-running a batch is idempotent."""
-    if batch_id is None:
-        records.write.mode("append").parquet(path)
-    else:
-        records.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={int(batch_id)}")
+def append_history(records: DataFrame, path: str, batch_id: int | str | None = None) -> None:
+    """Write the records as ``batch=<id>``, replacing that batch if it exists."""
+    name = f"job-{uuid.uuid4().hex}" if batch_id is None else str(batch_id)
+    records.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={name}")
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """All batches with their ``batch`` id."""
+    return spark.read.schema(STORED).option("basePath", path).parquet(path)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Scan the history table (all batches)."""
-    return spark.read.option("basePath", path).parquet(path).select(*SC.HISTORY.fieldNames())
+    return read_batches(spark, path).select(*SC.HISTORY.fieldNames())
+
+
+def delete_history(spark: SparkSession, path: str, ids: DataFrame) -> None:
+    """H5, durable: write the history without the records of ``ids`` as a new
+    version and put it in the old one's place; unknown ids are a no-op."""
+    kept = read_batches(spark, path).join(ids.select("id").distinct(), "id", "left_anti").select(*STORED.fieldNames())
+    new = paths.staging(path)
+    kept.write.partitionBy("batch").parquet(new)
+    paths.swap_in(spark, new, path)
 
 
 def to_wire(history: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Running dashboard counts over the history file stream.
+"""Running dashboard totals and per-domain counts over the history file stream.
 
-A stateful ``groupBy`` in complete mode keeps one state row per domain key
-(partial aggregation per micro-batch, state in the checkpoint folder).  Each
-trigger overwrites the result table with the full current counts.
+The stream only says which batches of the history have new files.  For each of
+them the counts are taken again from the whole batch and replace that batch's
+rows in a small table of partial counts; the dashboard is the sum of these.  So
+a batch replayed by T1, or rewritten by a deletion, is counted once, as it is now.
+Results are versions: a reader sees the last complete one, never an empty folder.
 """
 
 from __future__ import annotations
@@ -11,27 +13,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .. import schema as SC
 from ..operators.history import domain_key
+from ..sources import paths
+from ..sources.history_io import STORED, read_batches
 
 
-def dashboard_counts(history_stream: DataFrame) -> DataFrame:
-    """H6/H7 as a streaming aggregation: spam/ham per domain key."""
+def batch_counts(history: DataFrame) -> DataFrame:
+    """Partial counts: spam/ham per batch and domain key."""
     is_spam = F.col("classification") == K.SPAM
-    return (history_stream.select(domain_key(F.col("sender")).alias("domain"), "classification")
-            .groupBy("domain")
+    return (history.select("batch", domain_key(F.col("sender")).alias("domain"), "classification")
+            .groupBy("batch", "domain")
             .agg(F.count_if(is_spam).alias("spam"), F.count_if(~is_spam | F.col("classification").isNull()).alias("ham")))
 
 
+def _write_version(df: DataFrame, out_dir: str, version: int) -> None:
+    df.write.mode("overwrite").parquet(f"{out_dir}/version={version:010d}")
+
+
+def read_dashboard(spark: SparkSession, out_dir: str) -> DataFrame:
+    """H7 counts (domain, spam, ham) of the last complete version."""
+    done = [f for f in paths.folders(spark, out_dir) if paths.exists(spark, f"{out_dir}/{f}/_SUCCESS")]
+    if not done:
+        raise FileNotFoundError(f"no dashboard version in {out_dir}")
+    return spark.read.parquet(f"{out_dir}/{done[-1]}")
+
+
+def dashboard_totals(dashboard: DataFrame) -> DataFrame:
+    """H6 from the per-domain counts: total, spam, not_spam."""
+    return dashboard.agg(F.coalesce(F.sum(F.col("spam") + F.col("ham")), F.lit(0)).alias("total"),
+                         F.coalesce(F.sum("spam"), F.lit(0)).alias("spam"),
+                         F.coalesce(F.sum("ham"), F.lit(0)).alias("not_spam"))
+
+
 def start_dashboard_stream(spark: SparkSession, history_dir: str, out_dir: str, checkpoint_dir: str,
                            available_now: bool = True):
-    stream = (spark.readStream.schema(SC.HISTORY).option("basePath", history_dir)
-              .option("recursiveFileLookup", "true").parquet(history_dir))
+    counts_dir = f"{checkpoint_dir}/batch-counts"
+    stream = spark.readStream.schema(STORED).option("basePath", history_dir).parquet(history_dir)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_dir)
+        changed = [r["batch"] for r in batch.select("batch").distinct().collect()]  # folders with new files
+        fresh = batch_counts(read_batches(spark, history_dir).filter(F.col("batch").isin(changed)))
+        (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch").parquet(counts_dir))
+        present = spark.createDataFrame([(f.split("=", 1)[1],) for f in paths.folders(spark, history_dir) if f.startswith("batch=")],
+                                        "batch string")
+        known = (spark.read.schema("domain string, spam long, ham long, batch string").parquet(counts_dir)
+                 .join(present, "batch", "left_semi"))  # batches that a deletion emptied are gone
+        _write_version(known.groupBy("domain").agg(F.sum("spam").alias("spam"), F.sum("ham").alias("ham")), out_dir, batch_id)
+        for old in paths.folders(spark, out_dir)[:-2]:
+            paths.delete(spark, f"{out_dir}/{old}")
 
-    w = (dashboard_counts(stream).writeStream.outputMode("complete").foreachBatch(write)
-         .option("checkpointLocation", checkpoint_dir))
+    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()

@@ -13,7 +13,7 @@ def ruled(spark):
 
 
 def test_tfidf_norms_are_one(spark):
-    w = M.tfidf(M.doc_terms(ruled(spark)), FX.model_terms(spark))
+    w = M.tfidf(ruled(spark), FX.model_terms(spark))
     norms = w.groupBy("row_idx").agg(F.sum(F.col("w") * F.col("w")).alias("n")).collect()
     assert norms and all(abs(r.n - 1.0) < 1e-9 for r in norms)
 
@@ -44,9 +44,8 @@ def test_explanations_partition_independent(spark):
     model = FX.model_terms(spark)
 
     def run(d):
-        weighted = M._weighted(d, model, "text", "row_idx")
         return sorted((r.row_idx, tuple(r.spam_terms), tuple(r.ham_terms))
-                      for r in M.explanation_candidates(weighted).collect())
+                      for r in M.score(d, model, FX.MODEL_INTERCEPT).collect())
     assert run(docs) == run(docs.repartition(1)) == run(docs.repartition(7))
 
 
@@ -57,3 +56,27 @@ def test_analysis_error_path_is_per_row(spark):
     out = {r.row_idx: r for r in A.analyze_emails(df, FX.model_terms(spark), FX.MODEL_INTERCEPT).collect()}
     assert out[0].error is not None and out[0].prediction is None
     assert out[1].error is None and out[1].prediction == "HAM" and out[1].domain_category == "Work"
+
+
+def test_rows_that_share_or_lack_an_id_are_scored_alone(spark):
+    texts = ["meeting agenda family dinner", "verify your account login password", "nothing", "click here to verify your account"]
+    schema = "row_idx long, sender string, recipient string, subject string, body string"
+    rows = [(i, "a@b.com", "x", "hi", t) for i, t in enumerate(texts)]
+    alone = {r[4]: A.flatten(A.analyze_emails(spark.createDataFrame([r], schema), FX.model_terms(spark), FX.MODEL_INTERCEPT)).first() for r in rows}
+    for ids in ([0, 0, 0, 0], [None, None, 7, 7]):
+        df = spark.createDataFrame([(i, *r[1:]) for i, r in zip(ids, rows)], schema)
+        got = A.analyze_emails(df.withColumn("raw", F.col("body")), FX.model_terms(spark), FX.MODEL_INTERCEPT, keep=("raw",)).collect()
+        assert len(got) == 4
+        for r in got:
+            assert (r.spam_risk, r.prediction) == (alone[r.raw].spam_risk, alone[r.raw].prediction)
+
+
+def test_terms_are_counted_like_a_counter(spark):
+    from collections import Counter
+    texts = ["a bb bb a-bb cc", "", "one one one", "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_idx long, text string")
+    import re
+    for i, t in enumerate(texts):
+        w = re.findall(r"\w{2,}", t)
+        want = Counter(w) + Counter(f"{x} {y}" for x, y in zip(w, w[1:]))
+        assert {r.term: r.tf for r in M.doc_terms(df).filter(F.col("row_idx") == i).collect()} == dict(want)

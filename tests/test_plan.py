@@ -17,14 +17,32 @@ def static_plan(spark, fn):
         spark.conf.set("spark.sql.adaptive.enabled", prev)
 
 
-def test_analysis_shuffles_only_by_row_idx(spark):
+def test_analysis_is_one_branch_with_one_exchange(spark):
     plan = static_plan(spark, lambda: CAT.analysis(spark, SF_SMALL))
-    hash_ex = [l for l in plan.split("\n") if "Exchange hashpartitioning" in l]
-    # the compact rule rows and the folded text, nothing on the exploded terms
-    assert len(hash_ex) == 2, plan
-    assert all("row_idx" in l for l in hash_ex)
+    hash_ex = [l for l in plan.split("\n") if "Exchange hashpartitioning" in l and "_eid" in l]
+    assert len(hash_ex) == 1, plan                    # about one row an email, after partial aggregation
+    assert sum("FileScan" in l and "text" in l for l in plan.split("\n")) == 1   # the documents are scanned once
     assert "BroadcastHashJoin [term" in plan          # model terms joined by broadcast
-    assert "SortMergeJoin" in plan and "Window" not in plan
+    assert "Window" not in plan
+
+
+def test_corpus_positions_are_spread(spark):
+    from mailrisk.operators import corpus as C
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        table = C.corpus_table(CAT.canon(spark, SF_SMALL))
+        sizes = [r["count"] for r in table.groupBy(CAT.F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
+    assert len(sizes) >= 4 and max(sizes) <= 0.4 * sum(sizes)
+
+
+def test_dedup_neither_sorts_nor_groups_bodies(spark):
+    plan = static_plan(spark, lambda: CAT.q_dedup(spark, SF_SMALL))
+    for line in plan.split("\n"):
+        if "SortAggregate" in line or "HashAggregate" in line:
+            assert "body" not in line.split("functions=")[0], line
 
 
 def test_history_reports_prune_and_push_down(spark, tmp_path):

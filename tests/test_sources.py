@@ -66,3 +66,31 @@ def test_breakdown_partition_independent(spark):
     base = sorted(H.domain_breakdown(h).collect())
     assert sorted(H.domain_breakdown(h.repartition(1)).collect()) == base
     assert sorted(H.domain_breakdown(h.repartition(7)).collect()) == base
+
+
+def test_headers_with_dots_and_uri_paths(spark, tmp_path):
+    p = tmp_path / "c.csv"
+    p.write_text("Email No.,text,label\n1,hello there,spam\n2,NA,ham\n")
+    rows = CIO.load_corpus(spark, f"file:{p}").orderBy("row_idx").collect()
+    assert [(r.body, r.label) for r in rows] == [("hello there", 1), ("", 0)]
+    CIO.write_corpus(C.corpus_table(CIO.load_corpus(spark, str(p))), str(tmp_path / "out"))
+    import pytest
+    with pytest.raises(FileNotFoundError):
+        CIO.read_corpus(spark, f"file:{tmp_path}/missing.csv")
+
+
+def test_damaged_parquet_is_an_error(spark, tmp_path):
+    import pytest
+    p = tmp_path / "d.parquet"
+    p.write_bytes(b"PAR1" + b"damaged" * 20)
+    with pytest.raises(Exception):
+        CIO.read_corpus(spark, str(p)).count()
+
+
+def test_replace_swaps_versions(spark, tmp_path):
+    src, dest = tmp_path / "a.csv", str(tmp_path / "corpus")
+    src.write_text("subject,body,label\ns,b,spam\nt,c,ham\n")
+    assert CIO.replace_corpus(spark, str(src), dest) == 2
+    src.write_text("subject,body,label\ns,b,spam\n")
+    assert CIO.replace_corpus(spark, str(src), dest) == 1
+    assert sorted(os.listdir(tmp_path)) == ["a.csv", "corpus"]

@@ -11,8 +11,8 @@ def test_stream_equals_batch(spark):
     cols = ["id", "classification", "spam_risk", "overall_risk"]
     assert sorted(streamed.select(*cols).collect()) == sorted(batch.select(*cols).collect())
     # replaying a batch id overwrites its own folder: no duplicates
-    replay = spark.createDataFrame(spark.read.parquet(f"{path}/batch=0").collect(),
-                                   spark.read.parquet(f"{path}/batch=0").schema)
+    part = spark.read.parquet(f"{path}/batch=0")
+    replay = spark.createDataFrame(part.collect(), part.schema)
     before = HIO.read_history(spark, path).count()
     HIO.append_history(replay, path, batch_id=0)
     assert HIO.read_history(spark, path).count() == before
@@ -22,3 +22,31 @@ def test_stream_dashboard_equals_batch(spark):
     got = sorted(CAT.q_stream_dashboard(spark, SF_SMALL).collect())
     want = sorted(H.domain_breakdown(CAT.history(spark, SF_SMALL)).collect())
     assert got == want
+
+
+def test_dashboard_counts_replays_once_and_sees_deletions(spark, tmp_path):
+    import datetime as dt
+    from mailrisk import schema as SC
+    from mailrisk.streaming import dashboard_stream as DS
+    path, out, ckpt = str(tmp_path / "history"), str(tmp_path / "out"), str(tmp_path / "ckpt")
+
+    def rows(*items):
+        full = [{f: None for f in SC.HISTORY.fieldNames()} | {"id": i, "sender": s, "classification": c, "created_at": dt.datetime(2024, 1, 1)} for i, s, c in items]
+        return spark.createDataFrame(full, SC.HISTORY)
+
+    def dashboard():
+        DS.start_dashboard_stream(spark, path, out, ckpt).awaitTermination()
+        return sorted(tuple(r) for r in DS.read_dashboard(spark, out).collect())
+
+    HIO.append_history(rows(("1", "a@x.com", "SPAM"), ("2", "b@y.com", "HAM")), path, 0)
+    HIO.append_history(rows(("3", "c@x.com", "HAM")), path)          # a job without a batch id
+    assert HIO.read_history(spark, path).count() == 3                  # mixed appends are all read
+    assert dashboard() == [("x.com", 1, 1), ("y.com", 0, 1)]
+    HIO.append_history(rows(("1", "a@x.com", "SPAM"), ("2", "b@y.com", "HAM")), path, 0)   # replay
+    assert dashboard() == [("x.com", 1, 1), ("y.com", 0, 1)]
+    HIO.append_history(rows(("4", "d@z.com", "SPAM")), path, 1)
+    assert dashboard() == [("x.com", 1, 1), ("y.com", 0, 1), ("z.com", 1, 0)]
+    HIO.delete_history(spark, path, spark.createDataFrame([("3",), ("1",), ("unknown",)], "id string"))
+    assert sorted(r.id for r in HIO.read_history(spark, path).collect()) == ["2", "4"]
+    assert dashboard() == [("y.com", 0, 1), ("z.com", 1, 0)]
+    assert DS.dashboard_totals(DS.read_dashboard(spark, out)).first() == (2, 1, 1)

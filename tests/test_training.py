@@ -30,7 +30,7 @@ def test_fit_separates_training_labels(spark):
     terms, intercept, n = T.fit_spam_model(docs, id_col="doc", max_iter=30)
     assert n == docs.count() and terms.count() > 0
     from mailrisk.operators import text_model as M
-    scored = M.score(docs.select("doc", "label", "text"), terms, intercept, id_col="doc")
+    scored = M.score(docs.select("doc", "label", "text"), terms, intercept)
     pred = scored.withColumn("pred", (F.col("spam_risk") >= 50).cast("int"))
     assert T.classification_metrics(pred).first().accuracy > 0.6
 
