@@ -1,6 +1,6 @@
 """Numpy kernels over the bytes of Arrow text columns.
 
-Texts are taken in slices of about a megabyte (or one longer text), so the memory
+Texts are taken in slices of about 256 KB (or one longer text), so the memory
 of the intermediate arrays does not depend on the batch.  Word hashes are 64-bit
 polynomial hashes over random byte values, mixed at the end; they are equal in
 every process because all constants come from :func:`splitmix`.
@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+KEPT_POWERS = 1 << 21
 U = np.uint64
 
 
@@ -38,13 +39,13 @@ _POWERS: list[np.ndarray] = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse; tables longer than a slice are not kept."""
+    """Powers of BASE and of its inverse; very long tables are not kept."""
     out = []
     for at, base in ((0, BASE), (1, BASE_INVERSE)):
         t = _POWERS[at]
         while len(t) < n:
             t = np.concatenate((t, t * U(pow(base, len(t), 1 << 64))))
-        if len(t) <= 4 * SLICE_BYTES:
+        if len(t) <= KEPT_POWERS:
             _POWERS[at] = t
         out.append(t)
     return out[0], out[1]
