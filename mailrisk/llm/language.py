@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import crc32_of_id, map_arrow, numbered, pick, widened
 from .kernels import U, mix, text_slices
-from .sampling import class_counts, sample_by_class
+from .sampling import bound, class_counts, sample_by_class
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -147,7 +147,7 @@ def fit(labelled: DataFrame, per_class: int = PER_CLASS) -> dict:
         return {"langs": [], "table": None, "threshold": 0.0}
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)).cast("int")
     vectors = map_arrow(sample_by_class(rows, "lang", counts, per_class).select(part.alias("part"), "text", "lang"),
-                        _vectors, "part int, lang string, ids binary, counts binary").toArrow().to_pylist()
+                        _vectors, "part int, lang string, ids binary, counts binary").limit(bound(counts, per_class)).toArrow().to_pylist()
     number = {v: i for i, v in enumerate(langs)}
     data = [(number[r["lang"]], r["ids"], r["counts"], r["part"]) for r in sorted(vectors, key=lambda r: (r["lang"], r["ids"], r["counts"]))]
     table, weight, bias = train([d[:3] for d in data if d[3]] or [d[:3] for d in data], len(langs))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import crc32_of_id, map_arrow, pick, widened
 from .kernels import ALNUM, U, mix, text_slices, word_counts, words
-from .sampling import class_counts, sample_by_class
+from .sampling import bound, class_counts, sample_by_class
 
 BITS = 20
 PER_CLASS = 3000
@@ -88,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
     if len(counts) < 2:
         p = float(next(iter(counts), 0))
         return {"ids": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": 35.0 if p else -35.0}
-    chosen = sample_by_class(labels, "label", counts, per_class)  # at most 4 x per_class ids: small enough to broadcast
+    chosen = sample_by_class(labels, "label", counts, per_class).limit(bound(counts, per_class))  # at most 4 x per_class ids: small enough to broadcast
     rows = map_arrow(pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text"),
                      _vectors, "label int, ids binary").toArrow().to_pylist()
     data = [(y, np.frombuffer(x, "<i4").astype(np.int64)) for y, x in sorted((r["label"], r["ids"]) for r in rows)]
