@@ -135,6 +135,9 @@ def block_pairs(members: DataFrame, group: str, member: str, size: int, weight:
             .drop("_nb", "_o"))
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"  # set here only where the session leaves it unset
+
+
 def ship_code(spark: SparkSession) -> None:
     """Send the package to the executors, once a session, so Python tasks can import it there."""
     sc = spark.sparkContext
@@ -150,6 +153,8 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` by a function of this package."""
+    """``mapInArrow`` by a function of this package, in batches of bounded bytes however long the texts are."""
     ship_code(df.sparkSession)
+    if df.sparkSession.conf.get(BATCH_BYTES, None) is None:
+        df.sparkSession.conf.set(BATCH_BYTES, "4m")
     return df.mapInArrow(fn, schema)

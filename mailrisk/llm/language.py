@@ -28,7 +28,7 @@ from .common import crc32_of_id, map_arrow, numbered, pick, widened
 from .kernels import U, mix, text_slices
 from .sampling import bound, class_counts, sample_by_class
 
-BITS = 15
+BITS = 15  # at most 16: ids travel in two bytes
 BUCKETS = 1 << BITS
 ORDERS = (2, 3, 4)
 DIM = 16
@@ -76,7 +76,7 @@ def _vectors(batches):
             bucket, doc = subwords(buf, off)
             key, count = np.unique(doc * BUCKETS + bucket, return_counts=True)
             cut = np.searchsorted(key, np.arange(hi - lo + 1) * BUCKETS)
-            ids, c = (key % BUCKETS).astype("<i4"), count.astype("<i4")
+            ids, c = (key % BUCKETS).astype("<u2"), count.astype("<i4")
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo),
                  *[pa.array([x[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x in (ids, c)]],
@@ -93,7 +93,7 @@ def train(rows: list[tuple[int, bytes, bytes]], n_classes: int, epochs: int = EP
     for y, ids, counts in rows:
         c = np.frombuffer(counts, "<i4").astype(np.float32)
         if len(c):
-            docs.append((y, np.frombuffer(ids, "<i4"), c / c.sum()))
+            docs.append((y, np.frombuffer(ids, "<u2"), c / c.sum()))
     steps, done = max(1, epochs * len(docs)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
@@ -117,7 +117,7 @@ def _logits(rows, table, weight, bias):
     for i, (_, ids, counts) in enumerate(rows):
         c = np.frombuffer(counts, "<i4").astype(np.float64)
         if len(c):
-            out[i] += ((c / c.sum()) @ table[np.frombuffer(ids, "<i4")]) @ weight
+            out[i] += ((c / c.sum()) @ table[np.frombuffer(ids, "<u2")]) @ weight
     return out
 
 
@@ -152,6 +152,8 @@ def fit(labelled: DataFrame, per_class: int = PER_CLASS) -> dict:
     data = [(number[r["lang"]], r["ids"], r["counts"], r["part"]) for r in sorted(vectors, key=lambda r: (r["lang"], r["ids"], r["counts"]))]
     table, weight, bias = train([d[:3] for d in data if d[3]] or [d[:3] for d in data], len(langs))
     kept_back = [d[:3] for d in data if not d[3]] or [d[:3] for d in data]
+    del vectors
+    pa.default_memory_pool().release_unused()
     scale, threshold = calibrate(_logits(kept_back, table, weight, bias), np.array([d[0] for d in kept_back]))
     if len(langs) <= DIM:  # averaging and the softmax weights are both linear: one table does both
         table, weight = table @ weight, np.eye(len(langs), dtype=np.float32)
