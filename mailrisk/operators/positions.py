@@ -35,17 +35,20 @@ def positions_of(df: DataFrame, keys, out: str, base: int = 0, order=None) -> Da
     """``df`` with its rows' positions in ``order`` (columns of ``keys``; default all of them).
 
     Only the key columns are sorted and checkpointed; the other columns meet
-    their position in one join by key.  Rows with equal keys are told apart by
-    a number inside the key, so each gets a position of its own.
+    their position in one join by key.  Where keys repeat (seen on the narrow
+    side), rows with equal keys are numbered on from their key's first position.
     """
     keys = list(keys)
-    same = Window.partitionBy(*keys).orderBy(*keys)
-    numbered = df.withColumn("_same", F.row_number().over(same))
-    placed = global_position(numbered.select(*keys, "_same"), [*(order or [F.col(k) for k in keys]), F.col("_same")], out="_place", base=base)
+    placed = global_position(df.select(*keys), order or [F.col(k) for k in keys], out="_place", base=base)
+    first = placed.groupBy(*keys).agg(F.min("_place").alias("_place"), F.count(F.lit(1)).alias("_times"))
+    repeats = first.filter("_times > 1").limit(1).count() > 0
+    first = first.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_place")
     on = None
-    placed = placed.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_same"])], "_place")
-    for i, k in enumerate([*keys, "_same"]):
+    for i, k in enumerate(keys):
         part = F.col(k).eqNullSafe(F.col(f"_k{i}"))
         on = part if on is None else on & part
-    names = [c for c in df.columns if c != out]
-    return numbered.join(placed, on).select(*names, F.col("_place").alias(out))
+    place = F.col("_place")
+    if repeats:
+        place = place + F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)) - 1
+    return df.join(first, on).select(*df.columns, place.alias("_at")).select(
+        *[c for c in df.columns if c != out], F.col("_at").alias(out))
