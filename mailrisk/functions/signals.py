@@ -32,12 +32,17 @@ FOLDS = "\u0131\u017f"
 FOLDS_TO = "is"
 
 
-def guarded_rlike(low: Column, pattern: str, literals, ignore_case: bool = True) -> Column:
-    """``low rlike pattern``, evaluated only when a required literal occurs."""
-    plain = F.translate(low, FOLDS, FOLDS_TO) if ignore_case else low
+def plain(low) -> Column:
+    """Lower-cased text with look-alikes of ASCII letters as these letters; materialise it once for the guards."""
+    return F.translate(_c(low), FOLDS, FOLDS_TO)
+
+
+def guarded_rlike(low: Column, pattern: str, literals, guard: Column) -> Column:
+    """``low rlike pattern``, evaluated only when a required literal occurs in ``guard``
+    (``plain(low)``, or ``low`` itself for a pattern that minds case)."""
     hit = F.lit(False)
     for lit in literals:
-        hit = hit | plain.contains(lit)
+        hit = hit | guard.contains(lit)
     return F.when(hit, low.rlike(pattern)).otherwise(F.lit(False))
 
 
@@ -59,21 +64,22 @@ def punctuation(txt) -> Column:
     return F.regexp_count(_c(txt), F.lit(PUNCT_RUNS)) >= K.PUNCTUATION_MIN_RUNS
 
 
-def rule_flags(low, txt) -> dict[str, Column]:
+def rule_flags(low, txt, folded=None) -> dict[str, Column]:
     """Boolean column per rule, keyed L1..L10, over materialised columns:
-    ``low`` = lower(subject \n body) and ``txt`` = subject \n body.  (Passing
+    ``low`` = lower(subject \n body), ``txt`` = subject \n body and ``folded`` = plain(low).  (Passing
     expressions instead would re-evaluate them in every conditional branch.)"""
     low = _c(low)
-    flags = {f"L{i + 1}": guarded_rlike(low, p, lits) for i, (_, p, lits) in enumerate(LANGUAGE_RULES)}
+    guard = plain(low) if folded is None else _c(folded)
+    flags = {f"L{i + 1}": guarded_rlike(low, p, lits, guard) for i, (_, p, lits) in enumerate(LANGUAGE_RULES)}
     flags["L8"] = capitals(txt)
     flags["L9"] = punctuation(txt)
-    flags["L10"] = guarded_rlike(low, SOCIAL_PATTERN, SOCIAL_LITERALS, ignore_case=False)
+    flags["L10"] = guarded_rlike(low, SOCIAL_PATTERN, SOCIAL_LITERALS, low)
     return flags
 
 
-def signal_reasons(low, txt, urls) -> Column:
+def signal_reasons(low, txt, urls, folded=None) -> Column:
     """Ordered labels of the rules that fired."""
-    f = rule_flags(low, txt)
+    f = rule_flags(low, txt, folded)
     parts = [F.when(f[f"L{i + 1}"], F.lit(label)) for i, (label, _, _) in enumerate(LANGUAGE_RULES)]
     parts += [U.count_signal(urls), U.first_finding(urls),
               F.when(f["L8"], F.lit(K.REASON_CAPITALS)),
@@ -98,11 +104,12 @@ def topic_text(subject, body) -> Column:
     return F.lower(joined(subject, body, " "))
 
 
-def topic(low_space) -> Column:
+def topic(low_space, folded=None) -> Column:
     """First matching topic of a materialised lower(subject + ' ' + body), else General."""
     low = _c(low_space)
+    guard = plain(low) if folded is None else _c(folded)
     out = None
     for name, pattern, lits in TOPIC_RULES:
-        hit = guarded_rlike(low, pattern, lits)
+        hit = guarded_rlike(low, pattern, lits, guard)
         out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
     return out.otherwise(F.lit(K.TOPIC_DEFAULT))

@@ -30,25 +30,26 @@ def with_urls(df: DataFrame) -> DataFrame:
 
 
 def with_rule_text(df: DataFrame) -> DataFrame:
-    """Materialise the searched texts once: ``_txt`` = subject \n body, ``_low`` its lower case."""
+    """Materialise the searched texts once: ``_txt`` = subject \n body, ``_low`` its lower case, ``_plain`` that for the guards."""
     return (df.withColumn("_txt", F.concat("subject", F.lit("\n"), "body"))
-            .withColumn("_low", F.lower("_txt")))
+            .withColumn("_low", F.lower("_txt"))
+            .withColumn("_plain", L.plain("_low")))
 
 
 def with_language_flags(df: DataFrame) -> DataFrame:
     """L1-L10 as named boolean columns."""
-    flags = L.rule_flags("_low", "_txt")
+    flags = L.rule_flags("_low", "_txt", "_plain")
     return (with_rule_text(df)
             .withColumns({name: flags[f"L{i + 1}"] for i, name in enumerate(LANGUAGE_FLAG_NAMES)})
-            .drop("_txt", "_low"))
+            .drop("_txt", "_low", "_plain"))
 
 
 def with_signals(df: DataFrame) -> DataFrame:
     """U1, L11, L12 and the url report columns (U3-U7); the topic (L13) is
     added where needed (``with_topic``) because only HAM results use it."""
     df = with_urls(df) if "url_list" not in df.columns else df
-    return (with_rule_text(df).withColumn("signals", L.signal_reasons("_low", "_txt", "url_list"))
-            .drop("_txt", "_low")
+    return (with_rule_text(df).withColumn("signals", L.signal_reasons("_low", "_txt", "url_list", "_plain"))
+            .drop("_txt", "_low", "_plain")
             .withColumn("n_signals", F.size("signals"))
             .withColumn("safe_reasons", L.safe_reasons("signals", "url_list", "sender"))
             .withColumn("urls_detected", F.size("url_list"))
@@ -59,7 +60,8 @@ def with_signals(df: DataFrame) -> DataFrame:
 
 def with_topic(df: DataFrame) -> DataFrame:
     """L13."""
-    return df.withColumn("_lows", L.topic_text("subject", "body")).withColumn("topic", L.topic("_lows")).drop("_lows")
+    return (df.withColumn("_lows", L.topic_text("subject", "body")).withColumn("_plains", L.plain("_lows"))
+            .withColumn("topic", L.topic("_lows", "_plains")).drop("_lows", "_plains"))
 
 
 def url_items(df: DataFrame) -> DataFrame:
