@@ -18,7 +18,7 @@ import pyarrow as pa
 
 from .kernels import U, _BYTE_VALUES, _powers, mix, text_slices
 
-KEEP = 1_000_000  # distinct pieces a worker remembers (about 40 bytes each)
+KEEP = 1_400_000  # distinct pieces a worker remembers (about 40 bytes each)
 GROUP_BYTES = 1 << 20
 _ENCODERS: dict[tuple[str, str], "Encoder"] = {}
 
