@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import caps, chat, decontaminate, language, near_dedup, packing, quality, token_files, toxicity, warc
+from . import caps, chat, collocations, compression, decontaminate, language, near_dedup, packing, quality, token_files, toxicity, trie, warc
 from .common import table
 
 
@@ -57,6 +57,18 @@ def op10_quality(spark, sf_dir):
     return quality.op10_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_compression_bands(spark, sf_dir):
+    return compression.op11_compression_bands(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark, sf_dir):
+    return trie.op12_prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_collocations(spark, sf_dir):
+    return collocations.op13_collocations(table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {
     "op1_chat_format": (op1_chat_format, None),
     "op2_language_id": (op2_language_id, None),
@@ -68,4 +80,7 @@ REGISTRY = {
     "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_quality": (op10_quality, None),
+    "op11_compression_bands": (op11_compression_bands, None),
+    "op12_prefix_trie": (op12_prefix_trie, trie.ORACLE),
+    "op13_collocations": (op13_collocations, collocations.ORACLE),
 }
