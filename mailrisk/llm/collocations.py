@@ -4,25 +4,26 @@ Texts are lower-cased (A-Z), split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and th
 ``[^\\x20\\x09]+``; everything is counted per lang.  A phrase is 1 to ``LONGEST`` words of a piece.
 
 1. Mine.  A shard is a run of about ``SHARD_BYTES`` of texts inside a task.  With a share w of a
-   lang's bytes, a shard reports each phrase that it holds at least ``ceil(support * w)`` times,
-   found level by level: a phrase is tried only where the two phrases one word shorter are
-   locally frequent.  The shares of a lang add up to 1, so a phrase below its local support in
-   every shard is below the support everywhere.
+   lang's bytes, a shard reports each phrase that it holds at least ``ceil(support * w)`` times.
+   The shares of a lang add up to 1, so a phrase below its local support in every shard is below
+   the support everywhere.  Phrases are mined level by level (a phrase is tried only where the two
+   phrases one word shorter are frequent) and in the rounds ``ROUNDS``: words, pairs, longer ones; a
+   round starts from the phrases that the union of the round before left.
 2. Union.  Reports (a 64-bit digest and a count) are added up.  A shard that did not report a
    phrase holds it at most ``ceil(support * w) - 1`` times, so a phrase stays a candidate only if
    its reported counts and that slack reach the support.  Digests that collide only add candidates.
-3. Count.  Candidates are put into a Bloom filter of ``BLOOM_BITS`` bits, the only broadcast, whose
-   size does not depend on the input.  Every shard is mined again, now keeping the phrases in the
-   filter, and their local counts are added up by their words: exact counts, from which phrases
-   below the support go.  False positives of the filter cost time, never rows.
+3. Count.  A round's candidates go into a Bloom filter of ``BLOOM_BITS`` bits, the only broadcasts,
+   whose size does not depend on the input.  Every text is then read again and the phrases that the
+   filters hold are counted by their words: exact counts, from which phrases below the support go.
+   False positives of a filter cost time, never rows.
 4. Score.  Cuts of a phrase meet the counts of their two parts in a join that is salted, since a
    third of all phrases may start with one word.  Scores are exact decimal integers.
 
-Nothing is counted before it is cut to a shard: words and phrases have exact codes inside a shard
-(no identity by hash), and shards follow the byte order of the input, with no shuffle of texts.
+No text is shuffled.  While mining, a task holds 8-byte digests of a shard's words, not its texts;
+while counting, the exact codes of a smaller run of texts.
 
 With support fixed and the input growing, shares shrink and local supports fall towards 1; then
-step 1 reports every phrase of a shard once, the slack is 0, and the union alone is exact.
+a round reports every phrase of a shard that its filter lets through once, and the slack is 0.
 
 Edge cases: null text is empty, null lang is ``und`` (with the rows whose lang is that string);
 repeated rows count each; a lang without candidates has no rows, an empty table none at all.
@@ -30,7 +31,7 @@ repeated rows count each; a lang without candidates has no rows, an empty table
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,15 +41,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, pick, stored
+from .common import drop_stored, map_arrow, pick, stored
 from .exact import paired, span_codes, spans
-from .kernels import U, mix, text_slices
+from .kernels import U, mix, text_slices, words
 
 SUPPORT = 100
 LONGEST = 5
 TOP = 2000
-SHARD_BYTES = 24 << 20
-BLOOM_BITS = 1 << 27
+ROUNDS = ((1, 1), (2, 2), (3, LONGEST))
+SHARD_BYTES = 32 << 20
+COUNT_BYTES = 8 << 20
+BLOOM_BITS = 1 << 26
 PROBES = 4
 SALT = 16
 
@@ -58,83 +61,109 @@ _CUT = np.zeros(256, dtype=bool)
 _CUT[[*map(ord, ".,;:!?"), *range(0x0A, 0x0E)]] = True
 _WORD = ~_CUT
 _WORD[[0x20, 0x09]] = False
+_HASHED = np.where(_WORD, _LOWER, 0).astype(np.uint8)  # for the hash of words; a NUL is a word byte and stands as 1
+_HASHED[0] = 1
 
 
-def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
-    """``(langs, lang of each text, bytes, offsets)`` of runs of about ``size`` bytes, or one longer text."""
-    langs: dict[str, int] = {}
-    which, bufs, offs, filled = [], [], [], 0
-
-    def cut():
-        off = np.zeros(sum(len(o) - 1 for o in offs) + 1, dtype=np.int64)
-        np.cumsum(np.concatenate([np.diff(o) for o in offs]), out=off[1:])
-        return list(langs), np.concatenate(which), np.concatenate(bufs), off
-
+def slices(batches: Iterator[pa.RecordBatch], langs: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(lang of each text, bytes, offsets)`` of runs of a few texts."""
+    number = {x: i for i, x in enumerate(langs)}
     for b in batches:
-        coded = pc.fill_null(b.column(0), "und").dictionary_encode()
-        number = np.array([langs.setdefault(x, len(langs)) for x in coded.dictionary.to_pylist()], dtype=np.int64)
-        rows = number[coded.indices.to_numpy()] if len(number) else np.zeros(0, np.int64)
+        coded = b.column(0).dictionary_encode()
+        codes = np.array([number[x] for x in coded.dictionary.to_pylist()], dtype=np.int64)
+        rows = codes[coded.indices.to_numpy()] if len(codes) else np.zeros(0, np.int64)
         for lo, hi, buf, off in text_slices(b.column(1)):
-            if filled and filled + len(buf) > size:
-                yield cut()
-                which, bufs, offs, filled = [], [], [], 0
-            which.append(rows[lo:hi])
-            bufs.append(buf)
-            offs.append(off)
-            filled += len(buf)
-    if which:
-        yield cut()
-
-
-class Shard:
-    """Exact word codes of a shard, in order; a phrase of k words is named by a code and its first place."""
-
-    def __init__(self, lang: np.ndarray, buf: np.ndarray, off: np.ndarray):
+            yield rows[lo:hi], buf, off
+
+
+def pieces(buf: np.ndarray, off: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Piece and text of every word; both numbers only grow."""
+    doc = np.searchsorted(off, starts, "right") - 1
+    return np.searchsorted(np.flatnonzero(_CUT[buf]), starts) + doc, doc
+
+
+def seeds(langs: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in langs), dtype=U, count=len(langs))
+
+
+def word_digests(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit digest and start of every word."""
+    h, starts, _ = words(buf, off, _HASHED)
+    return h, starts
+
+
+def longer(digest: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Digest of phrases with one word more."""
+    return mix(digest * U(0x9E3779B97F4A7C15) + word)
+
+
+def extended(at: np.ndarray, k: int, piece: np.ndarray) -> np.ndarray:
+    """Which of the kept places ``at`` of phrases of k - 1 words can start one of k: the next place is kept too, in the same piece."""
+    kept = np.zeros(len(piece) + 1, dtype=bool)
+    kept[at] = True
+    last = at + k - 1
+    ok = kept[at + 1] & (last < len(piece))
+    ok[ok] = piece[at[ok]] == piece[last[ok]]
+    return ok
+
+
+def mine(word: np.ndarray, piece: np.ndarray, lang: np.ndarray, least: np.ndarray, filters: list[np.ndarray], first: int,
+         last: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(digest, count, lang)`` of a shard's phrases of ``first`` to ``last`` words that reach their lang's ``least`` count."""
+    at, digest = np.arange(len(word)), word
+    for k in range(1, last + 1):
+        if k > 1:
+            ok = extended(at, k, piece)
+            at = at[ok]
+            digest = longer(digest[ok], word[at + k - 1])
+        if not len(at):
+            return
+        if k < first:
+            held = may_hold(filters[k], digest)
+        else:
+            order = np.argsort(digest)
+            d = digest[order]
+            new = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+            count = np.diff(np.append(new, len(d)))
+            of = lang[at[order[new]]]
+            enough = count >= least[of]
+            yield d[new[enough]], count[enough], of[enough]
+            held = np.zeros(len(at), dtype=bool)
+            held[order] = np.repeat(enough, count)
+        at, digest = at[held], digest[held]
+
+
+class Run:
+    """Exact word codes of a run of texts, in order; a phrase of k words is named by a code and its first place."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], seed: np.ndarray):
+        langs, bufs, offs = zip(*parts, strict=True)
+        buf, off = np.concatenate(bufs), np.concatenate(([0], np.cumsum(np.concatenate([np.diff(o) for o in offs]))))
         inside = _WORD[buf]
         starts, ends = spans(inside, off)
-        doc = np.searchsorted(off, starts, "right") - 1
-        word, self.words = span_codes(_LOWER[buf], inside, starts, ends)
-        cuts = np.concatenate(([0], np.cumsum(_CUT[buf], dtype=np.int64)))[starts]
-        self.piece = cuts + doc  # texts and pieces both only grow, so equal sums mean the same piece of the same text
-        self.lang, self.word = lang[doc], word
-        self.code = word * (int(lang.max()) + 1 if len(lang) else 1) + self.lang  # a word of one lang
-        self.n_words = np.bincount(self.lang)
-
-    def digests(self, langs: list[str]) -> np.ndarray:
-        """64-bit digest of the word (of its lang) at every place."""
-        words = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.words.to_pylist()), dtype=U, count=len(self.words))
-        seeds = np.fromiter((xxhash.xxh3_64_intdigest(x, 1) for x in langs), dtype=U, count=len(langs))
-        return mix(words[self.word] ^ seeds[self.lang]) if len(self.word) else np.zeros(0, U)
-
-    def phrases(self, langs: list[str], longest: int, keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple]:
-        """``(k, first place, count, digest)`` of the distinct phrases that ``keep(digest, count, lang)`` holds, k = 1, 2, ...
-
-        A phrase of k words is tried only at places where both its phrases of k - 1 words are kept.
-        """
-        word = self.digests(langs)
-        at = np.arange(len(self.code))
-        code, digest = pd.factorize(self.code)[0].astype(np.int64), word
-        for k in range(1, longest + 1):
+        self.piece, doc = pieces(buf, off, starts)
+        self.word, self.words = span_codes(_LOWER[buf], inside, starts, ends)
+        self.lang = np.concatenate(langs)[doc]
+        hashed = np.concatenate([word_digests(b, o)[0] for _, b, o in parts])
+        self.digest = mix(hashed ^ seed[self.lang]) if len(hashed) else hashed
+
+    def phrases(self, filters: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``(k, first places, counts)`` of the distinct phrases of k words that the filters hold, k = 1, 2, ..."""
+        at, code, digest = np.arange(len(self.word)), paired(self.word, self.lang), self.digest
+        for k in range(1, len(filters)):
             if k > 1:
-                follows = np.zeros(len(self.code) + 1, dtype=bool)
-                follows[at] = True
-                last = at + k - 1
-                ok = follows[at + 1] & (last < len(self.code))
-                ok[ok] = self.piece[at[ok]] == self.piece[last[ok]]
-                at, code, digest = at[ok], code[ok], digest[ok]
-                code = paired(code, self.word[at + k - 1])
-                digest = mix(digest * U(0x9E3779B97F4A7C15) + word[at + k - 1])
+                ok = extended(at, k, self.piece)
+                at = at[ok]
+                digest = longer(digest[ok], self.digest[at + k - 1])
+                code = code[ok]
+            held = may_hold(filters[k], digest)
+            at, code, digest = at[held], code[held], digest[held]
             if not len(at):
                 return
-            n = int(code.max()) + 1
-            count = np.bincount(code, minlength=n)
-            first = np.empty(n, dtype=np.int64)
+            code = paired(code, self.word[at + k - 1]) if k > 1 else pd.factorize(code)[0].astype(np.int64)
+            first = np.empty(int(code.max()) + 1, dtype=np.int64)
             first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-            held = keep(digest[first], count, self.lang[at[first]])
-            some = np.flatnonzero(held)
-            yield k, at[first[some]], count[some], digest[first[some]]
-            mine = held[code]
-            at, code, digest = at[mine], code[mine], digest[mine]
+            yield k, at[first], np.bincount(code)
 
     def texts(self, at: np.ndarray, k: int) -> pa.Array:
         """The phrases of k words at the places ``at``, joined by spaces."""
@@ -143,44 +172,49 @@ class Shard:
         return joined.cast(pa.large_string()).cast(pa.string())
 
 
-def local_supports(lang_bytes: dict[str, int], langs: list[str], which: np.ndarray, off: np.ndarray, support: int) -> np.ndarray:
-    """Least count that a shard reports, by lang: the support times the shard's share of the lang's bytes, rounded up.
+def local_supports(lang_bytes: np.ndarray, own: np.ndarray, support: int) -> np.ndarray:
+    """Least count that a shard reports, by lang: the support times the shard's share of the lang's bytes, rounded up."""
+    return np.array([max(1, -(-support * int(b) // max(1, int(t)))) for b, t in zip(own, lang_bytes, strict=True)], dtype=np.int64)
 
-    Every text counts one byte more than it has, so langs of empty texts have shares too.
-    """
-    own = np.bincount(which, weights=np.diff(off) + 1, minlength=len(langs)).astype(np.int64)
-    return np.array([max(1, -(-support * int(b) // lang_bytes[x])) for x, b in zip(langs, own.tolist(), strict=True)], dtype=np.int64)
 
+def reports(texts: DataFrame, langs: dict[str, int], support: int, size: int, filters, first: int, last: int) -> DataFrame:
+    """What the shards report of phrases of ``first`` to ``last`` words: ``(lang, digest, over, slack, words)``.
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return pick(docs, "lang", "text").select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
+    ``lang`` is a number; ``over`` is how far a phrase's local count lies above the largest count
+    that a shard keeps to itself.  One row a shard and lang has no digest and carries that count
+    (``slack``) and the shard's words.  Every text counts one byte more than it has.
+    """
+    names, total = list(langs), np.array(list(langs.values()))
 
+    def look(batches):
+        seed, held = seeds(names), filters.value if filters is not None else []
 
-def mined(texts: DataFrame, lang_bytes: dict[str, int], support: int, longest: int, size: int) -> DataFrame:
-    """Reports of the shards: ``(lang, digest, over, slack, words)``.
+        def out(cols):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, int) else pa.nulls(c, t) for c, t in zip(
+                cols, [pa.int32(), *[pa.int64()] * 4], strict=True)], ["lang", "digest", "over", "slack", "words"])
 
-    ``over`` is how far a phrase's local count lies above the largest count a shard keeps to itself.
-    One row a shard and lang has no digest and carries that count (``slack``) and the shard's words.
-    """
+        def cut(parts, own):
+            word, piece, lang = (np.concatenate(x) for x in zip(*parts, strict=True))
+            least, there = local_supports(total, own, support), np.flatnonzero(own)
+            yield out([there, len(there), len(there), least[there] - 1, np.bincount(lang, minlength=len(names))[there]])
+            for digest, count, of in mine(word, piece, lang, least, held, first, last):
+                yield out([of, digest.view(np.int64), count - (least[of] - 1), len(of), len(of)])
 
-    def look(batches):
-        for langs, which, buf, off in shards(batches, size):
-            shard = Shard(which, buf, off)
-            least = local_supports(lang_bytes, langs, which, off, support)
-            words = np.bincount(shard.lang, minlength=len(langs))
-            there = np.bincount(which, minlength=len(langs)) > 0
-            n = int(there.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, t in zip(langs, there, strict=True) if t]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                 pa.array(least[there] - 1), pa.array(words[there])], ["lang", "digest", "over", "slack", "words"])
-            names = pa.array(langs)
-            for _, at, count, digest in shard.phrases(langs, longest, lambda d, c, lang: c >= least[lang]):  # noqa: B023
-                lang = shard.lang[at]
-                yield pa.RecordBatch.from_arrays(
-                    [names.take(pa.array(lang)), pa.array(digest.view(np.int64)), pa.array(count - (least[lang] - 1)),
-                     pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64())], ["lang", "digest", "over", "slack", "words"])
+        parts, filled, own, base = [], 0, np.zeros(len(names), np.int64), 0
+        for rows, buf, off in slices(batches, names):
+            if filled and filled + len(buf) > size:
+                yield from cut(parts, own)
+                parts, filled, own, base = [], 0, np.zeros(len(names), np.int64), 0
+            h, starts = word_digests(buf, off)
+            piece, doc = pieces(buf, off, starts)
+            parts.append((mix(h ^ seed[rows[doc]]) if len(h) else h, (piece + base).astype(np.int32), rows[doc].astype(np.int16)))
+            base = int(parts[-1][1][-1]) + 1 if len(h) else base
+            own += np.bincount(rows, weights=np.diff(off) + 1, minlength=len(names)).astype(np.int64)
+            filled += len(buf)
+        if parts:
+            yield from cut(parts, own)
 
-    return map_arrow(texts, look, "lang string, digest long, over long, slack long, words long")
+    return map_arrow(texts, look, "lang int, digest long, over long, slack long, words long")
 
 
 def bloom(digests: DataFrame, bits: int, probes: int = PROBES) -> np.ndarray:
@@ -209,35 +243,49 @@ def may_hold(words: np.ndarray, digest: np.ndarray, probes: int = PROBES) -> np.
     return found
 
 
-def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, size: int = SHARD_BYTES,
+def frequent_phrases(docs: DataFrame, support: int = SUPPORT, size: int = SHARD_BYTES, count_size: int = COUNT_BYTES,
                      bits: int = BLOOM_BITS) -> tuple[DataFrame, DataFrame]:
     """``(lang, phrase, k, f)`` of all phrases found at least ``support`` times, and ``(lang, n)``, the words of each lang."""
-    texts = _texts(docs)
     spark = docs.sparkSession
+    texts = pick(docs, "lang", "text").select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     # langs are few by nature: one row each on the driver, as a share needs the whole
-    lang_bytes = {r[0]: r[1] for r in texts.groupBy("lang").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")).collect()}
-    tasks = max(1, -(-sum(lang_bytes.values()) // size))
-    texts = texts.coalesce(tasks)  # whole shards: a task takes neighbouring input splits until it has one
-    reports = stored(mined(texts, lang_bytes, support, longest, size), "phrase-reports")
-    totals = reports.filter("digest IS NULL").groupBy("lang").agg(F.sum("slack").alias("slack"), F.sum("words").alias("n"))
-    totals = stored(totals, "phrase-totals")
-    least = F.broadcast(totals.select("lang", "slack"))  # one row a lang
-    candidates = (reports.filter("digest IS NOT NULL").groupBy("lang", "digest").agg(F.sum("over").alias("over"))
-                  .join(least, "lang").filter(F.col("over") + F.col("slack") >= support))
-    shared = spark.sparkContext.broadcast(bloom(candidates, bits))
+    langs = {r[0]: r[1] for r in texts.groupBy("lang").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")).sort("lang").collect()}
+    names = list(langs)
+    whole = texts.coalesce(max(1, -(-sum(langs.values()) // size)))  # a task takes neighbouring input splits until it has a whole shard
+    filters, totals = [np.zeros(0, U)], None
+    for first, last in ROUNDS:
+        shared = spark.sparkContext.broadcast(filters) if first > 1 else None
+        told = stored(reports(whole, langs, support, size, shared, first, last), "phrase-reports")
+        by_lang = told.filter("digest IS NULL").groupBy("lang").agg(F.sum("slack").alias("slack"), F.sum("words").alias("n")).collect()  # one row a lang
+        totals = totals or [(names[r["lang"]], r["n"]) for r in by_lang]
+        slack = F.element_at(F.create_map(*[F.lit(x) for r in by_lang for x in (r["lang"], r["slack"])]), F.col("lang")) if by_lang else F.lit(0)
+        candidates = told.filter("digest IS NOT NULL").groupBy("digest", "lang").agg(F.sum("over").alias("over")).filter(F.col("over") + slack >= support)
+        filters += [bloom(candidates, bits)] * (last - first + 1)
+        drop_stored(told)
+    shared = spark.sparkContext.broadcast(filters)
 
     def count(batches):
-        words = shared.value
-        for langs, which, buf, off in shards(batches, size):
-            shard = Shard(which, buf, off)
-            names = pa.array(langs)
-            for k, at, n, _ in shard.phrases(langs, longest, lambda d, c, lang: may_hold(words, d)):
+        seed, held, labels = seeds(names), shared.value, pa.array(names, pa.string())
+
+        def cut(parts):
+            run = Run(parts, seed)
+            for k, at, n in run.phrases(held):
                 yield pa.RecordBatch.from_arrays(
-                    [names.take(pa.array(shard.lang[at])), shard.texts(at, k), pa.array(np.full(len(at), k, np.int32)), pa.array(n.astype(np.int64))],
+                    [labels.take(pa.array(run.lang[at])), run.texts(at, k), pa.array(np.full(len(at), k, np.int32)), pa.array(n.astype(np.int64))],
                     ["lang", "phrase", "k", "f"])
 
+        parts, filled = [], 0
+        for part in slices(batches, names):
+            if filled and filled + len(part[1]) > count_size:
+                yield from cut(parts)
+                parts, filled = [], 0
+            parts.append(part)
+            filled += len(part[1])
+        if parts:
+            yield from cut(parts)
+
     counted = map_arrow(texts, count, "lang string, phrase string, k int, f long").groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
-    return stored(counted.filter(F.col("f") >= support), "phrases"), totals.select("lang", "n")
+    return (stored(counted.filter(F.col("f") >= support), "phrases"), spark.createDataFrame(totals, "lang string, n long"))
 
 
 def scored(phrases: DataFrame, totals: DataFrame, salt: int = SALT) -> DataFrame:
