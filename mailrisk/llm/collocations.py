@@ -49,7 +49,7 @@ SUPPORT = 100
 LONGEST = 5
 TOP = 2000
 ROUNDS = ((1, 1), (2, 2), (3, LONGEST))
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 COUNT_BYTES = 8 << 20
 BLOOM_BITS = 1 << 26
 PROBES = 4
@@ -195,6 +195,7 @@ def reports(texts: DataFrame, langs: dict[str, int], support: int, size: int, fi
 
         def cut(parts, own):
             word, piece, lang = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
             least, there = local_supports(total, own, support), np.flatnonzero(own)
             yield out([there, len(there), len(there), least[there] - 1, np.bincount(lang, minlength=len(names))[there]])
             for digest, count, of in mine(word, piece, lang, least, held, first, last):
