@@ -50,6 +50,7 @@ LONGEST = 5
 TOP = 2000
 ROUNDS = ((1, 1), (2, 2), (3, LONGEST))
 SHARD_BYTES = 16 << 20
+LEAST_SHARDS = 64  # a small corpus is cut finer, so that it spreads over a cluster too
 COUNT_BYTES = 8 << 20
 BLOOM_BITS = 1 << 26
 PROBES = 4
@@ -252,6 +253,7 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, size: int = SHARD_
     # langs are few by nature: one row each on the driver, as a share needs the whole
     langs = {r[0]: r[1] for r in texts.groupBy("lang").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")).sort("lang").collect()}
     names = list(langs)
+    size = min(size, max(1, sum(langs.values()) // LEAST_SHARDS))
     whole = texts.coalesce(max(1, -(-sum(langs.values()) // size)))  # a task takes neighbouring input splits until it has a whole shard
     filters, totals = [np.zeros(0, U)], None
     for first, last in ROUNDS:
