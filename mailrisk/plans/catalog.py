@@ -659,12 +659,30 @@ def q_stream_dashboard(spark, sf_dir):
     return DS.read_dashboard(spark, run_dashboard(spark, stream_history(spark, sf_dir)))
 
 
-def run_dashboard(spark, hist: str) -> str:
-    """Run T2 over what the history folder holds now; returns the folder of result versions."""
+@register("stream_dashboard_ranked", _HIST_SQL + f""",
+bd AS (SELECT {O.history_domain('sender')} AS domain, count(*) FILTER (WHERE classification = 'SPAM') AS spam,
+  count(*) FILTER (WHERE classification IS DISTINCT FROM 'SPAM') AS ham, max(created_at) AS last FROM hist GROUP BY 1)
+SELECT row_number() OVER (ORDER BY spam + ham DESC, last DESC NULLS LAST, domain) AS place, domain, spam, ham FROM bd""")
+def q_stream_ranked(spark, sf_dir):
+    """T2 in H7's order, after a replayed batch, a deletion with its records appended again, and a compaction."""
+    path = stream_history(spark, sf_dir)
+    gone = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.md5(F.col("doc_id").cast("string")).alias("id"))
+    again = HIO.read_history(spark, path).join(gone, "id", "left_semi")
+    out, ckpt = run_dashboard(spark, path, both=True)
+    HIO.delete_history(spark, path, gone)
+    DS.start_dashboard_stream(spark, path, out, ckpt).awaitTermination()
+    HIO.append_history(again, path, "again")
+    HIO.compact_history(spark, path)
+    DS.start_dashboard_stream(spark, path, out, ckpt).awaitTermination()
+    return DS.read_ranked(spark, out)
+
+
+def run_dashboard(spark, hist: str, both: bool = False):
+    """Run T2 over what the history holds now; returns the folder of result versions (and the stream's checkpoint)."""
     from ..session import shared_dir
     out, ckpt = shared_dir(spark, "dashboard"), shared_dir(spark, "ckpt-dash")
     DS.start_dashboard_stream(spark, hist, out, ckpt).awaitTermination()
-    return out
+    return (out, ckpt) if both else out
 
 
 @register("stream_totals", _HIST_SQL + """
@@ -716,12 +734,14 @@ def q_parquet_roundtrip(spark, sf_dir):
     return _bigint(table.select("row_idx", "subject", "body", "sender", "recipient", "label"), "label")
 
 
-@register("replace_corpus", O.with_ctes(O.CANON, O.CORPUS) + "SELECT count(*) AS n FROM corpus")
+@register("replace_corpus", _CORPUS_SQL)
 def q_replace(spark, sf_dir):
-    """Load a corpus file in place of the old table; its row count."""
+    """Load a corpus file, then another one in its place; the rows of the table then."""
     from ..session import shared_dir
-    n = CIO.replace_corpus(spark, _landed(spark, sf_dir, "csv"), shared_dir(spark, "corpus"))
-    return spark.createDataFrame([(n,)], "n long")
+    dest = shared_dir(spark, "corpus")
+    CIO.replace_corpus(spark, _landed(spark, sf_dir, "parquet"), dest)
+    CIO.replace_corpus(spark, _landed(spark, sf_dir, "csv"), dest)
+    return _bigint(CIO.read_corpus_table(spark, dest).select("row_idx", "subject", "body", "sender", "recipient", "label"), "label")
 
 
 @register("model_roundtrip", _ANALYSIS_SQL + """

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .. import schema as SC
 from ..operators import corpus as C
 from . import paths
+from . import table_log as L
 
 PARQUET_SUFFIXES = (".parquet", ".parquet.gzip", ".gzip")
 
@@ -54,9 +56,12 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Parquet-looking names are Parquet unless their footer says otherwise
     (then CSV); everything else is CSV.  Paths are checked through Hadoop's file
-    system, so any scheme works.  A damaged Parquet file is an error."""
+    system, so any scheme works.  A damaged Parquet file is an error.  A folder that
+    :func:`replace_corpus` made is read in its newest version."""
     if not paths.exists(spark, path):
         raise FileNotFoundError(path)
+    if L.TableLog(spark, path).exists():
+        return read_corpus_table(spark, path).withColumnRenamed("row_idx", "_row_order")
     if path.lower().endswith(PARQUET_SUFFIXES) and is_parquet(spark, path):
         return read_parquet(spark, path)
     return read_csv(spark, path)
@@ -98,10 +103,14 @@ def write_csv(df: DataFrame, path: str, compression: str = "gzip") -> None:
 
 
 def replace_corpus(spark: SparkSession, src: str, dest: str) -> int:
-    """Load a corpus file (S1 -> S2 -> C7), write it beside the old one, put
-    it in its place by renames, return its row count (read back)."""
-    table = C.corpus_table(load_corpus(spark, src))
-    new = paths.staging(dest)
-    write_corpus(table, new)
-    paths.swap_in(spark, new, dest)
-    return spark.read.parquet(dest).count()
+    """Load a corpus file (S1 -> S2 -> C7) as the next version of the table ``dest``; its row
+    count (read back).  Readers see the old version or the new one (``table_log``)."""
+    log = L.TableLog(spark, dest)
+    version = L.replace(log, C.corpus_table(load_corpus(spark, src)).select(*C.CORPUS_COLUMNS))
+    return read_corpus_table(spark, dest, version).count()
+
+
+def read_corpus_table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The corpus that :func:`replace_corpus` stored, as one version has it (the newest by default)."""
+    log = L.TableLog(spark, path)
+    return log.read(SC.CORPUS, log.snapshot(version).segments)

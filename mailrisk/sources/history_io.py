@@ -2,9 +2,10 @@
 
 Stored as Parquet with native arrays/structs (reads prune to the columns a
 report needs); JSON text only at the exchange boundary (``to_wire`` /
-``from_wire``).  There is one layout: every append is a folder ``batch=<id>``
-of the history's path.  A retried batch replaces its own folder; a job that
-names no batch gets an id of its own.
+``from_wire``).  The history is a table with atomic versions (``table_log``):
+appends, deletions and compactions may run at once, and a reader sees one
+version, whole.  A batch that is written again replaces itself; a job that
+names no batch gets a name of its own.
 """
 
 from __future__ import annotations
@@ -13,13 +14,12 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schema as SC
-from . import paths
+from . import table_log as L
 
 RESULT_FIELDS = [f.name for f in SC.RESULT.fields]
-STORED = T.StructType([*SC.HISTORY.fields, T.StructField("batch", T.StringType())])
+FILE_BYTES = 128 << 20  # aimed at by compaction
 
 
 def history_records(results: DataFrame, id_col: Column | None = None, created_at: Column | None = None) -> DataFrame:
@@ -38,29 +38,52 @@ def history_records(results: DataFrame, id_col: Column | None = None, created_at
         (created_at if created_at is not None else F.current_timestamp()).cast("timestamp").alias("created_at"))
 
 
-def append_history(records: DataFrame, path: str, batch_id: int | str | None = None) -> None:
-    """Write the records as ``batch=<id>``, replacing that batch if it exists."""
-    name = f"job-{uuid.uuid4().hex}" if batch_id is None else str(batch_id)
-    records.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={name}")
+def append_history(records: DataFrame, path: str, batch_id: int | str | None = None, stream: str = "stream") -> None:
+    """Add the records as one batch, replacing that batch if the table has it.
 
+    Numbered batches belong to ``stream``; a replay of one that has been compacted, or has lost
+    deleted records, changes nothing."""
+    log = L.TableLog(records.sparkSession, path)
+    if isinstance(batch_id, int):
+        L.append(log, records, stream, batch_id)
+    else:
+        L.append(log, records, f"job-{uuid.uuid4().hex}" if batch_id is None else f"named-{batch_id}", 0)
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """All batches with their ``batch`` id."""
-    return spark.read.schema(STORED).option("basePath", path).parquet(path)
 
-
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """Scan the history table (all batches)."""
-    return read_batches(spark, path).select(*SC.HISTORY.fieldNames())
+def read_history(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The history as one version has it, the newest by default."""
+    log = L.TableLog(spark, path)
+    return log.read(SC.HISTORY, log.snapshot(version).segments)
 
 
 def delete_history(spark: SparkSession, path: str, ids: DataFrame) -> None:
-    """H5, durable: write the history without the records of ``ids`` as a new
-    version and put it in the old one's place; unknown ids are a no-op."""
-    kept = read_batches(spark, path).join(ids.select("id").distinct(), "id", "left_anti").select(*STORED.fieldNames())
-    new = paths.staging(path)
-    kept.write.partitionBy("batch").parquet(new)
-    paths.swap_in(spark, new, path)
+    """H5, durable: the next version is without the records of ``ids``; unknown ids are a no-op.
+
+    Only segments that hold one of the ids are written again.  Records appended meanwhile stay.
+    """
+    log = L.TableLog(spark, path)
+    wanted = ids.select("id").distinct()
+
+    def holders(now: L.Snapshot) -> list[str]:
+        rows = log.read(SC.HISTORY, now.segments).select("id", F.col("_metadata.file_path").alias("file")) if now.segments else None
+        if rows is None:
+            return []
+        segment = F.element_at(F.split("file", "/"), -2)
+        return [r[0] for r in rows.join(wanted, "id", "left_semi").select(segment).distinct().collect()]  # at most one a segment
+
+    L.rewrite(log, "delete", holders, lambda chosen: log.read(SC.HISTORY, chosen).join(wanted, "id", "left_anti").select(*SC.HISTORY.fieldNames()))
+
+
+def compact_history(spark: SparkSession, path: str, small: int = 64 << 20, at_least: int = 2) -> None:
+    """Merge small batches into files sorted newest first; which batches they hold is kept, so replays still count once."""
+    log = L.TableLog(spark, path)
+
+    def arrange(chosen: list[str], size: int) -> DataFrame:
+        order = [F.col("created_at").desc(), F.col("id").asc()]
+        return (log.read(SC.HISTORY, chosen).repartitionByRange(max(1, -(-size // FILE_BYTES)), *order)
+                .sortWithinPartitions(*order))
+
+    L.compact(log, arrange, small, at_least)
 
 
 def to_wire(history: DataFrame) -> DataFrame:

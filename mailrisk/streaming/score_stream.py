@@ -2,9 +2,10 @@
 
 Each micro-batch is an ordinary DataFrame inside ``foreachBatch``, so the
 per-email aggregations of the analysis need no streaming state.  The model
-is a static table (broadcast behind its size check).  Every batch writes to
-its own ``batch=<id>`` folder with overwrite, so a batch replayed after a
-failure replaces its output instead of duplicating it.
+is a static table (broadcast behind its size check).  Every batch is one
+version of the history table under its batch number, so a batch replayed after
+a failure counts once, and every ``compact_every`` small batches are merged
+into sorted files that remember which batches they hold.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.analyze import analyze_emails
-from ..sources.history_io import append_history, history_records
+from ..sources.history_io import append_history, compact_history, history_records
 
 RAW = ("sender", "recipient", "subject", "body")
 
@@ -37,15 +38,17 @@ def score_batch(batch: DataFrame, model: DataFrame, intercept: float, id_col: Co
 def start_score_stream(spark: SparkSession, input_dir: str, history_dir: str, checkpoint_dir: str,
                        model: DataFrame, intercept: float, schema: T.StructType = EMAIL_STREAM_SCHEMA,
                        id_col: Column | None = None, created_at: Column | None = None,
-                       available_now: bool = True, max_files_per_trigger: int | None = None):
-    """Start T1 and return the ``StreamingQuery``."""
+                       available_now: bool = True, max_files_per_trigger: int | None = None, compact_every: int = 64,
+                       name: str = "stream"):
+    """Start T1 and return the ``StreamingQuery``; streams that share a history need names of their own."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(input_dir)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_history(score_batch(batch, model, intercept, id_col, created_at), history_dir, batch_id)
+        append_history(score_batch(batch, model, intercept, id_col, created_at), history_dir, batch_id, stream=name)
+        compact_history(spark, history_dir, at_least=compact_every)
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
