@@ -1,26 +1,34 @@
 """Embedding near-duplicates (operator 4): spherical-cap filters from random product codes.
 
 Vectors are normalised and turned by a fixed random rotation.  The space is cut into
-up to ``PARTS`` blocks with ``WORDS`` random unit codewords each; every combination of one
-codeword a block is a filter direction (WORDS to the power of the blocks, never listed).  A vector
+up to ``PARTS`` blocks with random unit codewords each; every combination of one
+codeword a block is a filter direction (words to the power of the blocks, never listed).  A vector
 is decoded to the list of ALL filters whose inner product with it is at least ``alpha``:
 sums over two halves of the blocks are pruned by the best sum of the other half.  Alpha
 is set by the code alone, so that a random vector passes ``FILTERS`` filters on average;
 a vector that lies badly to the codewords lowers it for itself until ``LEAST`` pass.
-Vectors that share a filter are compared by cosine in double precision.
+The number of codewords follows the number of vectors, so that a random vector meets about
+``OCCUPANCY`` others under a filter however many there are.
 
-Equal vectors are one representative with a weight.  Under a filter no pairs are
-emitted: members are dealt in pairs of blocks; a task computes all cosines of its two
-blocks, counts each linked pair only under the first filter that both vectors pass, and
-returns link counts per vector and a spanning forest of the links.
+Equal vectors are one representative with a weight.  The join on filters hands on numbers only;
+vectors are sent once per question that is left:
 
-The search is randomised: a link is found if both vectors pass a common filter.  The
-tests measure its recall against brute force.
+1. Under each filter the smallest id is the leader.  Distinct (member, leader) pairs, found under
+   however many filters, are verified once by their cosine in double precision: linear work, and
+   the links found join a group of near-copies into one cluster.
+2. Filters that still hold vectors of two clusters are dealt in pairs of blocks; a task compares
+   what lies in different clusters and returns a spanning forest of the links found.
+3. A cluster's links are then counted exactly, each pair once: its members are dealt in pairs of
+   blocks, and a task computes all cosines of its two blocks.  No pairs are emitted anywhere.
+
+The search is randomised: a link between clusters is found if both vectors pass a common filter;
+inside a cluster every link is found.  The tests measure its recall against brute force.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components
 link with nothing, as do rows with a null vec_id (component null, kept); vectors of
 different lengths are never compared; rows that repeat a vec_id and its vector are one
-vector; an empty table gives no rows.
+vector; of a vec_id with several vectors the one whose bytes are smallest counts, the rows of
+the others link with nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,17 +45,23 @@ from .graph import components
 from .near_dedup import spanning_forest
 
 PARTS = 4
-WORDS = 64
 FILTERS = 40
 LEAST = 48
+OCCUPANCY = 0.15
 THRESHOLD = 0.95
 BLOCK = 1024
+CHUNK = 4096  # members verified against their leader in one task's run
+
+
+def words_for(vectors: int) -> int:
+    """Codewords a block, so that all filters together are ``LEAST / OCCUPANCY`` times the vectors."""
+    return max(32, 8 * -(-int((vectors * LEAST / OCCUPANCY) ** (1 / PARTS)) // 8))
 
 
 class Code:
     """Random product code of one dimension; equal in every process."""
 
-    def __init__(self, dim: int, words: int = WORDS, filters: float = FILTERS):
+    def __init__(self, dim: int, words: int, filters: float = FILTERS):
         rng = np.random.default_rng([2718, dim, words])
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.words, self.dim = words, dim
@@ -86,8 +100,8 @@ class Code:
 
 
 @functools.cache
-def code(dim: int) -> Code:
-    return Code(dim)
+def code(dim: int, words: int) -> Code:
+    return Code(dim, words)
 
 
 def unit(raw: bytes, dtype: str) -> np.ndarray | None:
@@ -123,93 +137,126 @@ def raw_vectors(embeddings: DataFrame) -> tuple[DataFrame, str]:
     return map_arrow(rows, look, "vec_id long, v binary"), dtype
 
 
-def decoded(reps: DataFrame, dtype: str) -> DataFrame:
-    """Add ``filters``, the bytes of the sorted filter numbers."""
+def units(raw: list[bytes], dtype: str) -> np.ndarray:
+    """Unit vectors of one length as the rows of a matrix."""
+    x = np.frombuffer(b"".join(raw), dtype).reshape(len(raw), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def entries(reps: DataFrame, dtype: str, words: int) -> DataFrame:
+    """``filter, id``: every filter that a vector passes."""
 
     def look(batches):
         for b in batches:
-            out = []
+            lists = []
             for raw in b.column(1).to_pylist():
                 v = unit(raw, dtype)
-                out.append(code(len(v)).decode(v).astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], ["id", "v", "w", "filters"])
+                lists.append(code(len(v), words).decode(v))
+            if lists:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(lists)), b.column(0).take(pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists])))],
+                    ["filter", "id"])
 
-    return map_arrow(reps.select("id", "v", "w"), look, "id long, v binary, w long, filters binary")
+    return map_arrow(reps.select("id", "v"), look, "filter long, id long")
 
 
-def _entries(batches):
-    for b in batches:
-        lists = [np.frombuffer(x, "<i8") for x in b.column(1).to_pylist()]
-        if lists:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(lists)), b.column(0).take(pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists])))],
-                ["filter", "id"])
+def leader_links(found: DataFrame, reps: DataFrame, dtype: str, threshold: float) -> DataFrame:
+    """Links ``a, b`` between vectors and the smallest id under a filter of theirs; each pair is verified once."""
+    first = found.groupBy("filter").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("filter", "lead")
+    pairs = found.join(first, "filter").filter("id != lead").select("id", "lead").distinct()
+    pairs = stored(pairs, "cap-pairs")
+    sizes = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    dealt = pairs.join(sizes, "lead").select("lead", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), "id")
+    leads = sizes.select("lead", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("lead").alias("id"))
+    rows = dealt.unionByName(leads).join(reps.select("id", "v"), "id")
 
+    def look(batches):
+        for t, bounds in sorted_runs(batches, ["lead", "chunk"]):
+            ids, lead = t.column("id").to_numpy(), t.column("lead").to_numpy()
+            raw = t.column("v").to_pylist()
+            a, b = [], []
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                x = units(raw[lo:hi], dtype)
+                at = np.flatnonzero(ids[lo:hi] == lead[lo])[0]
+                near = np.flatnonzero((x @ x[at] >= threshold) & (ids[lo:hi] != lead[lo]))
+                a.append(ids[lo:hi][near])
+                b.append(lead[lo:hi][near])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-def _seen_earlier(lists: list[np.ndarray], number: int) -> np.ndarray | None:
-    """Which pairs share a filter before ``number``; None if all do."""
-    lists = [x[x < number] for x in lists]
-    n = len(lists)
-    found, inverse, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    if len(count) and count.max() == n:
-        return None
-    use = np.cumsum(count > 1) - 1
-    rows = np.repeat(np.arange(n), [len(x) for x in lists])
-    ok = count[inverse] > 1
-    m = np.zeros((n, int((count > 1).sum())), dtype=np.float32)
-    m[rows[ok], use[inverse[ok]]] = 1
-    return m @ m.T > 0
+    return map_arrow(rows.repartition("lead", "chunk").sortWithinPartitions("lead", "chunk"), look, "a long, b long")
 
 
-def links(members: DataFrame, dtype: str, threshold: float) -> DataFrame:
-    """Rows ``(a, null, n)``: n linked vectors counted for a; rows ``(a, b, null)``: forest edges."""
+def cluster_links(found: DataFrame, clusters: DataFrame, reps: DataFrame, dtype: str, threshold: float) -> DataFrame:
+    """Links ``a, b`` (a spanning forest of them) between vectors of different clusters that pass a common filter."""
+    own = found.join(clusters, "id", "left").withColumn("cluster", F.coalesce("component", "id")).drop("component")
+    mixed = own.groupBy("filter").agg(F.min("cluster").alias("_p"), F.max("cluster").alias("_q")).filter("_p != _q").select("filter")
+    members = block_pairs(own.join(mixed, "filter"), "filter", "id", BLOCK).join(reps.select("id", "v"), "id")
 
     def look(batches):
         for t, bounds in sorted_runs(batches, ["filter", "_i", "_j"]):
-            number, ids, w, block = (t.column(c).to_numpy() for c in ("filter", "id", "w", "_b"))
-            cross = t.column("_i").to_numpy() != t.column("_j").to_numpy()
-            raw, lists = t.column("v").to_pylist(), t.column("filters").to_pylist()
-            a, b, n = [], [], []
+            ids, cluster, block = (t.column(c).to_numpy() for c in ("id", "cluster", "_b"))
+            cross, raw = t.column("_i").to_numpy() != t.column("_j").to_numpy(), t.column("v").to_pylist()
+            a, b = [], []
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if hi - lo < 2:
-                    continue
-                before = _seen_earlier([np.frombuffer(x, "<i8") for x in lists[lo:hi]], number[lo])
-                if before is None:
+                c = cluster[lo:hi]
+                if (c == c[0]).all():
                     continue
-                x = np.stack([unit(r, dtype) for r in raw[lo:hi]])
-                near = (x @ x.T >= threshold) & ~before
-                np.fill_diagonal(near, False)
+                x = units(raw[lo:hi], dtype)
+                near = (x @ x.T >= threshold) & (c[:, None] != c[None, :])
                 if cross[lo]:
                     near &= block[lo:hi, None] != block[None, lo:hi]
-                some = np.flatnonzero(near.any(axis=1))
-                a += ids[lo:hi][some].tolist()
-                b += [None] * len(some)
-                n += (near[some] @ w[lo:hi]).tolist()
-                for p, q in spanning_forest(near):
-                    a.append(int(ids[lo + p]))
-                    b.append(int(ids[lo + q]))
-                    n.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, n)], ["a", "b", "n"])
+                if near.any():
+                    for p, q in spanning_forest(near):
+                        a.append(int(ids[lo + p]))
+                        b.append(int(ids[lo + q]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     dealt = members.repartition("filter", "_i", "_j").sortWithinPartitions("filter", "_i", "_j")
-    return map_arrow(dealt, look, "a long, b long, n long")
+    return map_arrow(dealt, look, "a long, b long")
+
+
+def link_counts(members: DataFrame, dtype: str, threshold: float) -> DataFrame:
+    """``id, n``: vectors linked to each, over all pairs of a cluster (``cluster, id, v, w``); rows of one id add up."""
+
+    def look(batches):
+        for t, bounds in sorted_runs(batches, ["cluster", "_i", "_j"]):
+            ids, w, block = (t.column(c).to_numpy() for c in ("id", "w", "_b"))
+            cross, raw = t.column("_i").to_numpy() != t.column("_j").to_numpy(), t.column("v").to_pylist()
+            some, n = [], []
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                x = units(raw[lo:hi], dtype)
+                near = x @ x.T >= threshold
+                np.fill_diagonal(near, False)
+                if cross[lo]:
+                    near &= block[lo:hi, None] != block[None, lo:hi]
+                some.append(ids[lo:hi])
+                n.append(near @ w[lo:hi])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some)), pa.array(np.concatenate(n).astype(np.int64))], ["id", "n"])
+
+    dealt = block_pairs(members, "cluster", "id", BLOCK).repartition("cluster", "_i", "_j").sortWithinPartitions("cluster", "_i", "_j")
+    return map_arrow(dealt, look, "id long, n long")
 
 
 def op4_cap_filters(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links (other vectors linked directly), component_id and kept of every row."""
     raw, dtype = raw_vectors(pick(embeddings, "vec_id", "embedding"))
     base = stored(raw, "cap-vectors")
-    valid = base.filter("v IS NOT NULL AND vec_id IS NOT NULL")
-    reps = valid.dropDuplicates(["vec_id", "v"]).groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("w"))
-    reps = stored(decoded(reps, dtype), "cap-filters")
-    entries = map_arrow(reps.select("id", "filters"), _entries, "filter long, id long")
-    members = block_pairs(entries, "filter", "id", BLOCK).join(reps, "id")
-    found = stored(links(members, dtype, threshold), "cap-links")
-    counts = found.filter("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
-    classes = components(found.filter("b IS NOT NULL").select("a", "b"))
-    per_rep = (reps.select("id", "v", "w").join(counts, "id", "left").join(classes, "id", "left")
+    one = base.filter("v IS NOT NULL AND vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("v").alias("v"))
+    reps = one.groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("w"))
+    reps = stored(reps, "cap-reps")
+    found = stored(entries(reps, dtype, words_for(reps.count())), "cap-entries")
+    near = stored(leader_links(found, reps, dtype, threshold), "cap-links")
+    clusters = stored(components(near), "cap-clusters")
+    far = stored(cluster_links(found, clusters, reps, dtype, threshold), "cap-far-links")
+    classes = stored(components(near.unionByName(far)), "cap-classes") if not far.isEmpty() else clusters
+    members = classes.select("id", F.col("component").alias("cluster")).join(reps, "id")
+    counts = link_counts(members, dtype, threshold).groupBy("id").agg(F.sum("n").alias("n"))
+    per_rep = (reps.join(counts, "id", "left").join(classes, "id", "left")
                .select("v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
-    linked = valid.join(per_rep, "v").select("vec_id", "n_links", "component_id")
-    alone = (base.filter("v IS NULL OR vec_id IS NULL")
-             .select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    linked = one.join(per_rep, "v").withColumnRenamed("v", "_v")
+    here = F.coalesce(F.col("v") == F.col("_v"), F.lit(False))
+    return (base.join(linked, "vec_id", "left")
+            .select("vec_id", F.when(here, F.col("n_links")).otherwise(0).cast("long").alias("n_links"),
+                    F.when(here, F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
+            .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))))

@@ -185,5 +185,15 @@ def test_recall_on_the_test_table(spark):
     assert all(got[r.vec_id] <= n for r, n in zip(rows, links, strict=True))
 
 
+def test_one_vector_an_id(spark):
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    rows = [(1, a), (2, b), (2, a), (2, a), (3, a), (4, b)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in caps.op4_cap_filters(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    small = b if np.array(b, "<f4").tobytes() < np.array(a, "<f4").tobytes() else a
+    same = [i for i, v in rows if i != 2 and v == small]
+    assert got.count((2, 1 if small == b else 2, min(2, *same))) == sum(i == 2 and v == small for i, v in rows)
+    assert got.count((2, 0, 2)) >= sum(i == 2 and v != small for i, v in rows)
+
+
 def test_no_vectors(spark):
     assert caps.op4_cap_filters(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
