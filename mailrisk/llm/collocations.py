@@ -52,6 +52,7 @@ ROUNDS = ((1, 1), (2, 2), (3, LONGEST))
 SHARD_BYTES = 16 << 20
 LEAST_SHARDS = 64  # a small corpus is cut finer, so that it spreads over a cluster too
 COUNT_BYTES = 8 << 20
+COMBINED_ROWS = 1 << 20  # counts that a task holds at most before it hands them on
 BLOOM_BITS = 1 << 26
 PROBES = 4
 SALT = 16
@@ -245,6 +246,12 @@ def may_hold(words: np.ndarray, digest: np.ndarray, probes: int = PROBES) -> np.
     return found
 
 
+def summed(tables: list[pa.Table]) -> pa.Table:
+    """Counts of the same phrase added up."""
+    whole = pa.concat_tables(tables).group_by(["lang", "phrase", "k"]).aggregate([("f", "sum")])
+    return whole.rename_columns({"f_sum": "f"}).select(["lang", "phrase", "k", "f"])
+
+
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, size: int = SHARD_BYTES, count_size: int = COUNT_BYTES,
                      bits: int = BLOOM_BITS) -> tuple[DataFrame, DataFrame]:
     """``(lang, phrase, k, f)`` of all phrases found at least ``support`` times, and ``(lang, n)``, the words of each lang."""
@@ -270,22 +277,31 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, size: int = SHARD_
     def count(batches):
         seed, held, labels = seeds(names), shared.value, pa.array(names, pa.string())
 
-        def cut(parts):
-            run = Run(parts, seed)
+        def tables():
+            parts, filled = [], 0
+            for part in slices(batches, names):
+                if filled and filled + len(part[1]) > count_size:
+                    yield Run(parts, seed)
+                    parts, filled = [], 0
+                parts.append(part)
+                filled += len(part[1])
+            if parts:
+                yield Run(parts, seed)
+
+        waiting, rows = [], 0
+        for run in tables():
             for k, at, n in run.phrases(held):
-                yield pa.RecordBatch.from_arrays(
-                    [labels.take(pa.array(run.lang[at])), run.texts(at, k), pa.array(np.full(len(at), k, np.int32)), pa.array(n.astype(np.int64))],
-                    ["lang", "phrase", "k", "f"])
-
-        parts, filled = [], 0
-        for part in slices(batches, names):
-            if filled and filled + len(part[1]) > count_size:
-                yield from cut(parts)
-                parts, filled = [], 0
-            parts.append(part)
-            filled += len(part[1])
-        if parts:
-            yield from cut(parts)
+                waiting.append(pa.table({"lang": labels.take(pa.array(run.lang[at])), "phrase": run.texts(at, k),
+                                         "k": pa.array(np.full(len(at), k, np.int32)), "f": pa.array(n.astype(np.int64))}))
+                rows += len(at)
+            if rows > COMBINED_ROWS:  # add the runs of a task up before they are handed on
+                waiting = [summed(waiting)]
+                rows = waiting[0].num_rows
+                if rows > COMBINED_ROWS // 2:
+                    yield from waiting[0].to_batches()
+                    waiting, rows = [], 0
+        if waiting:
+            yield from summed(waiting).to_batches()
 
     counted = map_arrow(texts, count, "lang string, phrase string, k int, f long").groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
     return (stored(counted.filter(F.col("f") >= support), "phrases"), spark.createDataFrame(totals, "lang string, n long"))
