@@ -3,7 +3,9 @@
 Texts are taken in slices of about 256 KB (or one longer text), so the memory
 of the intermediate arrays does not depend on the batch.  Word hashes are 64-bit
 polynomial hashes over random byte values, mixed at the end; they are equal in
-every process because all constants come from :func:`splitmix`.
+every process because all constants come from :func:`splitmix`.  A polynomial modulo
+2**64 cannot tell some long structured words apart whatever its base, so words above
+``LONG_WORD`` bytes are hashed by xxh3 as well.
 """
 
 from __future__ import annotations
@@ -13,9 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 1 << 18
 KEPT_POWERS = 1 << 21
+LONG_WORD = 64
 U = np.uint64
 
 
@@ -107,7 +111,14 @@ def _chunk_words(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[n
     total[0] = 0
     np.cumsum(_BYTE_VALUES[low] * power[:n], out=total[1:])
     h = (total[ends] - total[starts]) * inverse[starts]
-    return mix(h ^ (ends - starts).astype(U)), starts, ends
+    return with_long(mix(h ^ (ends - starts).astype(U)), low, starts, ends), starts, ends
+
+
+def with_long(h: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans, those of long spans joined with a second hash of another kind."""
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        h[i] ^= U(xxhash.xxh3_64_intdigest(buf[starts[i]:ends[i]].tobytes()))
+    return h
 
 
 def words(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

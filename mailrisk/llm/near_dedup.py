@@ -283,12 +283,14 @@ def near_duplicates(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     members = block_pairs(chunk_keys(reps, m), "key", "id", BLOCK).join(reps, "id")
     clusters = stored(components(candidate_forest(members, distance)), "near-clusters")
     sets = stored(cluster_sets(docs, clusters, shingle, symbols), "near-sets")
-    classes = components(confirmed_links(sets, percent, distance))
+    # the sets of one doc_id are one node
+    several = tagged.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_most")).filter("a != _most").select("doc_id", "a")
+    own = tagged.select("doc_id", F.col("rep").alias("b")).join(several, "doc_id").filter("a != b").select("a", "b")
+    classes = components(confirmed_links(sets, percent, distance).unionByName(own))
     linked = (tagged.drop("sig").join(classes, F.col("rep") == F.col("id"), "left")
               .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")))
     alone = (base.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull())
              .select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    # a document whose rows carry different sets is one node: its smallest component stands for all
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

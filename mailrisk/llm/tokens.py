@@ -3,8 +3,10 @@
 The library's rules never join what stands on two sides of a single space or line
 break between other characters.  So texts are cut there (in numpy, over the bytes of
 the Arrow column), each distinct piece is encoded by the library once and remembered
-under a 64-bit hash and its length, and the ids of a text are gathered from its pieces.
-Texts with any other white space, or two in a row, go to the library whole.
+under a 64-bit hash (two joined ones for long pieces), and the ids of a text are gathered
+from its pieces.  Texts with any other white space, or two in a row, go to the library whole,
+and so do texts with the string of an added token, which the library encodes as that token
+unless ``plain_marks`` is set.
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from .kernels import U, _BYTE_VALUES, _powers, mix, text_slices
+from .kernels import U, _BYTE_VALUES, _powers, mix, text_slices, with_long
 
-KEEP = 1_400_000  # distinct pieces a worker remembers (about 40 bytes each)
+KEEP = 1_400_000  # distinct pieces a worker remembers (about 40 bytes each); beyond that it starts anew
 GROUP_BYTES = 1 << 20
-_ENCODERS: dict[tuple[str, str], "Encoder"] = {}
+_ENCODERS: dict[tuple[str, str, bool], "Encoder"] = {}
 
 # bytes of white space other than the space and the line feed
 _ODD = np.zeros(256, dtype=bool)
@@ -46,13 +48,17 @@ def _wide_spaces(buf: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts as bytes of ``dtype``."""
 
-    def __init__(self, path: str, dtype: str = "<u4"):
+    def __init__(self, path: str, dtype: str = "<u4", plain_marks: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok.encode_special_tokens = plain_marks  # their strings in a text are ordinary text then
+        self.marks = [] if plain_marks else [t.content.lower().encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.dtype = np.dtype(dtype)
+        self._forget()
+
+    def _forget(self) -> None:
         self.keys = np.zeros(0, dtype=U)  # sorted
         self.at = np.zeros(0, dtype=np.int64)
         self.size = np.zeros(0, dtype=np.int64)
@@ -104,12 +110,11 @@ class Encoder:
         power, inverse = _powers(n + 1)
         total = np.zeros(n + 1, dtype=U)
         np.cumsum(_BYTE_VALUES[buf] * power[:n], out=total[1:])
-        h = mix(((total[end] - total[start]) * inverse[start]) ^ (end - start).astype(U))
+        h = with_long(mix(((total[end] - total[start]) * inverse[start]) ^ (end - start).astype(U)), buf, start, end)
         code, distinct = pd.factorize(h)
         slot = np.searchsorted(self.keys, distinct)
         hit = slot < len(self.keys)
         hit[hit] = self.keys[slot[hit]] == distinct[hit]
-        before = (self.keys, self.at, self.size, self.used)
         if not hit.all():
             first = np.empty(len(distinct), dtype=np.int64)
             first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
@@ -122,7 +127,7 @@ class Encoder:
         done = np.cumsum(size)
         ids = self.pool[np.repeat(at - (done - size), size) + np.arange(int(done[-1]) if len(done) else 0)]
         if len(self.keys) > KEEP:
-            self.keys, self.at, self.size, self.used = before
+            self._forget()
         first_piece = np.searchsorted(start, off)
         bounds = (np.concatenate(([0], done))[first_piece] * self.dtype.itemsize).tolist()
         out = ids.tobytes()
@@ -142,6 +147,13 @@ class Encoder:
         for d in suspects.tolist():
             a, z = off[d], off[d + 1]
             bad[d] = odd[a + 1:z].any() or white[a] or bool(len(_wide_spaces(buf[a:z])))
+        if self.marks:
+            raw = buf.tobytes().lower()
+            for mark in self.marks:
+                place = raw.find(mark)
+                while place >= 0:
+                    bad[np.searchsorted(off, place, "right") - 1] = True
+                    place = raw.find(mark, place + 1)
         good = ~bad
         if not bad.any():
             return self._pieces(buf, off)
@@ -164,8 +176,8 @@ class Encoder:
         return [x for _, g in self.groups(pa.array(texts, pa.string())) for x in g]
 
 
-def encoder(path: str, dtype: str = "<u4") -> Encoder:
+def encoder(path: str, dtype: str = "<u4", plain_marks: bool = False) -> Encoder:
     """One encoder a worker and file: its memory of pieces serves all tasks of that worker."""
-    if (path, dtype) not in _ENCODERS:
-        _ENCODERS[path, dtype] = Encoder(path, dtype)
-    return _ENCODERS[path, dtype]
+    if (path, dtype, plain_marks) not in _ENCODERS:
+        _ENCODERS[path, dtype, plain_marks] = Encoder(path, dtype, plain_marks)
+    return _ENCODERS[path, dtype, plain_marks]

@@ -11,7 +11,8 @@ fitted again on the whole sample.
 
 Edge cases: a null or empty text scores by the intercept; with one label value only, or
 none, every score is that label's share (0.0 without labels); a null doc_id is never
-held out; repeated label rows of a document count as often as they stand.
+held out; repeated label rows of a document count as often as they stand; of several texts
+of a doc_id one is learned from.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, map_arrow, pick, widened
+from .common import crc32_of_id, map_arrow, pick, stored, widened
 from .kernels import ALNUM, U, mix, text_slices, word_counts, words
 from .sampling import bound, class_counts, sample_by_class
 
@@ -54,7 +55,7 @@ def _vectors(batches):
             ids = (key & ((1 << BITS) - 1)).astype("<i4")
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).slice(lo, hi - lo), pa.array([ids[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
-                ["label", "ids"])
+                ["doc_id", "ids"])
 
 
 def ftrl(rows: list[tuple[int, np.ndarray]], epochs: int = EPOCHS, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
@@ -89,8 +90,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
         p = float(next(iter(counts), 0))
         return {"ids": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": 35.0 if p else -35.0}
     chosen = sample_by_class(labels, "label", counts, per_class).limit(bound(counts, per_class))  # at most 4 x per_class ids: small enough to broadcast
-    rows = map_arrow(pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text"),
-                     _vectors, "label int, ids binary").toArrow().to_pylist()
+    chosen = stored(chosen, "toxic-sample")
+    vectors = map_arrow(pick(docs, "doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").select("doc_id", "text"),
+                        _vectors, "doc_id long, ids binary")
+    one = vectors.groupBy("doc_id").agg(F.min("ids").alias("ids"))  # one text an id, so the sample's bound holds where ids repeat
+    rows = one.join(F.broadcast(chosen), "doc_id").select("label", "ids").toArrow().to_pylist()
     data = [(y, np.frombuffer(x, "<i4").astype(np.int64)) for y, x in sorted((r["label"], r["ids"]) for r in rows)]
     back, learn = data[::5], [d for i, d in enumerate(data) if i % 5]
     ids, w, bias = ftrl(learn)

@@ -121,3 +121,15 @@ def test_rejecting_stage_keeps_columns(spark):
     good = {r.doc_id for r in labels.filter("quality = 1").collect()}
     left = {r.doc_id for r in kept.collect()}
     assert len(left & bad) <= 0.1 * len(bad) and len(left & good) >= 0.97 * len(good)
+
+
+def test_the_toxicity_sample_holds_one_text_an_id(spark, monkeypatch):
+    """A sampled doc_id that stands thousands of times in the table does not reach the driver that often."""
+    docs = spark.createDataFrame([(i, f"good {i} words" if i % 2 else f"bad {i} insult") for i in range(1, 21)] + [(3, f"again {i}") for i in range(3000)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(1, 21)], "doc_id long, label int")
+    seen = []
+    whole = toxicity.ftrl
+    monkeypatch.setattr(toxicity, "ftrl", lambda rows, *a: seen.append(len(rows)) or whole(rows, *a))
+    toxicity.fit(docs, labels, per_class=10)
+    assert seen and max(seen) <= 20

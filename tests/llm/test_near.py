@@ -122,6 +122,14 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_repeated_ids_are_one_node(spark):
+    rows = [(1, "x y z"), (2, "a b c"), (2, "x y z"), (3, "a b c"), (4, "q r s"), (5, "q r s"), (5, "a b c"), (6, "only one here"), (6, "only two here")]
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    rows += [(7, f"{a} end of"), (8, f"{a.translate({97: 'b', 98: 'a'})} end of")]  # one shingle each, different in a structured word
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.op3_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (5, 1, False), (6, 6, True), (7, 7, True), (8, 8, True)}
+
+
 def test_no_documents(spark):
     assert near_dedup.op3_near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

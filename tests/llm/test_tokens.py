@@ -65,3 +65,35 @@ def test_files_and_index_round_trip(spark, tmp_path, width, monkeypatch):
 def test_no_documents(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_files.op5_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "out")).collect() == []
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("plain", [False, True])
+def test_marks_as_the_library_takes_them(name, plain):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = plain
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|ENDOFTEXT|>y z", "plain words here", "<|startoftext|> go", "<|endoftext", "|> b"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert tokens.Encoder(path, plain_marks=plain).encode(texts) == want
+
+
+def thue_morse(n):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return a, a.translate({97: "b", 98: "a"})
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_structured_pieces_are_told_apart(n):
+    """Polynomial hashes modulo 2**64 of these two are equal whatever the base."""
+    from mailrisk.llm import kernels
+    a, b = thue_morse(n)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc = tokens.Encoder(public_tokenizers.path(name))
+        for texts in ([a, b], [f"x {a} y", f"x {b} y"]):
+            assert enc.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+    buf = np.frombuffer(f"{a} {b}".encode(), np.uint8)
+    h = kernels.words(buf, np.array([0, len(buf)]), kernels.SPACED)[0]
+    assert h[0] != h[1]
