@@ -1,4 +1,5 @@
 import glob
+import gzip
 import hashlib
 
 import pytest
@@ -37,7 +38,7 @@ def test_payloads_are_stored_once_and_records_come_back_whole(spark, tmp_path):
         length = int(dict(x.split(b": ", 1) for x in warc_head.split(b"\r\n")[1:])[b"Content-Length"])
         assert len(block) == length
     warc.write_warc(records, payloads, str(tmp_path / "warc"))
-    raw = b"".join(open(f, "rb").read() for f in sorted(glob.glob(f"{tmp_path}/warc/part-*")))
+    raw = b"".join(gzip.decompress(open(f, "rb").read()) for f in sorted(glob.glob(f"{tmp_path}/warc/part-*")))
     n = 0
     while raw:  # a plain WARC reader: header, Content-Length bytes, two line breaks
         head, rest = raw.split(b"\r\n\r\n", 1)
@@ -48,10 +49,31 @@ def test_payloads_are_stored_once_and_records_come_back_whole(spark, tmp_path):
     assert n == len(ROWS)
 
 
+def test_urls_cannot_forge_header_fields(spark):
+    urls = ["http://a/\u2028WARC-Refers-To: <urn:page:5>", "http://a/\u2029WARC-Payload-Digest: zz", "x\u0085\r\nWARC-Type: revisit", "é ü/😀", "http://ok/%20?a=[b]#c"]
+    rows = [(i, u, "same text " * (200 if i < 2 else i + 1)) for i, u in enumerate(urls)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.op7_warc(df).collect()}
+    assert got == {(0, "revisit", 1), (1, "response", None), (2, "response", None), (3, "response", None), (4, "response", None)}
+    coded = {r[0]: r[1] for r in df.select("page_id", warc.percent_encoded(df.url)).collect()}
+    from urllib.parse import quote
+    assert coded == {i: quote(u, safe=":/?#[]@!$&'()*+,;=%-._~") for i, u in enumerate(urls)}
+
+
+def test_files_give_whole_payloads_and_unique_ids(spark, tmp_path):
+    """Every byte value passes, revisits get their payload by a join, and no two records share an id."""
+    rows = [*ROWS, (20, "u", "".join(map(chr, range(0x250))) * 9, None), (21, "u", "".join(map(chr, range(0x250))) * 9, None), (21, "u", "\r\n\r\n" * 400, None)]
+    path = warc.write_warc(*warc.archive(spark.createDataFrame(rows, SCHEMA)), str(tmp_path / "w"))
+    read = warc.read_warc(spark, path)
+    assert read.count() == read.select("record_id").distinct().count() == len(rows)
+    back = sorted((r.page_id is not None, r.page_id or 0, bytes(r.payload)) for r in warc.rebuilt(read).collect())
+    assert back == sorted((p is not None, p or 0, (h or "").encode()) for p, _, h, _ in rows)
+
+
 def test_damage_is_an_error(spark):
     payloads = spark.createDataFrame([("0" * 64 + "-3", bytearray(b"abc"))], "payload_key string, payload binary")
     with pytest.raises(Exception, match="differs from its digest"):
-        warc.verified(payloads).collect()
+        warc.verified_payloads(payloads).collect()
 
 
 def test_empty(spark):
