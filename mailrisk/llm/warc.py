@@ -127,11 +127,10 @@ def reconstruct(records: DataFrame, payloads: DataFrame) -> DataFrame:
 
 def write_warc(records: DataFrame, payloads: DataFrame, out: str) -> str:
     """The archive as WARC files in ``out``: records follow one another, each closed by two line breaks."""
-    size = records.agg(F.sum("payload_bytes")).first()[0] or 0
+    size, n = records.agg(F.sum("payload_bytes"), F.count(F.lit(1))).first()
     whole = reconstruct(records, payloads).select(F.col("record").cast("string").alias("value"))
-    files = max(1, -(-size // FILE_BYTES))
-    (whole.repartition(files) if files > whole.sparkSession.sparkContext.defaultParallelism else whole.coalesce(files)).write.option(
-        "lineSep", BREAK * 2).option("compression", "gzip").text(out)
+    (whole.write.option("lineSep", BREAK * 2).option("compression", "gzip")
+     .option("maxRecordsPerFile", max(1, FILE_BYTES * n // max(1, size or 0))).text(out))
     return out
 
 
