@@ -3,17 +3,20 @@
 The model is a table ``MODEL_TERMS(term, idf, coef)`` plus an intercept, so
 scoring is a join and an aggregation, never a dense 250,000-wide vector.
 
-Plan shape for scoring a table of emails (see ``score``): one branch.  Each
-email gets an engine-assigned key; its terms are counted inside the row; one
-``inline`` yields a row that carries all other columns and one narrow row a
-distinct term; a broadcast join keeps the model's terms; and one
-``groupBy(key)`` puts the email together again.  The rows of an email leave
-the same task, so map-side partial aggregation hands the only exchange about
-one row an email.  No caller's id is used as a key, and the text is not shuffled.
+Plan shape for scoring a table of emails (see ``score``): a projection.  The
+model's terms are numbered by a ``CountVectorizerModel``, whose broadcast hash
+table counts them inside the row; their weights stand in one array literal of
+the plan, so a term number costs one array access.
+Nothing is exploded, exchanged, grouped or sorted beyond a row, and no caller's
+id is used as a key.  A model beyond the broadcast bound is joined by shuffle
+(``score_by_join``).
 """
 
 from __future__ import annotations
 
+import json
+
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +28,17 @@ MODEL_BROADCAST_MAX_ROWS = K.MAX_FEATURES
 MODEL_BROADCAST_MAX_BYTES = 64 << 20
 
 
+def _measured(df: DataFrame, max_rows: int) -> tuple[int, int]:
+    """Rows (counted up to ``max_rows + 1``) of a term table and the bytes of their terms."""
+    return tuple(df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first())
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = MODEL_BROADCAST_MAX_ROWS,
                       max_bytes: int = MODEL_BROADCAST_MAX_BYTES) -> DataFrame:
     """Broadcast the term table ``df`` after checking its rows and the bytes of
     its terms; a larger one is joined by shuffle, where AQE splits the
     partitions of frequent terms."""
-    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    n, size = _measured(df, max_rows)
     return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
 
 
@@ -128,18 +136,70 @@ def sigmoid_percent(margin: Column) -> Column:
     return F.lit(100.0) / (F.lit(1.0) + F.exp(-margin))
 
 
+def term_weights(model: DataFrame) -> tuple[CountVectorizerModel, Column]:
+    """The numbering of the model's terms and the array of (term, idf, coef) in that order.
+
+    Both have at most ``MODEL_BROADCAST_MAX_ROWS`` entries.  The array is one literal: the
+    optimizer folds the parsing of its JSON text away."""
+    grams = F.array("term").alias("_g")
+    numbering = CountVectorizer(inputCol="_g", outputCol="_v", minDF=1.0, vocabSize=MODEL_BROADCAST_MAX_ROWS).fit(model.select(grams))
+    rows = (numbering.transform(model.select(grams, "term", "idf", "coef"))
+            .select(F.unwrap_udt("_v")["indices"][0].alias("at"), "term", "idf", "coef").collect())
+    packed = json.dumps([{"t": r["term"], "i": r["idf"], "c": r["coef"]} for r in sorted(rows, key=lambda r: r["at"])])
+    return numbering, F.from_json(F.lit(packed), "array<struct<t: string, i: double, c: double>>")
+
+
+def _candidates(contribs, sign: int, k: int) -> Column:
+    """The ``k`` strongest terms of one direction: by |contribution|, then term."""
+    fit = F.filter(contribs, lambda x: (F.length(x["term"]) >= K.EXPLAIN_MIN_TERM_LEN) & (x["contrib"] * sign > 0))
+    ordered = F.array_sort(F.transform(fit, lambda x: F.struct((-F.abs(x["contrib"])).alias("k"), x["term"].alias("term"))))
+    return F.transform(F.slice(ordered, 1, k), lambda x: x["term"])
+
+
 def score(df: DataFrame, model: DataFrame, intercept: float, text_col: str = "text",
           k: int = K.EXPLAIN_TOP_K) -> DataFrame:
     """M7 + M9 inputs: ``df`` without its text, plus ``margin``, ``spam_risk``
     (percent) and the ordered candidates ``spam_terms`` and ``ham_terms``.
 
-    Rows are scored each for itself: the key that brings an email together is
-    assigned here, so rows that share an id, or have none, do not mix.  A text
-    without any model term scores by the intercept alone.  Candidates are terms
-    of length >= 3 with a non-zero contribution, by |contribution| then term."""
+    Rows are scored each for itself, so rows that share an id, or have none, do
+    not mix.  A text without any model term (a null text too) scores by the intercept alone.
+    Candidates are terms of length >= 3 with a non-zero contribution, by
+    |contribution| then term."""
+    model = model.select("term", "idf", "coef")
+    n, size = _measured(model, MODEL_BROADCAST_MAX_ROWS)
+    if not 0 < n <= MODEL_BROADCAST_MAX_ROWS or size > MODEL_BROADCAST_MAX_BYTES:
+        return score_by_join(df, model, intercept, text_col, k)
+    numbering, weights = term_weights(model)
+    rest = [c for c in df.columns if c != text_col]
+    folded = df.select(*rest, F.coalesce(TX.fold_case_accents(F.col(text_col)), F.lit("")).alias("_f"))
+    grams = folded.select(*rest, TX.word_tokens("_f").alias("_w")).select(*rest, TX.ngrams_1_2("_w").alias("_g"))
+
+    def weigh(m, tf):
+        w = (F.lit(1.0) + F.log(tf)) * m["i"]
+        return F.struct(m["t"].alias("term"), w.alias("w"), (w * m["c"]).alias("contrib"))
+
+    total = lambda f: F.aggregate("_h", F.lit(0.0), lambda a, x: a + f(x))
+    out = (numbering.transform(grams).select(*rest, F.unwrap_udt("_v").alias("_x"))
+           .select(*rest, "_x", F.transform("_x.indices", lambda at: F.get(weights, at)).alias("_m"))
+           .select(*rest, F.zip_with("_m", "_x.values", weigh).alias("_h"))
+           .select(*rest, total(lambda x: x["w"] * x["w"]).alias("_ss"), total(lambda x: x["contrib"]).alias("_dot"),
+                   _candidates("_h", 1, k).alias("spam_terms"), _candidates("_h", -1, k).alias("ham_terms")))
+    margin = F.coalesce(F.when(F.col("_ss") > 0, F.col("_dot") / F.sqrt("_ss")), F.lit(0.0)) + F.lit(intercept)
+    return (out.select(*rest, margin.alias("margin"), "spam_terms", "ham_terms")
+            .withColumn("spam_risk", sigmoid_percent(F.col("margin"))))
+
+
+def score_by_join(df: DataFrame, model: DataFrame, intercept: float, text_col: str = "text",
+                  k: int = K.EXPLAIN_TOP_K) -> DataFrame:
+    """:func:`score` for a model of any size (or of no term): one inline, one join with the
+    model by term, one aggregation by an engine-assigned key.
+
+    The rows of an email leave the same task, so map-side partial aggregation hands the
+    only exchange about one row an email; the text is not shuffled."""
     model = bounded_broadcast(model.select("term", "idf", "coef"))
     rest = [c for c in df.columns if c != text_col]
-    rows = df.select(F.monotonically_increasing_id().alias("_eid"), F.struct(*rest).alias("_row"), text_col)
+    rows = df.select(F.monotonically_increasing_id().alias("_eid"), F.struct(*rest).alias("_row"),
+                     F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
     kind = rows.schema["_row"].dataType
     whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf"), F.col("_row").alias("row")))
     parts = F.transform("_t", lambda x: F.struct(x["term"].alias("term"), x["tf"].alias("tf"), F.lit(None).cast(kind).alias("row")))

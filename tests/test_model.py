@@ -80,3 +80,19 @@ def test_terms_are_counted_like_a_counter(spark):
         w = re.findall(r"\w{2,}", t)
         want = Counter(w) + Counter(f"{x} {y}" for x, y in zip(w, w[1:]))
         assert {r.term: r.tf for r in M.doc_terms(df).filter(F.col("row_idx") == i).collect()} == dict(want)
+
+
+def test_both_forms_of_scoring_agree(spark):
+    """Row by row, with null, empty and repeated texts, rows of one id, a model with odd terms, and an empty model."""
+    rows = [(1, "Verify your account, verify now! click here"), (2, None), (3, ""), (4, "the meeting agenda is family dinner verify"),
+            (4, "zzz"), (None, "Éclair VERIFY " * 500), (4, "zzz"), (5, 'quote " and \\ back verify')]
+    df = spark.createDataFrame(rows, "id int, text string")
+    odd = [('a "b\\', 1.0, 2.0), ("\u2028x", 1.5, -2.0), ("eclair", 3.25, -0.1), ("eclair verify", 0.1 + 0.2, 1e-17)]
+    odd += [(f"word{i}", 1.0 + i / 7, (-1) ** i * i / 3) for i in range(3000)]
+    model = FX.model_terms(spark).unionByName(spark.createDataFrame(odd, FX.MODEL_SCHEMA))
+    for m in (model, model.limit(0)):
+        out = []
+        for form in (M.score, M.score_by_join):
+            got = [r.asDict() for r in form(df, m, -0.5).collect()]
+            out.append(sorted([(str(r["id"]), round(r["margin"], 9), r["spam_terms"], r["ham_terms"]) for r in got]))
+        assert out[0] == out[1] and len(out[0]) == len(rows)

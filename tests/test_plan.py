@@ -17,11 +17,21 @@ def static_plan(spark, fn):
         spark.conf.set("spark.sql.adaptive.enabled", prev)
 
 
-def test_analysis_is_one_branch_with_one_exchange(spark):
+def test_analysis_is_a_projection(spark):
     plan = static_plan(spark, lambda: CAT.analysis(spark, SF_SMALL))
+    assert sum("FileScan" in l and "text" in l for l in plan.split("\n")) == 1   # the documents are scanned once
+    for step in ("Exchange hashpartitioning", "Exchange rangepartitioning", "Aggregate", "Sort", "Generate", "Window"):
+        assert not any(step in l.split("[")[0].split("(")[0] for l in plan.split("\n")), (step, plan)
+    assert "from_json" not in plan                    # the weights are one folded literal
+
+
+def test_join_form_has_one_exchange(spark):
+    from mailrisk import fixtures as FX
+    from mailrisk.operators import text_model as M
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    plan = static_plan(spark, lambda: M.score_by_join(docs, FX.model_terms(spark), 0.0))
     hash_ex = [l for l in plan.split("\n") if "Exchange hashpartitioning" in l and "_eid" in l]
     assert len(hash_ex) == 1, plan                    # about one row an email, after partial aggregation
-    assert sum("FileScan" in l and "text" in l for l in plan.split("\n")) == 1   # the documents are scanned once
     assert "BroadcastHashJoin [term" in plan          # model terms joined by broadcast
     assert "Window" not in plan
 
