@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from .. import schema as SC
 from ..operators import corpus as C
+from . import csv_split as S
 from . import paths
 from . import table_log as L
 
@@ -34,16 +35,21 @@ def _with_file_order(df: DataFrame, pos: F.Column) -> DataFrame:
             .drop("_file", "_fpos", "_n", "_min", "_off"))
 
 
+CSV_OPTIONS = {"multiLine": "true", "escape": '"', "mode": "PERMISSIVE"}
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV as all-string columns; pandas' missing-value tokens become NULL.
 
-    ``multiLine`` (bodies contain newlines) makes one task per file; the
-    position inside the file is the task's increasing id."""
-    raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-           .option("mode", "PERMISSIVE").csv(path))
-    raw = raw.select(*[F.when(C.column(c).isin(K.CSV_NULL_TOKENS), None).otherwise(C.column(c)).alias(c)
-                       for c in raw.columns], "_metadata")
-    ordered = _with_file_order(raw, F.monotonically_increasing_id()).drop("_metadata")
+    Bodies contain newlines.  Plain files that are quoted as RFC 4180 has it are cut at any
+    byte (``csv_split``); the others are read by one task a file, in which a row's position is
+    the task's increasing id."""
+    raw = spark.read.options(header=True, **CSV_OPTIONS).csv(path)
+    known = [F.when(C.column(c).isin(K.CSV_NULL_TOKENS), None).otherwise(C.column(c)).alias(c) for c in raw.columns]
+    cut = S.read(spark, path, raw.columns, CSV_OPTIONS) if raw.columns else None
+    if cut is not None:
+        return cut.select(*known, "_row_order")
+    ordered = _with_file_order(raw.select(*known, "_metadata"), F.monotonically_increasing_id()).drop("_metadata")
     return ordered.repartition(spark.sparkContext.defaultParallelism)  # a file is one task; what follows is not
 
 
