@@ -39,10 +39,14 @@ def history_by_class(history: DataFrame, classification: str) -> DataFrame:
     return history.filter(F.col("classification") == classification)
 
 
+def searched_text() -> "F.Column":
+    """What H3 searches: lower-cased ``sender subject body`` (NULL as empty)."""
+    return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("sender", "subject", "body")]))
+
+
 def history_search(history: DataFrame, query: str) -> DataFrame:
     """H3: case-insensitive literal substring of ``sender subject body`` (NULL as empty)."""
-    hay = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("sender", "subject", "body")]))
-    return history.filter(hay.contains(query.lower()))
+    return history.filter(searched_text().contains(query.lower()))
 
 
 def history_detail(history: DataFrame, record_id: str) -> DataFrame:

@@ -561,6 +561,30 @@ def q_history_page(spark, sf_dir):
     return H.history_page(stored_history(spark, sf_dir), 25).select("id", F.col("number").cast("long"), "subject")
 
 
+def indexed_history(spark, sf_dir) -> str:
+    """A history table in files of its own order with its indexes; the folder."""
+    from ..session import shared_dir
+    path = shared_dir(spark, "history")
+    HIO.append_history(HIO.newest_first_files(history(spark, sf_dir), 8 * HIO.FILE_BYTES), path)
+    HIO.index_history(spark, path)
+    return path
+
+
+@register("history_page_deep", _HIST_SQL + """
+SELECT id, row_number() OVER (ORDER BY created_at DESC, id) AS number, subject FROM hist
+ORDER BY created_at DESC, id LIMIT 25 OFFSET 100""")
+def q_history_page_deep(spark, sf_dir):
+    """H1 for the fifth page of the stored history (the page is the feature)."""
+    return HIO.stored_page(spark, indexed_history(spark, sf_dir), 100, 25).select("id", F.col("number").cast("long"), "subject")
+
+
+@register("history_search_indexed", _HIST_SQL + """
+SELECT id FROM hist WHERE contains(lower(coalesce(sender, '') || ' ' || coalesce(subject, '') || ' ' || coalesce(body, '')), 'account')""")
+def q_history_search_indexed(spark, sf_dir):
+    """H3 through the substring index."""
+    return HIO.stored_search(spark, indexed_history(spark, sf_dir), "Account").select("id")
+
+
 @register("history_by_class", _HIST_SQL + "SELECT id, spam_risk FROM hist WHERE classification = 'SPAM'")
 def q_history_by_class(spark, sf_dir):
     """H2."""
@@ -710,6 +734,9 @@ def _landed(spark, sf_dir, kind: str) -> str:
     if kind == "csv":
         path = shared_dir(spark, "emails") + ".csv.gz"
         CIO.write_csv(e, path)
+    elif kind == "plain csv":
+        path = shared_dir(spark, "emails") + ".csv"
+        CIO.write_csv(e, path, compression="none")
     else:
         path = shared_dir(spark, "emails") + ".parquet.gzip"
         e.write.mode("overwrite").option("compression", "gzip").parquet(path)
@@ -727,6 +754,13 @@ def q_csv_roundtrip(spark, sf_dir):
     return _bigint(table.select("row_idx", "subject", "body", "sender", "recipient", "label"), "label")
 
 
+@register("corpus_csv_split", _CORPUS_SQL)
+def q_csv_split(spark, sf_dir):
+    """Plain CSV with newlines in bodies, cut at any byte, then C7."""
+    table = C.corpus_table(CIO.load_corpus(spark, _landed(spark, sf_dir, "plain csv")))
+    return _bigint(table.select("row_idx", "subject", "body", "sender", "recipient", "label"), "label")
+
+
 @register("corpus_parquet_roundtrip", _CORPUS_SQL)
 def q_parquet_roundtrip(spark, sf_dir):
     """A '.parquet.gzip' name is tried as Parquet (row order from the file), then C7."""
@@ -744,6 +778,17 @@ def q_replace(spark, sf_dir):
     return _bigint(CIO.read_corpus_table(spark, dest).select("row_idx", "subject", "body", "sender", "recipient", "label"), "label")
 
 
+@register("stored_emails_at", O.with_ctes(O.CANON, O.CORPUS) + """
+SELECT c.row_idx, c.subject, c.sender FROM corpus c WHERE c.row_idx IN (SELECT doc_id FROM labels)""")
+def q_stored_emails_at(spark, sf_dir):
+    """C9 on a stored corpus through its position index."""
+    from ..session import shared_dir
+    dest = shared_dir(spark, "corpus")
+    CIO.replace_corpus(spark, _landed(spark, sf_dir, "parquet"), dest)
+    positions = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("pos"))
+    return CIO.stored_emails_at(spark, dest, positions).select("row_idx", "subject", "sender")
+
+
 @register("model_roundtrip", _ANALYSIS_SQL + """
 SELECT row_idx, round(spam_risk, 4) AS spam_risk, prediction FROM pr""")
 def q_model_roundtrip(spark, sf_dir):

@@ -14,6 +14,7 @@ from .. import constants as K
 from .. import schema as SC
 from ..operators import corpus as C
 from . import csv_split as S
+from . import file_index as X
 from . import paths
 from . import table_log as L
 
@@ -110,9 +111,11 @@ def write_csv(df: DataFrame, path: str, compression: str = "gzip") -> None:
 
 def replace_corpus(spark: SparkSession, src: str, dest: str) -> int:
     """Load a corpus file (S1 -> S2 -> C7) as the next version of the table ``dest``; its row
-    count (read back).  Readers see the old version or the new one (``table_log``)."""
+    count (read back).  Files follow each other by position, for :func:`stored_emails_at`.  Readers see the old version or the new one (``table_log``)."""
     log = L.TableLog(spark, dest)
-    version = L.replace(log, C.corpus_table(load_corpus(spark, src)).select(*C.CORPUS_COLUMNS))
+    table = C.corpus_table(load_corpus(spark, src)).select(*C.CORPUS_COLUMNS)
+    version = L.replace(log, table.repartitionByRange("row_idx").sortWithinPartitions("row_idx"))
+    X.build(log, "order", X.order_rows(log, SC.CORPUS, F.struct("row_idx")))
     return read_corpus_table(spark, dest, version).count()
 
 
@@ -120,3 +123,10 @@ def read_corpus_table(spark: SparkSession, path: str, version: int | None = None
     """The corpus that :func:`replace_corpus` stored, as one version has it (the newest by default)."""
     log = L.TableLog(spark, path)
     return log.read(SC.CORPUS, log.snapshot(version).segments)
+
+
+def stored_emails_at(spark: SparkSession, path: str, positions: DataFrame, col: str = "pos", version: int | None = None) -> DataFrame:
+    """C9 on a stored corpus: only files that hold a wanted position are opened, nothing is numbered again.
+    Out-of-range and null positions give no row."""
+    log = L.TableLog(spark, path)
+    return X.at_positions(log, SC.CORPUS, log.snapshot(version), "row_idx", positions.select(col)).select(*C.CORPUS_COLUMNS)

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as SC
+from ..operators import history as H
+from . import file_index as X
 from . import table_log as L
 
 RESULT_FIELDS = [f.name for f in SC.RESULT.fields]
@@ -71,7 +73,18 @@ def delete_history(spark: SparkSession, path: str, ids: DataFrame) -> None:
         segment = F.element_at(F.split("file", "/"), -2)
         return [r[0] for r in rows.join(wanted, "id", "left_semi").select(segment).distinct().collect()]  # at most one a segment
 
-    L.rewrite(log, "delete", holders, lambda chosen: log.read(SC.HISTORY, chosen).join(wanted, "id", "left_anti").select(*SC.HISTORY.fieldNames()))
+    def rest(chosen: list[str]) -> DataFrame:
+        segments = log.snapshot().segments
+        kept = log.read(SC.HISTORY, chosen).join(wanted, "id", "left_anti").select(*SC.HISTORY.fieldNames())
+        return newest_first_files(kept, sum(segments[s].bytes for s in chosen if s in segments))
+
+    L.rewrite(log, "delete", holders, rest)
+
+
+def newest_first_files(history: DataFrame, size: int) -> DataFrame:
+    """Laid out for files of about ``FILE_BYTES`` that follow each other newest first (``size``: bytes of all)."""
+    order = H.newest_first()
+    return history.repartitionByRange(max(1, -(-size // FILE_BYTES)), *order).sortWithinPartitions(*order)
 
 
 def compact_history(spark: SparkSession, path: str, small: int = 64 << 20, at_least: int = 2) -> None:
@@ -79,13 +92,38 @@ def compact_history(spark: SparkSession, path: str, small: int = 64 << 20, at_le
     log = L.TableLog(spark, path)
 
     def arrange(chosen: list[str], size: int) -> DataFrame:
-        order = [F.col("created_at").desc(), F.col("id").asc()]
-        return (log.read(SC.HISTORY, chosen).repartitionByRange(max(1, -(-size // FILE_BYTES)), *order)
-                .sortWithinPartitions(*order))
+        return newest_first_files(log.read(SC.HISTORY, chosen), size)
 
     L.compact(log, arrange, small, at_least)
 
 
+def _order_key() -> Column:
+    """Ascending in the order of ``newest_first``: no date last, then the id, null first."""
+    return F.struct(F.col("created_at").isNull().alias("undated"), (-F.unix_micros("created_at")).alias("age"), F.col("id"))
+
+
+def index_history(spark: SparkSession, path: str) -> None:
+    """Bring the order and substring indexes up to the newest version; each reads new segments only."""
+    log = L.TableLog(spark, path)
+    X.build(log, "order", X.order_rows(log, SC.HISTORY, _order_key()))
+    X.build(log, "grams", X.gram_rows(log, SC.HISTORY, H.searched_text()))
+
+
+def stored_page(spark: SparkSession, path: str, offset: int, size: int, version: int | None = None) -> DataFrame:
+    """H1 for one page at any depth: rows ``offset + 1`` to ``offset + size``, newest first, with their ``number``.
+
+    Only files whose key range holds the page are opened, and those that overlap them (``compact_history``
+    leaves none)."""
+    log = L.TableLog(spark, path)
+    return X.page(log, SC.HISTORY, log.snapshot(version), _order_key(), offset, size, H.history_list)
+
+
+def stored_search(spark: SparkSession, path: str, query: str, version: int | None = None) -> DataFrame:
+    """H3 on the stored history: files that cannot hold the query are not opened, the exact test follows."""
+    log = L.TableLog(spark, path)
+    return H.history_search(X.holding(log, SC.HISTORY, log.snapshot(version), query.lower()), query)
+
+
 def to_wire(history: DataFrame) -> DataFrame:
     """History with ``reasons``/``features`` as JSON text (the exchange format)."""
     return history.withColumn("reasons", F.to_json("reasons")).withColumn("features", F.to_json("features"))
