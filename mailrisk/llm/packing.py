@@ -13,6 +13,11 @@ like any other row; no documents give no rows.
 
 from __future__ import annotations
 
+import bisect
+import logging
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,10 +29,18 @@ from .tokens import encoder
 CAPACITY = 2048
 NODE_LIMIT = 20_000  # branchings after the first dive; the incumbent is kept beyond
 BREADTH = 4  # largest items tried at each step of a filling
+PROOF_STEPS = 300_000  # lengths looked at by the search for a proof: a few seconds, and tens of megabytes at most
 
 Pattern = tuple[tuple[int, ...], int]
 
 
+class Packing(NamedTuple):
+    patterns: list[Pattern]
+    bins: int
+    bound: int  # no packing has fewer bins
+    proven: bool  # ``bins`` is the fewest there can be
+
+
 def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[Pattern]:
     """The first incumbent: longest first, each into the fullest bin that holds it.
 
@@ -147,8 +160,112 @@ def completions(counts: np.ndarray, room: int, waste_limit: int, depth: int = 3)
     return out[:BREADTH]
 
 
+def fillings(counts: list[int], room: int, spare: int, steps: list[int]) -> Iterator[tuple[int, ...]]:
+    """Every filling of ``room`` that no further item fits beside and that wastes at most ``spare``, larger
+    items first.  All undominated fillings are among them.  ``counts[length]`` items are there, the same whenever
+    the next filling is asked for; ``steps[0]`` counts the lengths looked at."""
+    if room < len(counts) and counts[room]:  # takes the place of whatever else would fill it
+        yield (room,)
+        return
+    there = [x for x in range(min(room, len(counts) - 1), 0, -1) if counts[x]]
+    below = [0] * (len(there) + 1)  # all that this and later lengths could add
+    for i in range(len(there) - 1, -1, -1):
+        below[i] = below[i + 1] + there[i] * counts[there[i]]
+    steps[0] += len(there)
+    # next length, room left, taken, smallest left out, how many of that length (None: not chosen yet)
+    stack: list[tuple[int, int, tuple[int, ...], int, int | None]] = [(0, room, (), room + 1, None)]
+    while stack:
+        i, left, taken, out, n = stack.pop()
+        steps[0] += 1
+        if n is None:
+            i = bisect.bisect_left(there, -left, i, key=lambda x: -x)  # longer ones fit no more
+            if i == len(there):
+                if left <= spare and out > left:
+                    yield taken
+                continue
+            if left - below[i] > spare:
+                continue
+            n = min(counts[there[i]], left // there[i])
+        x = there[i]
+        if n:
+            stack.append((i, left, taken, out, n - 1))
+        stack.append((i + 1, left - n * x, taken + (x,) * n, out if n == counts[x] else min(out, x), None))
+
+
+def prove(counts: np.ndarray, capacity: int, best: list[Pattern], bound: int, steps: int = PROOF_STEPS) -> tuple[list[Pattern], bool]:
+    """Bin completion without a beam: around the largest item left every undominated filling is tried, bin by
+    bin, within the waste that a better packing may have.  The fewest bins and True, or the best found after ``steps`` and False."""
+    best_bins = sum(m for _, m in best)
+    total = int((np.arange(len(counts)) * counts).sum())
+    used = [0]
+    c = [int(x) for x in counts]
+    chosen: list[tuple[int, ...]] = []
+    seen: dict[tuple[int, ...], int] = {}
+
+    def options(waste: int, largest: int) -> Iterator[tuple[int, ...]]:
+        """Completed bins for the items left in ``c``, none above ``largest``; the generator takes them out and puts them back."""
+        used[0] += 8
+        while not c[largest]:
+            largest -= 1
+            used[0] += 1
+        c[largest] -= 1
+        for filling in fillings(c, capacity - largest, (best_bins - 1) * capacity - total - waste, used):
+            for x in filling:
+                c[x] -= 1
+            yield (largest, *filling)
+            for x in filling:
+                c[x] += 1
+        c[largest] += 1
+
+    if not total:
+        return best, True
+    levels, wastes, items_left = [options(0, len(c) - 1)], [0], [sum(c)]
+    while levels and best_bins > bound:
+        if used[0] > steps:
+            return best, False
+        items = next(levels[-1], None)
+        del chosen[len(levels) - 1:]
+        if items is None:
+            levels.pop()
+            wastes.pop()
+            items_left.pop()
+            continue
+        chosen.append(items)
+        waste = wastes[-1] + capacity - sum(items)
+        if waste > (best_bins - 1) * capacity - total:  # the incumbent became better meanwhile
+            continue
+        left = tuple(x for x in range(1, len(c)) for _ in range(c[x])) if items_left[-1] - len(items) < 64 else None
+        if left == ():
+            best, best_bins = [(i, 1) for i in chosen], len(chosen)
+            continue
+        if left is not None:
+            used[0] += len(left)
+            if seen.get(left, best_bins) <= len(chosen):
+                continue
+            seen[left] = len(chosen)
+        levels.append(options(waste, items[0]))
+        wastes.append(waste)
+        items_left.append(items_left[-1] - len(items))
+    return best, True
+
+
 def solve(counts: np.ndarray, capacity: int = CAPACITY, node_limit: int = NODE_LIMIT) -> list[Pattern]:
-    """Patterns that pack ``counts[length]`` items of each length into few bins.
+    """Patterns that pack ``counts[length]`` items of each length into few bins (see :func:`pack`)."""
+    return pack(counts, capacity, node_limit).patterns
+
+
+def pack(counts: np.ndarray, capacity: int = CAPACITY, node_limit: int = NODE_LIMIT, steps: int = PROOF_STEPS) -> Packing:
+    """The packing that the two searches find and whether it is proven to have the fewest bins."""
+    counts = np.asarray(counts, dtype=np.int64)
+    best, bound = dive(counts, capacity, node_limit), lower_bound(counts, capacity)
+    proven = sum(m for _, m in best) == bound
+    if not proven:
+        best, proven = prove(counts, capacity, best, bound, steps)
+    return Packing(best, sum(m for _, m in best), bound, proven)
+
+
+def dive(counts: np.ndarray, capacity: int = CAPACITY, node_limit: int = NODE_LIMIT) -> list[Pattern]:
+    """The incumbent for :func:`prove`: few fillings a bin, each used as often as it can be.
 
     Depth-first: complete a bin around the largest length left, use that bin as often
     as the counts allow, go on.  A branch ends when its waste leaves no room to beat
@@ -247,7 +364,9 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for r in ordered.groupBy("length").count().collect():  # at most ``capacity`` rows
         counts[r["length"]] = r["count"]
-    table = runs(solve(counts, capacity))
+    packing = pack(counts, capacity)
+    logging.getLogger(__name__).info("%d sequences, at least %d needed, proven fewest: %s", packing.bins, packing.bound, packing.proven)
+    table = runs(packing.patterns)
     below = np.concatenate(([0], np.cumsum(counts)[:-1]))  # items of smaller lengths
     sizes = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first")).orderBy("_pid").collect()
     # one row for each shuffle partition: a setting, not the data, bounds it

@@ -47,6 +47,29 @@ def test_solver_is_exact_on_small_cases(seed):
     assert sum(m for _, m in patterns) == optimum(items, 30)
 
 
+def test_solver_is_exact_on_4000_cases_of_up_to_14_items():
+    for seed in range(4000):
+        rng = np.random.default_rng(seed)
+        items = sorted(rng.integers(8, 32, rng.integers(8, 15)).tolist(), reverse=True)
+        counts = np.bincount(items, minlength=61)
+        packing_ = packing.pack(counts, 60)
+        assert packing_.proven and (used(packing_.patterns, 61) == counts).all()
+        if packing_.bins > packing_.bound:  # at the bound there is nothing to show
+            assert packing_.bins == optimum(items, 60), seed
+
+
+def test_a_case_that_few_fillings_a_bin_miss():
+    counts = np.bincount([31, 29, 28, 27, 26, 24, 22, 21, 20, 19, 17, 16, 11], minlength=61)
+    assert packing.pack(counts, 60)[1:] == (5, 5, True)
+
+
+def test_without_a_proof_the_gap_is_told():
+    counts = np.bincount(np.random.default_rng(3).integers(200, 1201, 400), minlength=2049)
+    got = packing.pack(counts, 2048, node_limit=10, steps=10)
+    assert got.bins >= got.bound and got.proven == (got.bins == got.bound)
+    assert (used(got.patterns, 2049) == counts).all()
+
+
 @pytest.mark.parametrize("lengths", [np.full(5000, 700), np.arange(1, 2048), np.random.default_rng(0).integers(1, 60, 5000),
                                      np.random.default_rng(1).lognormal(6.3, 1, 20_000).clip(1, 2048).astype(int), np.array([2048] * 9), np.array([], dtype=int)])
 def test_solver_uses_every_item_and_comes_near_the_bound(lengths):
