@@ -36,9 +36,17 @@ def _alt(words) -> str:
     return "(?:" + "|".join(_digits(w) for w in words) + ")"
 
 
+def _starts(words) -> str:
+    """Lookahead for the first letters of the words, so that the look-behind and the words are tried
+    only where one can begin; empty unless every word begins with a letter that must be there."""
+    if not all(re.match(r"[a-z](?![?*{|])", w) for w in words):
+        return ""
+    return "(?=[" + "".join(sorted({w[0] for w in words})) + "])"
+
+
 def java_words(words, ignore_case: bool = True) -> str:
     flags = "(?diu)" if ignore_case else "(?d)"
-    return f"{flags}(?<![{WORD}]){_alt(words)}(?![{WORD}])"
+    return f"{flags}{_starts(words)}(?<![{WORD}]){_alt(words)}(?![{WORD}])"
 
 
 def re2_words(words, ignore_case: bool = True) -> str:
@@ -48,8 +56,8 @@ def re2_words(words, ignore_case: bool = True) -> str:
 
 def java_verification() -> str:
     lead, obj, signin = _alt(K.VERIFY_LEAD_WORDS), _alt(K.VERIFY_OBJECT_WORDS), _alt(K.SIGN_IN_WORDS)
-    return (f"(?diu)(?<![{WORD}]){lead}.{{0,{K.VERIFY_GAP_MAX}}}(?<![{WORD}]){obj}(?![{WORD}])"
-            f"|(?<![{WORD}]){signin}(?![{WORD}])")
+    return (f"(?diu){_starts(K.VERIFY_LEAD_WORDS)}(?<![{WORD}]){lead}.{{0,{K.VERIFY_GAP_MAX}}}(?<![{WORD}]){obj}(?![{WORD}])"
+            f"|{_starts(K.SIGN_IN_WORDS)}(?<![{WORD}]){signin}(?![{WORD}])")
 
 
 def re2_verification() -> str:

@@ -34,7 +34,8 @@ FOLDS_TO = "is"
 
 def plain(low) -> Column:
     """Lower-cased text with look-alikes of ASCII letters as these letters; materialise it once for the guards."""
-    return F.translate(_c(low), FOLDS, FOLDS_TO)
+    c = _c(low)
+    return F.when(c.contains(FOLDS[0]) | c.contains(FOLDS[1]), F.translate(c, FOLDS, FOLDS_TO)).otherwise(c)
 
 
 def guarded_rlike(low: Column, pattern: str, literals, guard: Column) -> Column:
@@ -52,16 +53,23 @@ def rule_text(subject, body) -> Column:
 
 
 def capitals(txt) -> Column:
-    """At least 20 letters and an upper-case share above 0.35 (original case)."""
-    t = _c(txt)
-    letters = F.length(F.regexp_replace(t, r"\P{L}+", ""))
+    """At least 20 letters and an upper-case share above 0.35 (original case).
+
+    Letters are counted whole only where neither the least number of letters nor the letters
+    at the text's beginning already make the capitals too few."""
+    t, share = _c(txt), int(K.CAPITALS_SHARE * 100)
+    letters = lambda x: F.length(F.regexp_replace(x, r"\P{L}+", ""))
     upper = F.length(F.regexp_replace(t, r"\P{Lu}+", ""))
-    return (letters >= K.CAPITALS_MIN_LETTERS) & (upper * 100 > letters * int(K.CAPITALS_SHARE * 100))
+    return (F.when(upper * 100 <= K.CAPITALS_MIN_LETTERS * share, F.lit(False))
+            .when(upper * 100 <= letters(F.substr(t, F.lit(1), upper * 6)) * share, F.lit(False))
+            .otherwise((letters(t) >= K.CAPITALS_MIN_LETTERS) & (upper * 100 > letters(t) * share)))
 
 
 def punctuation(txt) -> Column:
     """At least two runs of '!!' or '??'."""
-    return F.regexp_count(_c(txt), F.lit(PUNCT_RUNS)) >= K.PUNCTUATION_MIN_RUNS
+    t = _c(txt)
+    runs = F.regexp_count(t, F.lit(PUNCT_RUNS)) >= K.PUNCTUATION_MIN_RUNS
+    return F.when(t.contains("!!") | t.contains("??"), runs).otherwise(F.when(t.isNotNull(), F.lit(False)))
 
 
 def rule_flags(low, txt, folded=None) -> dict[str, Column]:

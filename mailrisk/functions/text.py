@@ -102,8 +102,9 @@ def _latin_fold_table():
 
 
 FOLD_SRC, FOLD_DST, _FOLD_MULTI = _latin_fold_table()
-NEEDS_PYTHON_FOLD = (f"[^\\x{{0}}-\\x{{{_TABLE_END:x}}}]|["
-                     + "".join(f"\\x{{{ord(c):x}}}" for c in _FOLD_MULTI) + "]")
+# One class whose first part rules ASCII out, so the ranges behind it are tried for other characters only.
+NEEDS_PYTHON_FOLD = (f"[[^\\x{{0}}-\\x{{7f}}]&&[[^\\x{{0}}-\\x{{{_TABLE_END:x}}}]"
+                     + "".join(f"\\x{{{ord(c):x}}}" for c in _FOLD_MULTI) + "]]")
 
 
 def fold_case_accents(col) -> Column:
@@ -115,7 +116,9 @@ def fold_case_accents(col) -> Column:
     low = F.lower(c)
     non_ascii = F.octet_length(c) != F.length(c)
     needs_python = non_ascii & low.rlike(NEEDS_PYTHON_FOLD)
-    jvm = F.when(non_ascii, F.translate(low, FOLD_SRC, FOLD_DST)).otherwise(low)
+    # translate looks every character up in a map, so it only gets the words that are not ASCII
+    fold = lambda w: F.when(F.octet_length(w) != F.length(w), F.translate(w, FOLD_SRC, FOLD_DST)).otherwise(w)
+    jvm = F.when(non_ascii, F.array_join(F.transform(F.split(low, " "), fold), " ")).otherwise(low)
     return F.coalesce(_fold_non_ascii(F.when(needs_python, c)), jvm)
 
 

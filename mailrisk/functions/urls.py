@@ -14,7 +14,8 @@ from .text import _c
 
 def extract_urls(subject, body) -> Column:
     """Distinct urls of ``subject \\n body`` in first-seen order, trailing ``.,);]`` removed."""
-    found = F.regexp_extract_all(F.concat(_c(subject), F.lit("\n"), _c(body)), F.lit(URL_PATTERN), 0)
+    text = F.concat(_c(subject), F.lit("\n"), _c(body))
+    found = F.regexp_extract_all(F.when(text.isNull() | text.contains("://"), text).otherwise(F.lit("")), F.lit(URL_PATTERN), 0)
     return F.array_distinct(F.transform(found, lambda u: F.rtrim(u, F.lit(K.URL_TRAILING_STRIP))))
 
 
