@@ -18,3 +18,10 @@ def test_signal_summary_writes_the_rules_out_once(spark):
     plan = optimized(CAT.q_signal_summary(spark, SF_SMALL))
     assert plan.count("https?://[") == 1, plan.count("https?://[")
     assert not any("Filter" in l and "size(" in l for l in plan.split("\n"))
+
+
+def test_history_tests_the_error_on_the_finished_row(spark):
+    plan = optimized(CAT.history(spark, SF_SMALL))
+    below = plan[plan.index("Repartition"):]
+    assert "https?://" not in below                   # nothing of the rules runs in the tasks of the scan
+    assert plan.count("https?://[") == 1
