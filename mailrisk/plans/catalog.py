@@ -655,15 +655,16 @@ from ..streaming import score_stream as SS  # noqa: E402
 
 
 def stream_history(spark, sf_dir, n_files: int = 4) -> str:
-    """Run T1 over the EMAILS rows landed as ``n_files`` Parquet files;
-    returns the history folder."""
+    """Run T1 over the EMAILS rows landed as Parquet files, in ``n_files`` micro-batches
+    of one file a core at least; returns the history folder."""
     from ..session import shared_dir
     inbox, hist, ckpt = shared_dir(spark, "inbox"), shared_dir(spark, "history"), shared_dir(spark, "ckpt-score")
     e = FX.emails(spark, sf_dir).select(*[f.name for f in SS.EMAIL_STREAM_SCHEMA.fields])
-    e.repartition(n_files).write.mode("overwrite").parquet(inbox)
+    cores = spark.sparkContext.defaultParallelism  # a small file is one task, so a micro-batch of one file would run on one core
+    e.repartition(n_files * cores).write.mode("overwrite").parquet(inbox)
     q = SS.start_score_stream(spark, inbox, hist, ckpt, FX.model_terms(spark), FX.MODEL_INTERCEPT,
                               id_col=F.md5(F.col("row_idx").cast("string")), created_at=F.col("created_at"),
-                              max_files_per_trigger=1)
+                              max_files_per_trigger=cores)
     q.awaitTermination()
     return hist
 

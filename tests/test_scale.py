@@ -25,3 +25,36 @@ def test_history_tests_the_error_on_the_finished_row(spark):
     below = plan[plan.index("Repartition"):]
     assert "https?://" not in below                   # nothing of the rules runs in the tasks of the scan
     assert plan.count("https?://[") == 1
+
+
+def test_rules_are_tried_only_where_a_word_can_begin():
+    assert RX.java_words(["urgent", "expires?"]).startswith("(?diu)(?=[eu])")
+    for words in ([r"\d+ days"], ["a?bc"], ["x", "[yz]"]):
+        assert "(?=" not in RX.java_words(words)
+
+
+def test_fold_pattern_rules_ascii_out_first(spark):
+    assert TX.NEEDS_PYTHON_FOLD.startswith(r"[[^\x{0}-\x{7f}]&&")
+    texts = ["café  au\tlait ", " é", "é ", "a  b", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    assert [r[0] for r in df.select(TX.fold_case_accents("t")).collect()] == ["cafe  au\tlait ", " e", "e ", "a  b", "", None]
+
+
+@pytest.mark.parametrize("text, wanted", [
+    ("A" * 8 + "1" * 90 + "a" * 12, True),            # few letters at the beginning
+    ("A" * 7 + "a" * 13, False), ("a" * 300 + "A" * 170, True), ("A" * 170 + "a" * 300, True), ("A" * 100 + "a" * 200, False), ("", False), (None, None)])
+def test_capitals_with_few_letters_counted(spark, text, wanted):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(L.capitals("t")).first()[0] is wanted
+
+
+def test_micro_batches_have_files_for_every_core(spark):
+    from mailrisk.sources import paths
+    from mailrisk.sources import table_log as LOG
+    hist = CAT.stream_history(spark, SF_SMALL, n_files=2)
+    segments = LOG.TableLog(spark, hist).snapshot().segments
+    assert len(segments) == 2                         # still two micro-batches
+    cores = spark.sparkContext.defaultParallelism
+    for s in segments:
+        files = [f for f in paths.files(spark, f"{hist}/data/{s}") if f.endswith(".parquet")]
+        assert len(files) > min(1, cores - 1)
