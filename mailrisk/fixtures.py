@@ -10,6 +10,7 @@ the model parameter where exact scoring oracles are needed.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -63,12 +64,14 @@ def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
 def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The EMAILS view over the driver tables of ``sf_dir``.
 
-    The driver tables are single Parquet files with one row group, which a
-    scan reads in one task; the rows are spread round-robin over the cores so
+    A small driver table is a single Parquet file with one row group, which a
+    scan reads in one task; then the rows are spread round-robin over the cores so
     the per-row rule work of the jobs runs in parallel, as it does on a real
-    multi-file input.  Results never depend on this layout."""
+    multi-file input, whose texts are not moved for it.  Results never depend on this layout."""
     register_tables(spark, sf_dir, ["documents", "labels", "events"])
-    return spark.sql(EMAILS_SQL).repartition(spark.sparkContext.defaultParallelism)
+    rows, cores = spark.sql(EMAILS_SQL), spark.sparkContext.defaultParallelism
+    tasks = spark.table("documents").groupBy(F.spark_partition_id()).count().agg(F.sum("count"), F.max("count")).first()
+    return rows if tasks[0] and tasks[1] * cores <= 2 * tasks[0] else rows.repartition(cores)
 
 
 def model_terms(spark: SparkSession) -> DataFrame:
