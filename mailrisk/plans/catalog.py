@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as FX
 from ..operators import corpus as C
 from ..operators import history as H
+from ..session import stored
 from . import oracle as O
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -484,8 +485,8 @@ UNION ALL SELECT 'metrics.recall', round(CASE WHEN tp + fn > 0 THEN tp / (tp + f
 UNION ALL SELECT 'metrics.f1', round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END, 4) FROM cm""")
 def q_training_report(spark, sf_dir):
     """Funnel, counts and held-out metrics, with the fixed model in the fitted one's place."""
-    source = canon(spark, sf_dir)
-    docs = RT.prepare_training(source)
+    source = stored(canon(spark, sf_dir), "training-source")  # read by the funnel, the counts and the split
+    docs = stored(RT.prepare_training(source), "training-table")
     test = T.stratified_split(docs).filter("is_test")
     return RT.training_report(C.cleaning_funnel(source), C.raw_counts(source), C.label_distribution(docs),
                               RT.evaluate(test, FX.model_terms(spark), FX.MODEL_INTERCEPT))
@@ -565,7 +566,8 @@ def indexed_history(spark, sf_dir) -> str:
     """A history table in files of its own order with its indexes; the folder."""
     from ..session import shared_dir
     path = shared_dir(spark, "history")
-    HIO.append_history(HIO.newest_first_files(history(spark, sf_dir), 8 * HIO.FILE_BYTES), path)
+    HIO.append_history(history(spark, sf_dir), path)
+    HIO.arrange_history(spark, path)
     HIO.index_history(spark, path)
     return path
 

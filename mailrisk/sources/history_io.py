@@ -104,6 +104,14 @@ def compact_history(spark: SparkSession, path: str, small: int = 64 << 20, at_le
     L.compact(log, arrange, small, at_least)
 
 
+def arrange_history(spark: SparkSession, path: str) -> None:
+    """Write all segments again as files that follow each other newest first, at least one a core."""
+    log = L.TableLog(spark, path)
+    size = sum(s.bytes for s in log.snapshot().segments.values())
+    spread = max(size, spark.sparkContext.defaultParallelism * FILE_BYTES)
+    L.rewrite(log, "compact", lambda now: list(now.segments), lambda chosen: newest_first_files(log.read(SC.HISTORY, chosen), spread))
+
+
 def _order_key() -> Column:
     """Ascending in the order of ``newest_first``: no date last, then the id, null first."""
     return F.struct(F.col("created_at").isNull().alias("undated"), (-F.unix_micros("created_at")).alias("age"), F.col("id"))

@@ -58,3 +58,39 @@ def test_micro_batches_have_files_for_every_core(spark):
     for s in segments:
         files = [f for f in paths.files(spark, f"{hist}/data/{s}") if f.endswith(".parquet")]
         assert len(files) > min(1, cores - 1)
+
+
+def test_dedup_input_runs_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    rows = [(0, i, "s", f"b{i % 7}", "x") for i in range(20)]
+    df = spark.createDataFrame(rows, "src_ord int, row_idx long, subject string, body string, sender string")
+    table = CAT.C.dense_index(CAT.C.dedup_keep_first(df.mapInArrow(look, df.schema)))
+    assert sorted(r.row_idx for r in table.collect()) == list(range(7))
+    assert calls.value == 20
+
+
+def test_even_scans_are_not_moved(spark, tmp_path):
+    from mailrisk import fixtures as FX
+    for name in ("labels", "events"):
+        spark.read.parquet(f"{SF_SMALL}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    docs, cores = spark.read.parquet(f"{SF_SMALL}/documents.parquet"), spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.files.openCostInBytes", 1 << 30)   # a task a file
+    try:
+        docs.repartition(2 * cores).write.parquet(f"{tmp_path}/documents.parquet")
+        even = FX.emails(spark, str(tmp_path))
+        assert "Repartition" not in optimized(even) and "Repartition" in optimized(FX.emails(spark, SF_SMALL))
+        assert even.exceptAll(FX.emails(spark, SF_SMALL)).count() == 0 and even.count() == docs.count()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_indexed_history_is_laid_out_from_stored_rows(spark):
+    from mailrisk.sources import table_log as LOG
+    log = LOG.TableLog(spark, CAT.indexed_history(spark, SF_SMALL))
+    assert [log.change(v).operation for v in range(1, log.latest() + 1)] == ["append", "compact"]
