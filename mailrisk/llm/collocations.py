@@ -20,7 +20,8 @@ Texts are lower-cased (A-Z), split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and th
    third of all phrases may start with one word.  Scores are exact decimal integers.
 
 No text is shuffled.  While mining, a task holds 8-byte digests of a shard's words, not its texts;
-while counting, the exact codes of a smaller run of texts.
+while counting, the exact codes of a smaller run of texts and the counts of up to
+``COMBINED_ROWS + ADDED_ROWS`` phrases.
 
 With support fixed and the input growing, shares shrink and local supports fall towards 1; then
 a round reports every phrase of a shard that its filter lets through once, and the slack is 0.
@@ -51,8 +52,12 @@ TOP = 2000
 ROUNDS = ((1, 1), (2, 2), (3, LONGEST))
 SHARD_BYTES = 16 << 20
 LEAST_SHARDS = 64  # a small corpus is cut finer, so that it spreads over a cluster too
-COUNT_BYTES = 8 << 20
-COMBINED_ROWS = 1 << 20  # counts that a task holds at most before it hands them on
+COUNT_BYTES = 2 << 20
+COUNT_TASK_BYTES = 256 << 20  # texts that a task counts at most where the cores alone would give it more
+COMBINED_ROWS = 1 << 19  # counts that a task holds at most before it hands them on
+ADDED_ROWS = 1 << 18  # counts of further runs that wait until they are added to those
+BATCH_ROWS = 1 << 16  # rows of a record batch that a task hands on
+BLOCK = 1 << 17  # words whose temporaries are held at a time
 BLOOM_BITS = 1 << 26
 PROBES = 4
 SALT = 16
@@ -94,44 +99,68 @@ def word_digests(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h, starts
 
 
-def longer(digest: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Digest of phrases with one word more."""
-    return mix(digest * U(0x9E3779B97F4A7C15) + word)
+def blocks(n: int, size: int = BLOCK) -> Iterator[slice]:
+    """The range ``0..n`` in parts of ``size``."""
+    return (slice(lo, min(n, lo + size)) for lo in range(0, n, size))
+
+
+def longer(digest: np.ndarray, word: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Digest of phrases with one word more, the word at ``last``."""
+    out = np.empty(len(digest), dtype=U)
+    for s in blocks(len(digest)):
+        out[s] = mix(digest[s] * U(0x9E3779B97F4A7C15) + word[last[s]])
+    return out
 
 
 def extended(at: np.ndarray, k: int, piece: np.ndarray) -> np.ndarray:
     """Which of the kept places ``at`` of phrases of k - 1 words can start one of k: the next place is kept too, in the same piece."""
     kept = np.zeros(len(piece) + 1, dtype=bool)
     kept[at] = True
-    last = at + k - 1
-    ok = kept[at + 1] & (last < len(piece))
-    ok[ok] = piece[at[ok]] == piece[last[ok]]
-    return ok
+    out = np.empty(len(at), dtype=bool)
+    for s in blocks(len(at)):
+        first, last = at[s], at[s] + (k - 1)
+        ok = kept[first + 1] & (last < len(piece))
+        ok[ok] = piece[first[ok]] == piece[last[ok]]
+        out[s] = ok
+    return out
+
+
+def alike(digest: np.ndarray, size: int = 4 * BLOCK) -> Iterator[np.ndarray]:
+    """Places of ``digest`` in sets of about ``size``, all equal digests in one of them."""
+    bits = max(0, -(-len(digest) // size) - 1).bit_length()
+    for i in range(1 << bits):
+        yield np.concatenate([np.flatnonzero(digest[s] >> U(64 - bits) == U(i)) + s.start for s in blocks(len(digest))]) if bits else np.arange(len(digest))
 
 
 def mine(word: np.ndarray, piece: np.ndarray, lang: np.ndarray, least: np.ndarray, filters: list[np.ndarray], first: int,
          last: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``(digest, count, lang)`` of a shard's phrases of ``first`` to ``last`` words that reach their lang's ``least`` count."""
-    at, digest = np.arange(len(word)), word
+    """``(digest, count, lang)`` of a shard's phrases of ``first`` to ``last`` words that reach their lang's ``least`` count.
+
+    They come in parts of at most ``BATCH_ROWS``; besides a number and a digest a word, temporaries are those of a block.
+    """
+    at, digest = np.arange(len(word), dtype=np.int32), word
     for k in range(1, last + 1):
         if k > 1:
             ok = extended(at, k, piece)
-            at = at[ok]
-            digest = longer(digest[ok], word[at + k - 1])
+            at, digest = at[ok], digest[ok]
+            digest = longer(digest, word, at + (k - 1))
         if not len(at):
             return
         if k < first:
             held = may_hold(filters[k], digest)
         else:
-            order = np.argsort(digest)
-            d = digest[order]
-            new = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
-            count = np.diff(np.append(new, len(d)))
-            of = lang[at[order[new]]]
-            enough = count >= least[of]
-            yield d[new[enough]], count[enough], of[enough]
             held = np.zeros(len(at), dtype=bool)
-            held[order] = np.repeat(enough, count)
+            for part in alike(digest):
+                order = part[np.argsort(digest[part])]
+                d = digest[order]
+                new = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1]))) if len(d) else np.zeros(0, np.int64)
+                count = np.diff(np.append(new, len(d)))
+                of = lang[at[order[new]]]
+                enough = count >= least[of]
+                held[order] = np.repeat(enough, count)
+                found = d[new[enough]], count[enough], of[enough]
+                for s in blocks(len(found[0]), BATCH_ROWS):
+                    yield tuple(x[s] for x in found)
         at, digest = at[held], digest[held]
 
 
@@ -155,9 +184,8 @@ class Run:
         for k in range(1, len(filters)):
             if k > 1:
                 ok = extended(at, k, self.piece)
-                at = at[ok]
-                digest = longer(digest[ok], self.digest[at + k - 1])
-                code = code[ok]
+                at, digest, code = at[ok], digest[ok], code[ok]
+                digest = longer(digest, self.digest, at + (k - 1))
             held = may_hold(filters[k], digest)
             at, code, digest = at[held], code[held], digest[held]
             if not len(at):
@@ -196,25 +224,29 @@ def reports(texts: DataFrame, langs: dict[str, int], support: int, size: int, fi
                 cols, [pa.int32(), *[pa.int64()] * 4], strict=True)], ["lang", "digest", "over", "slack", "words"])
 
         def cut(parts, own):
-            word, piece, lang = (np.concatenate(x) for x in zip(*parts, strict=True))
-            parts.clear()
+            joined = []
+            for column in parts:
+                joined.append(np.concatenate(column))
+                column.clear()
+            word, piece, lang = joined
             least, there = local_supports(total, own, support), np.flatnonzero(own)
             yield out([there, len(there), len(there), least[there] - 1, np.bincount(lang, minlength=len(names))[there]])
             for digest, count, of in mine(word, piece, lang, least, held, first, last):
                 yield out([of, digest.view(np.int64), count - (least[of] - 1), len(of), len(of)])
 
-        parts, filled, own, base = [], 0, np.zeros(len(names), np.int64), 0
+        parts, filled, own, base = ([], [], []), 0, np.zeros(len(names), np.int64), 0
         for rows, buf, off in slices(batches, names):
             if filled and filled + len(buf) > size:
                 yield from cut(parts, own)
-                parts, filled, own, base = [], 0, np.zeros(len(names), np.int64), 0
+                parts, filled, own, base = ([], [], []), 0, np.zeros(len(names), np.int64), 0
             h, starts = word_digests(buf, off)
             piece, doc = pieces(buf, off, starts)
-            parts.append((mix(h ^ seed[rows[doc]]) if len(h) else h, (piece + base).astype(np.int32), rows[doc].astype(np.int16)))
-            base = int(parts[-1][1][-1]) + 1 if len(h) else base
+            for column, x in zip(parts, (mix(h ^ seed[rows[doc]]) if len(h) else h, (piece + base).astype(np.int32), rows[doc].astype(np.int16)), strict=True):
+                column.append(x)
+            base = int(parts[1][-1][-1]) + 1 if len(h) else base
             own += np.bincount(rows, weights=np.diff(off) + 1, minlength=len(names)).astype(np.int64)
             filled += len(buf)
-        if parts:
+        if parts[0]:
             yield from cut(parts, own)
 
     return map_arrow(texts, look, "lang int, digest long, over long, slack long, words long")
@@ -241,8 +273,9 @@ def _places(digest: np.ndarray, bits: int, probes: int) -> np.ndarray:
 
 def may_hold(words: np.ndarray, digest: np.ndarray, probes: int = PROBES) -> np.ndarray:
     found = np.ones(len(digest), dtype=bool)
-    for at in _places(digest, len(words) << 6, probes):
-        found &= (words[at >> 6] >> (at & 63).astype(U)) & U(1) == U(1)
+    for s in blocks(len(digest)):
+        for at in _places(digest[s], len(words) << 6, probes):
+            found[s] &= (words[at >> 6] >> (at & 63).astype(U)) & U(1) == U(1)
     return found
 
 
@@ -288,22 +321,24 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, size: int = SHARD_
             if parts:
                 yield Run(parts, seed)
 
-        waiting, rows = [], 0
+        waiting, rows, added = [], 0, 0
         for run in tables():
             for k, at, n in run.phrases(held):
                 waiting.append(pa.table({"lang": labels.take(pa.array(run.lang[at])), "phrase": run.texts(at, k),
                                          "k": pa.array(np.full(len(at), k, np.int32)), "f": pa.array(n.astype(np.int64))}))
                 rows += len(at)
-            if rows > COMBINED_ROWS:  # add the runs of a task up before they are handed on
+            if rows > added + ADDED_ROWS:  # add the runs of a task up before they are handed on
                 waiting = [summed(waiting)]
-                rows = waiting[0].num_rows
-                if rows > COMBINED_ROWS // 2:
-                    yield from waiting[0].to_batches()
-                    waiting, rows = [], 0
+                rows = added = waiting[0].num_rows
+                if rows > COMBINED_ROWS:
+                    yield from waiting[0].to_batches(BATCH_ROWS)
+                    waiting, rows, added = [], 0, 0
         if waiting:
-            yield from summed(waiting).to_batches()
+            yield from summed(waiting).to_batches(BATCH_ROWS)
 
-    counted = map_arrow(texts, count, "lang string, phrase string, k int, f long").groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
+    # a phrase leaves a task once, so a task counts many splits, as long as every core has two tasks
+    wide = texts.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-sum(langs.values()) // COUNT_TASK_BYTES)))
+    counted = map_arrow(wide, count, "lang string, phrase string, k int, f long").groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
     return (stored(counted.filter(F.col("f") >= support), "phrases"), spark.createDataFrame(totals, "lang string, n long"))
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -92,3 +93,38 @@ def test_bloom_holds_all(spark):
     assert m.may_hold(words, d.view(np.uint64)).all()
     other = np.random.default_rng(3).integers(-2**63, 2**63 - 1, 3000)
     assert m.may_hold(words, other.view(np.uint64)).mean() < 0.05
+
+
+def mined(word, piece, lang, least, last=3):
+    tracemalloc.start()
+    filters, rows, got = [np.zeros(0, np.uint64)], [], Counter()
+    for digest, count, _ in m.mine(word, piece, lang, least, filters, 1, last):
+        rows.append(len(digest))
+        if len(word) < 1 << 20:
+            got.update(dict(zip(digest.tolist(), count.tolist(), strict=True)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return rows, peak, got
+
+
+def test_mining_memory():
+    """A shard of two million words is handed on in bounded parts, with little memory besides its digests."""
+    n = 2_000_000
+    word = m.mix(np.random.default_rng(5).integers(0, n // 4, n).astype(np.uint64))
+    rows, peak, _ = mined(word, np.arange(n, dtype=np.int32) // 9, np.zeros(n, np.int16), np.array([1]))
+    assert max(rows) <= 1 << 16 and sum(rows) > n
+    assert peak < 48 * n
+
+
+def test_mined_counts_over_parts(monkeypatch):
+    """Shards taken in several sets of digests count as in one."""
+    n = 9000
+    word = m.mix(np.random.default_rng(6).integers(0, 60, n).astype(np.uint64))
+    args = word, np.arange(n, dtype=np.int32) // 7, np.zeros(n, np.int16), np.array([3])
+    whole = mined(*args)[2]
+    monkeypatch.setattr(m, "alike", lambda d, f=m.alike: f(d, 100))
+    monkeypatch.setattr(m, "BATCH_ROWS", 50)
+    rows, _, parts = mined(*args)
+    assert parts == whole and max(rows) <= 50 and len(whole) > 100
+    words = Counter(word.tolist())
+    assert all(whole[w] == c for w, c in words.items() if c >= 3)
