@@ -78,9 +78,14 @@ def doc_terms(df: DataFrame, text_col: str = "text", id_col: str = "row_idx",
 def term_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, df, cf): documents containing the term and its corpus count.
 
-    Partial aggregation keeps one row per term per task before the shuffle."""
-    return (spread(counted_terms(df.select(text_col), text_col), F.col("_t")).filter("term IS NOT NULL")
-            .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")))
+    A text's sorted 1-2-grams meet the one before them, so a term's first place in a text is
+    known without counting inside the row.  Partial aggregation keeps one row per term per task
+    before the shuffle."""
+    grams = (df.select(TX.fold_case_accents(F.col(text_col)).alias("_f")).select(TX.word_tokens("_f").alias("_w"))
+             .select(F.sort_array(TX.ngrams_1_2("_w")).alias("term")))
+    before = F.concat(F.array(F.lit("")), F.slice("term", 1, F.greatest(F.size("term") - 1, F.lit(0))))  # no term is empty
+    rows = spread(grams.select("term", before.alias("before")), F.arrays_zip("term", "before")).filter("term IS NOT NULL")
+    return rows.groupBy("term").agg(F.count_if(F.col("term") != F.col("before")).alias("df"), F.count(F.lit(1)).alias("cf"))
 
 
 def vocabulary(stats: DataFrame, n_docs: Column | int, min_df: int = K.MIN_DF, max_df: float = K.MAX_DF,

@@ -59,3 +59,14 @@ def test_retrain_paths_end_to_end(spark, tmp_path):
     got = {r.metric: r.value for r in report.collect()}
     assert got["raw_counts.extra.csv"] == 2.0 and got["raw_counts.canonical"] == 200.0
     assert 0.0 <= got["metrics.accuracy"] <= 1.0 and terms.count() > 0
+
+
+def test_term_statistics_are_not_counted_inside_the_row(spark):
+    """A term's first place in a text is seen from the one before it, without an array filter over the text's terms."""
+    from mailrisk.operators import text_model as M
+    docs = spark.createDataFrame([(1, "The cat, the CAT sat"), (2, None), (3, "é"), (4, "cat cat Café sat cat"), (5, "")], "doc long, text string")
+    found = M.term_statistics(docs)
+    assert "filter(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.term: (r.df, r.cf) for r in found.collect()} == {
+        "cat": (2, 5), "the": (1, 2), "sat": (2, 2), "the cat": (1, 2), "cat the": (1, 1), "cat sat": (1, 1),
+        "cat cat": (1, 1), "cat cafe": (1, 1), "cafe": (1, 1), "cafe sat": (1, 1), "sat cat": (1, 1)}
