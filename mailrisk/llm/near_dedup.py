@@ -168,7 +168,7 @@ def spanning_forest(near: np.ndarray) -> list[tuple[int, int]]:
 
 
 def candidate_forest(members: DataFrame, distance: int) -> DataFrame:
-    """Edges ``a, b``: a spanning forest of the pairs within ``distance`` of every two blocks under a key.
+    """Edges ``a, b``: a spanning forest of the pairs within ``distance`` of every two blocks under a key; pairs may repeat.
 
     ``members``: key, _i, _j, _b, id, sig.
     """
@@ -198,7 +198,7 @@ def candidate_forest(members: DataFrame, distance: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     dealt = members.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j")
-    return map_arrow(dealt, look, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return map_arrow(dealt, look, "a long, b long")
 
 
 def cluster_sets(docs: DataFrame, clusters: DataFrame, k: int, symbols: int) -> DataFrame:
@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                     .select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")), "near-reps")
     reps = tagged.filter("doc_id = rep").select(F.col("doc_id").alias("id"), "sig").dropDuplicates()
     members = block_pairs(chunk_keys(reps, m), "key", "id", BLOCK).join(reps, "id")
-    clusters = stored(components(candidate_forest(members, distance)), "near-clusters")
+    clusters = components(candidate_forest(members, distance))
     sets = stored(cluster_sets(docs, clusters, shingle, symbols), "near-sets")
     # the sets of one doc_id are one node
     several = tagged.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_most")).filter("a != _most").select("doc_id", "a")

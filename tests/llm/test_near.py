@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from mailrisk.llm import caps, near_dedup
+from mailrisk.llm import caps, graph, near_dedup
 from mailrisk.llm.common import table
 from mailrisk.llm.graph import components
 
@@ -122,6 +122,29 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_take_few_jobs(spark):
+    # the driver's memory follows the jobs and tasks of the rounds: a long chain and stars are two rounds' work
+    edges = spark.createDataFrame([(i, i + 1) for i in range(400)] + [(1000 + i % 3, 2000 + i) for i in range(300)] + [(None, 5), (5, None)], "a long, b long")
+    spark.sparkContext.setJobGroup("few-jobs", "components")
+    try:
+        got = {r.id: r.component for r in components(edges).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {i: 0 for i in range(401)} | {1000 + i: 1000 + i for i in range(3)} | {2000 + i: 1000 + i % 3 for i in range(300)}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) <= 24
+
+
+def test_pieces_keep_what_is_connected(monkeypatch):
+    monkeypatch.setattr(graph, "PIECE", 16)
+    rng = np.random.default_rng(3)
+    for n in (1, 40, 400):
+        edges = rng.integers(0, 300, (n, 2))
+        out = [(a, b) for batch in graph._contract((p[:, 0], p[:, 1]) for p in np.array_split(edges, 7)) for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        assert all(a > b for a, b in out) and len(out) <= n
+        ids = {int(x) for x in edges.ravel()}
+        assert smallest(ids, out) == smallest(ids, edges.tolist())
+
+
 def test_repeated_ids_are_one_node(spark):
     rows = [(1, "x y z"), (2, "a b c"), (2, "x y z"), (3, "a b c"), (4, "q r s"), (5, "q r s"), (5, "a b c"), (6, "only one here"), (6, "only two here")]
     a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
