@@ -12,12 +12,14 @@ Texts are lower-cased (A-Z), split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and th
 2. Union.  Reports (a 64-bit digest and a count) are added up.  A shard that did not report a
    phrase holds it at most ``ceil(support * w) - 1`` times, so a phrase stays a candidate only if
    its reported counts and that slack reach the support.  Digests that collide only add candidates.
-3. Count.  A round's candidates go into a Bloom filter of ``BLOOM_BITS`` bits, the only broadcasts,
-   whose size does not depend on the input.  Every text is then read again and the phrases that the
-   filters hold are counted by their words: exact counts, from which phrases below the support go.
-   False positives of a filter cost time, never rows.
+3. Count.  A round's candidates go into a Bloom filter of ``BLOOM_BITS`` bits, whose size does not
+   depend on the input; filters and a row a lang are the only broadcasts.  Every text is then read
+   again and the phrases that the filters hold are counted by their words: exact counts, from
+   which phrases below the support go.  False positives of a filter cost time, never rows.
 4. Score.  Cuts of a phrase meet the counts of their two parts in a join that is salted, since a
-   third of all phrases may start with one word.  Scores are exact decimal integers.
+   third of all phrases may start with one word.  Scores are exact decimal integers.  Joins with
+   exploded tables are sort-merge joins by hint: Spark sizes such a table by what lies under the
+   explode, takes ``SALT`` times the phrases for small and would collect them on the driver.
 
 No text is shuffled.  While mining, a task holds 8-byte digests of a shard's words, not its texts;
 while counting, the exact codes of a smaller run of texts and the counts of up to
@@ -354,8 +356,8 @@ def scored(phrases: DataFrame, totals: DataFrame, salt: int = SALT) -> DataFrame
     tails = parts.select("lang", F.col("phrase").alias("tail"), "salt", F.col("f").alias("r"))
     wide = "decimal(38,0)"
     exact = F.expr(f"CAST(1000 AS {wide}) * a * n div (CAST(l AS {wide}) * r)")
-    rated = (cuts.join(heads, ["lang", "head", "salt"]).join(tails, ["lang", "tail", "salt"]).join(F.broadcast(totals), "lang")
-             .withColumn("score", exact.cast("long")))
+    rated = (cuts.join(heads.hint("merge"), ["lang", "head", "salt"]).join(tails.hint("merge"), ["lang", "tail", "salt"])
+             .join(F.broadcast(totals), "lang").withColumn("score", exact.cast("long")))
     best = rated.groupBy("lang", "phrase", "k", "a", "n").agg(F.min(F.struct("score", "cut", "l", "r")).alias("best"))
     return best.select("lang", "phrase", "k", "a", "best.l", "best.r", "n", "best.score")
 
@@ -370,7 +372,7 @@ def without_contained(candidates: DataFrame, longest: int = LONGEST) -> DataFram
     shorter = candidates.filter("k > 2").select("lang", F.col("a").alias("most"), F.explode(F.array(
         F.array_join(F.slice(words, F.lit(1), F.col("k") - 1), " "), F.array_join(F.slice(words, F.lit(2), F.col("k") - 1), " "))).alias("phrase"))
     inner = shorter.groupBy("lang", "phrase").agg(F.max("most").alias("most"))
-    return (candidates.join(inner, ["lang", "phrase"], "left")
+    return (candidates.join(inner.hint("merge"), ["lang", "phrase"], "left")
             .filter(F.col("most").isNull() | (100 * F.col("most") < 100 * F.col("a"))).drop("most"))
 
 

@@ -72,6 +72,16 @@ def test_empty_and_unfit(spark):
     assert m.op13_collocations(spark.createDataFrame([("en", None, 1, "p"), (None, "a b", 2, "p")], SCHEMA)).collect() == []
 
 
+def test_only_langs_are_broadcast(spark):
+    """Spark takes an exploded table for as small as the files under it; phrases must not reach the driver by that, at first or adaptively."""
+    rows = made(7)
+    df = m.op13_collocations(spark.createDataFrame(rows, SCHEMA).repartition(5), 3, 15, bits=1 << 16)
+    assert sorted(tuple(r) for r in df.collect()) == plain(rows, 3, 15)
+    ran = df._jdf.queryExecution()
+    for plan in (ran.sparkPlan().toString(), ran.executedPlan().toString()):
+        assert set(re.findall(r"BroadcastHashJoin \[([^]]*)]", re.sub(r"#\d+L?", "", plan))) == {"lang"}
+
+
 def test_products_beyond_64_bits(spark):
     big = 10**12
     phrases = spark.createDataFrame([("en", "a b", 2, big + 7), ("en", "a", 1, 3 * big), ("en", "b", 1, 5 * big)], "lang string, phrase string, k int, f long")
